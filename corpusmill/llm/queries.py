@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusmill.llm.chatformat import format_conversations, read_back
+from corpusmill.llm.decontaminate import contaminated_documents
 from corpusmill.llm.htmltext import extract_main_text
 from corpusmill.llm.quality import quality_rules
+from corpusmill.llm.sharding import shard_documents
 from corpusmill.llm.tokenfiles import token_digests
 from corpusmill.llm.urlfilter import judge_urls
 from corpusmill.sources.tables import table
@@ -42,6 +44,10 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = spark.createDataFrame(CONTROL_ROWS, "conv_id long, turn long, role string, text string")
@@ -52,6 +58,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("cleaned")
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 URL_SQL = r"""
 WITH parts AS (
   SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -74,8 +84,10 @@ def queries() -> dict[str, Query]:
         "op2_html_extraction": op2_html_extraction,
         "op3_token_files": op3_token_files,
         "op6_url_filters": op6_url_filters,
+        "op7_sharding": op7_sharding,
         "op8_chat_formatting": op8_chat_formatting,
         "op9_quality_rules": op9_quality_rules,
+        "op10_decontamination": op10_decontamination,
     }
 
 
