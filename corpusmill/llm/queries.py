@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from corpusmill.llm.chatformat import format_conversations, read_back
 from corpusmill.llm.decontaminate import contaminated_documents
 from corpusmill.llm.htmltext import extract_main_text
+from corpusmill.llm.neardup import near_duplicates
 from corpusmill.llm.quality import quality_rules
 from corpusmill.llm.sharding import shard_documents
 from corpusmill.llm.tokenfiles import token_digests
@@ -29,6 +30,10 @@ URL_RULES = [
 CONTROL_ROWS = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
@@ -81,6 +86,7 @@ SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, co
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_minhash_near_dedup": op1_minhash_near_dedup,
         "op2_html_extraction": op2_html_extraction,
         "op3_token_files": op3_token_files,
         "op6_url_filters": op6_url_filters,
