@@ -9,8 +9,8 @@ shares with another is dropped at once. Collisions of the proposed pairs are cou
 over the whole signatures, pairs above the match threshold are verified on the full
 sets, and links close to components (``simjoin``, ``components``).
 
-With 48 coordinates and 28 matches a pair at the threshold of 0.85 is missed with a
-probability of 1.8e-6, one above it with less.
+The match threshold is the highest that misses a pair at the similarity threshold with a
+probability of at most 2e-6 (28 of 48 for a Jaccard of 0.85); pairs above it are missed less.
 
 Defined cases: a null, empty or blank text has an empty set, no link and itself as
 component; texts with equal sets are one class, linked with each other; a row with a
@@ -21,6 +21,7 @@ other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,20 @@ from corpusmill.llm.common import stored
 from corpusmill.llm.shingles import WordHashes, permutations, set_key, shingle_set, signature, words_of
 from corpusmill.llm.simjoin import linked, parity_sketch, shared_lists, with_centres
 
-COORDINATES, MATCHES = 48, 28
+COORDINATES, MISS = 48, 2e-6
+
+
+def fewest_matches(coordinates: int, percent: int, miss: float = MISS) -> int:
+    """The highest match threshold that a pair at the similarity misses with at most
+    the given probability."""
+    t, total = percent / 100, 0.0
+    for m in range(coordinates):
+        total += math.comb(coordinates, m) * t**m * (1 - t) ** (coordinates - m)
+        if total > miss:
+            return max(m, 1)
+    return coordinates
+
+
 PROFILE = "doc_id long, n long, set_key string, signature array<int>, sketch array<long>"
 
 
@@ -75,8 +89,9 @@ def full_sets(texts: DataFrame, size: int) -> DataFrame:
     return texts.select("id", "text").mapInArrow(run, "id long, n long, items array<long>")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordinates: int = COORDINATES) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each document of (doc_id, text)."""
+    matches = fewest_matches(coordinates, percent)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     found = stored(profiles(docs, shingle, coordinates), "profiles")
     classes = stored(
@@ -93,13 +108,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordi
         shared_lists(postings).where(F.size("lists") >= matches).select("id", "weight", F.explode(prefix).alias("list")).select("list.key", "id", "weight")
     )
     collisions = F.size(F.filter(F.zip_with("x.signature", "y.signature", lambda p, q: p == q), lambda same: same))
-    links, components = linked(
-        with_centres(stored(short_first, "prefix-lists")),
-        classes.select("id", "n", "sketch", "signature"),
-        lambda ids: full_sets(docs.join(ids, docs.doc_id == ids.id, "inner").select("id", "text"), shingle),
-        percent,
-        collisions >= matches,
-    )
+    lists = stored(with_centres(stored(short_first, "prefix-lists")), "lists")
+    texts = docs.join(lists.select("id").distinct(), F.col("doc_id") == F.col("id")).select("id", "text")
+    sets = stored(full_sets(texts, shingle), "sets")
+    profile = classes.select("id", "n", "sketch", "signature")
+    _, components = linked(lists, profile, sets, percent, collisions >= matches)
     named = classes.select("set_key", "id").join(components, "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
     result = (
         found.select("doc_id", "n", "set_key")

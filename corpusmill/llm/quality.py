@@ -140,3 +140,22 @@ def quality_rules(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
             )
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(judge, SCHEMA)
+
+
+def clean_documents(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
+    """The documents that are kept, their failing lines removed, with the columns of
+    ``docs`` (``n_chars`` follows the text)."""
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            rows = [measure(t or "", rules) for t in batch.column(at).to_pylist()]
+            texts = pa.array([r[8] for r in rows], pa.string())
+            columns = list(batch.columns)
+            columns[at] = texts
+            if "n_chars" in batch.schema.names:
+                n = batch.schema.get_field_index("n_chars")
+                columns[n] = pa.array([len(r[8]) for r in rows], pa.int64()).cast(columns[n].type)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(pa.array([r[7] for r in rows], pa.bool_()))
+
+    return docs.mapInArrow(clean, docs.schema)

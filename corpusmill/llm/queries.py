@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from corpusmill.llm.chatformat import format_conversations, read_back
 from corpusmill.llm.decontaminate import contaminated_documents
 from corpusmill.llm.htmltext import extract_main_text
+from corpusmill.llm.mixing import MixTarget, mix_sources
 from corpusmill.llm.neardup import near_duplicates
 from corpusmill.llm.quality import quality_rules
+from corpusmill.llm.repeats import repeated_paragraphs
 from corpusmill.llm.sharding import shard_documents
 from corpusmill.llm.tokenfiles import token_digests
 from corpusmill.llm.urlfilter import judge_urls
@@ -44,6 +46,15 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_paragraphs(table(spark, sf_dir, "documents"))
+
+
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(table(spark, sf_dir, "documents"), MixTarget(repeats=2.0))
+    return mixed.select("doc_id", "source", "mix_epoch", "mix_weight", "mix_order")
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
     return judge_urls(table(spark, sf_dir, "pages"), rules)
@@ -89,6 +100,8 @@ def queries() -> dict[str, Query]:
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
         "op2_html_extraction": op2_html_extraction,
         "op3_token_files": op3_token_files,
+        "op4_substring_dedup": op4_substring_dedup,
+        "op5_source_mixing": op5_source_mixing,
         "op6_url_filters": op6_url_filters,
         "op7_sharding": op7_sharding,
         "op8_chat_formatting": op8_chat_formatting,

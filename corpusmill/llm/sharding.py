@@ -43,13 +43,12 @@ def document_dimensions() -> dict[str, Column]:
     return {"size": F.log2(size_of(F.col("text"))), "source": spread("source"), "lang": spread("lang")}
 
 
-def kd_tree(rows: DataFrame, dims: list[str], weight: str, n_leaves: int, hashed: str = "tie") -> DataFrame:
-    """``rows`` with a column ``shard``: the leaf, 0 to ``n_leaves`` - 1. ``rows`` is
-    read several times, so it should be stored and narrow."""
-    spark = rows.sparkSession
+def kd_splits(rows: DataFrame, dims: list[str], weight: str, n_leaves: int) -> list[dict[int, dict]]:
+    """The splits of each level, by node. ``rows`` (dims, weight, tie) is read several
+    times, so it should be stored and narrow."""
     span = rows.agg(*[f(d).alias(f"{k}_{d}") for d in dims for k, f in (("min", F.min), ("max", F.max))]).first()
     width = {d: (span[f"max_{d}"] or 0.0) - (span[f"min_{d}"] or 0.0) for d in dims}
-    nodes = {0: n_leaves}
+    nodes, levels = {0: n_leaves}, []
     placed = rows.withColumn("shard", F.lit(0))
     while any(m > 1 for m in nodes.values()):
         open_nodes = [n for n, m in nodes.items() if m > 1]
@@ -69,46 +68,55 @@ def kd_tree(rows: DataFrame, dims: list[str], weight: str, n_leaves: int, hashed
                 "goal": s["w"] * (m // 2) / m, "prefix": 0, "below": 0.0, "left": m // 2,
             }
         for shift in range(PLACE_BITS + HASH_BITS - DIGIT, -1, -DIGIT):
-            splits = select_digit(placed, splits, weight, hashed, shift)
-        for shard, s in splits.items():
-            nodes[shard + s["left"]] = nodes[shard] - s["left"]
-            nodes[shard] = s["left"]
-        for shard in set(open_nodes) - set(splits):
-            nodes[shard] = 1
-        limit = split_frame(spark, splits)
+            splits = select_digit(placed, splits, weight, shift)
+        for shard in open_nodes:
+            if shard in splits:
+                left = splits[shard]["left"]
+                nodes[shard + left], nodes[shard] = nodes[shard] - left, left
+            else:
+                nodes[shard] = 1
+        levels.append(splits)
+        placed = with_shards(rows, dims, levels)
+    return levels
+
+
+def with_shards(rows: DataFrame, dims: list[str], levels: list[dict[int, dict]]) -> DataFrame:
+    """``rows`` (any columns beside dims and tie) with the ``shard`` that the splits give."""
+    placed = rows.withColumn("shard", F.lit(0))
+    for splits in levels:
+        side = F.when(key_of(dims) >= F.col("split.prefix"), F.col("split.left")).otherwise(0)
         placed = (
-            placed.join(F.broadcast(limit), "shard", "left")
-            .withColumn("shard", F.col("shard") + F.when(key_of(hashed, dims) >= F.col("prefix"), F.col("left")).otherwise(0))
-            .select(*rows.columns, "shard")
+            placed.join(F.broadcast(split_frame(rows.sparkSession, splits)), F.col("shard") == F.col("split.node"), "left")
+            .withColumn("shard", F.col("shard") + side)
+            .drop("split")
         )
     return placed
 
 
 def split_frame(spark, splits: dict[int, dict]) -> DataFrame:
-    """One row a node that is being split: at most half the number of shards."""
-    rows = [(n, s["dim"], s["low"], s["range"], s["prefix"], s["below"], s["goal"], s["left"]) for n, s in splits.items()]
-    return spark.createDataFrame(rows, "shard int, dim string, low double, range double, prefix long, below double, goal double, left int")
+    """One struct ``split`` a node that is being split: at most half the number of shards."""
+    rows = [((n, s["dim"], s["low"], s["range"], s["prefix"], s["below"], s["goal"], s["left"]),) for n, s in splits.items()]
+    kind = "node int, dim string, low double, range double, prefix long, below double, goal double, left int"
+    return spark.createDataFrame(rows, f"split struct<{kind.replace(' ', ':').replace(',:', ',')}>")
 
 
-def key_of(hashed: str, dims: list[str]) -> Column:
+def key_of(dims: list[str]) -> Column:
     """A row's place along its node's dimension, then hash bits, in one integer."""
-    value = F.coalesce(*[F.when(F.col("dim") == d, F.col(d)) for d in dims])
-    share = F.when(F.col("range") > 0, (value - F.col("low")) / F.col("range")).otherwise(0.0)
+    value = F.coalesce(*[F.when(F.col("split.dim") == d, F.col(d)) for d in dims])
+    share = F.when(F.col("split.range") > 0, (value - F.col("split.low")) / F.col("split.range")).otherwise(0.0)
     top = (1 << PLACE_BITS) - 1
     place = F.least(F.greatest(F.floor(share * top), F.lit(0)), F.lit(top)).cast("long")
-    return place * (1 << HASH_BITS) + F.col(hashed)
+    return place * (1 << HASH_BITS) + F.col("tie")
 
 
-def select_digit(placed: DataFrame, splits: dict[int, dict], weight: str, hashed: str, shift: int) -> dict[int, dict]:
+def select_digit(placed: DataFrame, splits: dict[int, dict], weight: str, shift: int) -> dict[int, dict]:
     """The next 12 bits of each node's split key: the first digit at which the weight
     below passes the goal. On the last digit the nearer of its two edges is taken."""
     dims = sorted({s["dim"] for s in splits.values()})
     table = F.broadcast(split_frame(placed.sparkSession, splits))
-    digit = F.shiftright(F.col("key"), shift)
     counted = (
-        placed.join(table, "shard")
-        .select("shard", "prefix", F.col(weight).alias("weight"), key_of(hashed, dims).alias("key"))
-        .withColumn("digit", digit)
+        placed.join(table, F.col("shard") == F.col("split.node"))
+        .select("shard", "split.prefix", F.col(weight).alias("weight"), F.shiftright(key_of(dims), shift).alias("digit"))
         .where(F.shiftright("digit", DIGIT) == F.col("prefix"))
         .groupBy("shard", "digit")
         .agg(F.sum("weight").cast("double").alias("weight"))
@@ -116,8 +124,8 @@ def select_digit(placed: DataFrame, splits: dict[int, dict], weight: str, hashed
     upto = Window.partitionBy("shard").orderBy("digit")
     found = (
         counted.withColumn("upto", F.sum("weight").over(upto))
-        .join(table.select("shard", "below", "goal"), "shard")
-        .where(F.col("below") + F.col("upto") >= F.col("goal") - 1e-6)
+        .join(table, F.col("shard") == F.col("split.node"))
+        .where(F.col("split.below") + F.col("upto") >= F.col("split.goal") - 1e-6)
         .groupBy("shard")
         .agg(F.min(F.struct("digit", "upto", "weight")).alias("first"))
         .collect()
@@ -134,39 +142,59 @@ def select_digit(placed: DataFrame, splits: dict[int, dict], weight: str, hashed
     return out
 
 
-def with_slots(placed: DataFrame, order: list[str], hashed: str = "tie") -> DataFrame:
-    """A gapless ``slot`` from 0 in each shard: hash ranges of about ``SLOT_ROWS`` rows
-    are numbered one by one and offset by the rows of the ranges before."""
-    placed = placed.join(
-        F.broadcast(placed.groupBy("shard").agg(F.ceil(F.count("*") / SLOT_ROWS).alias("ranges"))), "shard"
-    ).withColumn("range", F.floor(F.col(hashed) * F.col("ranges") / float(1 << HASH_BITS)).cast("int"))
+def with_slots(rows: DataFrame, counted: DataFrame, order: list[str]) -> DataFrame:
+    """A gapless ``slot`` from 0 in each shard of ``rows`` (with shard and tie): hash ranges of
+    about ``SLOT_ROWS`` rows are numbered one by one and offset by the rows of the ranges
+    before. ``counted`` holds the shard and tie of the same rows, stored."""
+    place = F.floor(F.col("tie") * F.col("ranges") / float(1 << HASH_BITS)).cast("int")
+    ranges = counted.groupBy("shard").agg(F.ceil(F.count("*") / SLOT_ROWS).alias("ranges"))
     upto = Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        placed.groupBy("shard", "range").count().select("shard", "range", F.coalesce(F.sum("count").over(upto), F.lit(0)).alias("before"))
+    offsets = stored(
+        counted.join(ranges, "shard")
+        .groupBy("shard", "ranges", place.alias("range"))
+        .count()
+        .withColumn("before", F.coalesce(F.sum("count").over(upto), F.lit(0)))
+        .select("shard", "ranges", "range", "before"),
+        "slot-offsets",
     )
-    own = Window.partitionBy("shard", "range").orderBy(hashed, *order)
+    own = Window.partitionBy("shard", "range").orderBy("tie", *order)
     return (
-        placed.withColumn("slot", F.row_number().over(own) - 1)
-        .join(offsets, ["shard", "range"])
+        rows.join(offsets.select("shard", "ranges").distinct(), "shard")
+        .withColumn("range", place)
+        .withColumn("slot", F.row_number().over(own) - 1)
+        .join(offsets.select("shard", "range", "before"), ["shard", "range"])
         .withColumn("slot", (F.col("slot") + F.col("before")).cast("long"))
         .drop("range", "ranges", "before")
     )
 
 
+def measured(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``docs`` with size, checksum, dimensions and tie; the names of the dimensions."""
+    dims = {f"dim_{d}": c.cast("double") for d, c in document_dimensions().items()}
+    wide = docs.withColumns({"size": size_of(F.col("text")), "text_crc32": crc_of(F.col("text")), "one": F.lit(1), **dims})
+    return wide.withColumn("tie", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(1 << HASH_BITS))), list(dims)
+
+
+def placed_rows(docs: DataFrame, n_shards: int, law: str, columns: list[str]) -> DataFrame:
+    """``docs`` with shard and slot, and the given ones of the measured columns. The tree is
+    built from a stored table of numbers; texts move once, to their shard."""
+    wide, dims = measured(docs)
+    rows = stored(wide.select("doc_id", "size", "text_crc32", "one", *dims, "tie"), "shard-rows")
+    levels = kd_splits(rows, dims, "size" if law == "bytes" else "one", n_shards)
+    counted = stored(with_shards(rows, dims, levels).drop("one", *dims), "shards")
+    source = counted if set(columns) <= set(counted.columns) else with_shards(wide, dims, levels)
+    slotted = with_slots(source.select(*columns, *({"shard", "tie", "doc_id", "text_crc32"} - set(columns))), counted, ["doc_id", "text_crc32"])
+    return slotted.select(*columns, F.col("shard").cast("int"), "slot")
+
+
+def place_rows(docs: DataFrame, n_shards: int, law: str = "bytes") -> DataFrame:
+    """All columns of ``docs`` with shard and slot."""
+    return placed_rows(docs, n_shards, law, docs.columns)
+
+
 def shard_documents(docs: DataFrame, n_shards: int = 24, law: str = "bytes") -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard): shards of near equal
     bytes (``law`` "bytes") or numbers of rows ("rows")."""
-    dims = document_dimensions()
-    rows = docs.select(
-        F.col("doc_id").cast("long"),
-        size_of(F.col("text")).alias("size"),
-        crc_of(F.col("text")).alias("text_crc32"),
-        *[c.cast("double").alias(f"dim_{d}") for d, c in dims.items()],
-    ).withColumn("tie", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(1 << HASH_BITS)))
-    rows = stored(rows, "shard-rows")
-    weight = "size" if law == "bytes" else "one"
-    rows = rows.withColumn("one", F.lit(1))
-    placed = kd_tree(rows, [f"dim_{d}" for d in dims], weight, n_shards)
-    return with_slots(stored(placed.select("doc_id", "size", "text_crc32", "tie", "shard"), "shards"), ["doc_id", "text_crc32"]).select(
-        "doc_id", "size", "text_crc32", F.lit(law).alias("law"), F.col("shard").cast("int"), "slot", F.lit(None).cast("int").alias("grown_shard")
-    )
+    docs = docs.select(F.col("doc_id").cast("long"), "text", "lang", "source")
+    placed = placed_rows(docs, n_shards, law, ["doc_id", "size", "text_crc32"])
+    return placed.select("doc_id", "size", "text_crc32", F.lit(law).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

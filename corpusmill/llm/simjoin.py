@@ -118,29 +118,27 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def linked(lists: DataFrame, profile: DataFrame, make_sets, percent: int, min_collisions: Column | None = None) -> tuple[DataFrame, DataFrame]:
+def linked(
+    lists: DataFrame, profile: DataFrame, sets: DataFrame, percent: int, min_collisions: Column | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(links, components) of all pairs that share a list.
 
     ``lists``: key, id, n, centre. ``profile``: id, n, sketch and whatever
-    ``min_collisions`` compares (columns of ``x`` and ``y``). ``make_sets`` takes a
-    frame of ids and gives their sets (id, n, items).
+    ``min_collisions`` compares (columns of ``x`` and ``y``). ``sets``: id, n, items,
+    for every id that stands in a list. All three are stored tables.
     """
-    lists = stored(lists, "lists")
-    pairs = first_pairs(lists).select("a", "b")
     test = may_link("x", "y", percent)
     if min_collisions is not None:
         test = test & min_collisions
     pairs = (
-        pairs.join(profile.alias("x"), F.col("a") == F.col("x.id"))
+        first_pairs(lists)
+        .select("a", "b")
+        .join(profile.alias("x"), F.col("a") == F.col("x.id"))
         .join(profile.alias("y"), F.col("b") == F.col("y.id"))
         .where(test)
         .select("a", "b")
     )
-    pairs = stored(pairs, "pairs")
-    long_ids = lists.where(f"n > {SHORT}").select("id")
-    needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).union(long_ids).distinct()
-    sets = stored(make_sets(needed), "sets")
-    links = stored(verified(pairs, sets, percent), "links")
+    links = stored(verified(stored(pairs, "pairs"), sets, percent), "links")
     components = stored(connected_components(links), "components")
     more = stored(across_components(lists, components, profile, percent), "pairs")
     more = stored(verified(more, sets, percent), "links")

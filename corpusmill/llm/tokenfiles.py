@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from corpusmill.llm.common import discard, scratch_path, stored
 
 BLOCK_TOKENS = 1 << 18
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.int64) + 1
 
 
@@ -63,56 +63,61 @@ def decode_ranks(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
 class WordCodec:
     """Whole texts to ids, equal to ``Tokenizer.encode(text, add_special_tokens=False)``."""
 
+    #: A special token of the vocabulary, which no plain text holds: it ends a word.
+    END = "<|endoftext|>"
+
     def __init__(self, path: str):
         import regex
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.whole = Tokenizer.from_file(path)
+        self.path, self.whole = path, None
         self.parts = Tokenizer.from_file(path)
         self.parts.normalizer = None
         self.parts.pre_tokenizer = pre_tokenizers.Sequence(
             [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
         )
-        self.ends = np.zeros(self.whole.get_vocab_size(), bool)
-        for token, i in self.whole.get_vocab().items():
-            self.ends[i] = token.endswith("</w>")
-        #: Fixed value: the tokenizer's own pattern for pieces of a word.
-        self.piece = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        self.end = self.parts.token_to_id(self.END)
+        #: Fixed value: the tokenizer's own pattern for pieces of a word, and the line ends put between words.
+        self.pieces = regex.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         self.plain = regex.compile(r"[\x00-\x1b\x20-\u012f\u0131-\u024f\u2010-\u2027\u2030-\u203a]*+")
         self.clear()
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
         self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
+        self.flat = np.zeros(0, np.uint16)
 
     def learn(self, words: list[str]) -> None:
-        pieces = [self.piece.findall(w) for w in words]
-        counts = np.fromiter(map(len, pieces), np.int64, len(words))
-        ids = np.array(self.parts.encode_batch_fast([" ".join(p for x in pieces for p in x)], add_special_tokens=False)[0].ids, np.uint32)
-        ends = np.flatnonzero(self.ends[ids]) + 1
-        if len(ends) != counts.sum():
-            raise ValueError("the tokenizer split a piece of a word")
-        stops = np.concatenate([[0], ends])[np.cumsum(counts)]
-        begins = np.concatenate([[0], stops[:-1]])
+        pieces = " ".join(self.pieces.findall("\n".join(words))).replace("\n", self.END)
+        ids = np.array(self.parts.encode_batch_fast([pieces], add_special_tokens=False)[0].ids, np.uint32)
+        stops = np.append(np.flatnonzero(ids == self.end), len(ids))
+        if len(stops) != len(words):
+            raise ValueError("a word holds a special token")
+        begins = np.append(0, stops[:-1] + 1)
         self.at.update(zip(words, range(len(self.at), len(self.at) + len(words)), strict=True))
         self.starts = np.concatenate([self.starts, begins + len(self.flat)])
         self.sizes = np.concatenate([self.sizes, stops - begins])
-        self.flat = np.concatenate([self.flat, ids])
+        self.flat = np.concatenate([self.flat, ids if ids.max() > 0xFFFF else ids.astype(np.uint16)])
+
+    def whole_text(self, text: str) -> list[int]:
+        from tokenizers import Tokenizer
+
+        self.whole = self.whole or Tokenizer.from_file(self.path)
+        return self.whole.encode(text, add_special_tokens=False).ids
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text, in order."""
-        lowered = [t.lower() if self.plain.fullmatch(t) and "<|" not in t else None for t in texts]
-        split = [t.split() if t is not None else None for t in lowered]
-        new = list(dict.fromkeys(w for words in split if words for w in words if w not in self.at))
+        split = [t.lower().split() if self.plain.fullmatch(t) and "<|" not in t else None for t in texts]
+        plain = [words for words in split if words]
+        new = list(set().union(*plain).difference(self.at))
         if len(self.at) + len(new) > CACHE_WORDS:
             self.clear()
-            new = list(dict.fromkeys(w for words in split if words for w in words))
+            new = list(set().union(*plain))
         if new:
             self.learn(new)
         for text, words in zip(texts, split, strict=True):
             if words is None:
-                yield np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
+                yield np.array(self.whole_text(text), np.uint32)
             elif not words:
                 yield np.zeros(0, np.uint32)
             else:
