@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import importlib
+import pkgutil
 
-from pyspark.sql import DataFrame, SparkSession
+from corpusmill import plans
+from corpusmill.plans.registry import QUERIES, SQL, Query
 
+for module in pkgutil.iter_modules(plans.__path__):
+    importlib.import_module(f"corpusmill.plans.{module.name}")
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
