@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -52,6 +53,14 @@ def discard(*frames: DataFrame) -> None:
                 path.getFileSystem(conf).delete(path, True)
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows of the driver as a frame that the JVM alone builds."""
+    names = [field.split()[0] for field in schema.split(", ")]
+    text = json.dumps([dict(zip(names, row, strict=True)) for row in rows])
+    kind = ", ".join(field.replace(" ", ": ", 1) for field in schema.split(", "))
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{kind}>>")))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z alone. Pure ASCII takes the fast built-in."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusmill.llm.chatformat import format_conversations, read_back
+from corpusmill.llm.common import small_table
 from corpusmill.llm.decontaminate import contaminated_documents
 from corpusmill.llm.htmltext import extract_main_text
 from corpusmill.llm.mixing import MixTarget, mix_sources
@@ -56,7 +57,7 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
+    rules = small_table(spark, URL_RULES, "host string, path string, action string")
     return judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
@@ -66,7 +67,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    control = spark.createDataFrame(CONTROL_ROWS, "conv_id long, turn long, role string, text string")
+    control = small_table(spark, CONTROL_ROWS, "conv_id long, turn long, role string, text string")
     return read_back(format_conversations(rows.unionByName(control)))
 
 

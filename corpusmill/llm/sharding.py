@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import stored
+from corpusmill.llm.common import small_table, stored
 
 OVERHEAD = 8
 SLOT_ROWS = 50_000
@@ -86,18 +86,27 @@ def with_shards(rows: DataFrame, dims: list[str], levels: list[dict[int, dict]])
     for splits in levels:
         side = F.when(key_of(dims) >= F.col("split.prefix"), F.col("split.left")).otherwise(0)
         placed = (
-            placed.join(F.broadcast(split_frame(rows.sparkSession, splits)), F.col("shard") == F.col("split.node"), "left")
+            with_split(placed, splits, "left")
             .withColumn("shard", F.col("shard") + side)
             .drop("split")
         )
     return placed
 
 
-def split_frame(spark, splits: dict[int, dict]) -> DataFrame:
-    """One struct ``split`` a node that is being split: at most half the number of shards."""
-    rows = [((n, s["dim"], s["low"], s["range"], s["prefix"], s["below"], s["goal"], s["left"]),) for n, s in splits.items()]
-    kind = "node int, dim string, low double, range double, prefix long, below double, goal double, left int"
-    return spark.createDataFrame(rows, f"split struct<{kind.replace(' ', ':').replace(',:', ',')}>")
+SPLIT = "node int, dim string, low double, range double, prefix long, below double, goal double, left int"
+
+
+def with_split(rows: DataFrame, splits: dict[int, dict], how: str = "inner") -> DataFrame:
+    """``rows`` with their node's split as a struct. There is one split a node that is being
+    split, at most half the number of shards, so the table of them is broadcast; the root's
+    is a constant."""
+    table = [(n, s["dim"], s["low"], s["range"], s["prefix"], s["below"], s["goal"], s["left"]) for n, s in splits.items()]
+    names = [field.split()[0] for field in SPLIT.split(", ")]
+    if list(splits) == [0]:
+        kinds = [field.split()[1] for field in SPLIT.split(", ")]
+        return rows.withColumn("split", F.struct(*[F.lit(v).cast(k).alias(n) for v, k, n in zip(table[0], kinds, names, strict=True)]))
+    held = small_table(rows.sparkSession, table, SPLIT).select("node", F.struct(*names).alias("split"))
+    return rows.join(F.broadcast(held), F.col("shard") == F.col("node"), how).drop("node")
 
 
 def key_of(dims: list[str]) -> Column:
@@ -113,9 +122,8 @@ def select_digit(placed: DataFrame, splits: dict[int, dict], weight: str, shift:
     """The next 12 bits of each node's split key: the first digit at which the weight
     below passes the goal. On the last digit the nearer of its two edges is taken."""
     dims = sorted({s["dim"] for s in splits.values()})
-    table = F.broadcast(split_frame(placed.sparkSession, splits))
     counted = (
-        placed.join(table, F.col("shard") == F.col("split.node"))
+        with_split(placed, splits)
         .select("shard", "split.prefix", F.col(weight).alias("weight"), F.shiftright(key_of(dims), shift).alias("digit"))
         .where(F.shiftright("digit", DIGIT) == F.col("prefix"))
         .groupBy("shard", "digit")
@@ -123,8 +131,7 @@ def select_digit(placed: DataFrame, splits: dict[int, dict], weight: str, shift:
     )
     upto = Window.partitionBy("shard").orderBy("digit")
     found = (
-        counted.withColumn("upto", F.sum("weight").over(upto))
-        .join(table, F.col("shard") == F.col("split.node"))
+        with_split(counted.withColumn("upto", F.sum("weight").over(upto)), splits)
         .where(F.col("split.below") + F.col("upto") >= F.col("split.goal") - 1e-6)
         .groupBy("shard")
         .agg(F.min(F.struct("digit", "upto", "weight")).alias("first"))
