@@ -47,7 +47,8 @@ TOKEN = re.compile(
     re.S | re.I,
 )
 NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-WORD_FLOOR, TAG_CEILING = 0.5, -0.25
+#: Weights are held within these, so that an advert inside an article doesn't end it.
+WORD_FLOOR, TAG_CEILING, TAG_FLOOR = 0.5, -0.25, -1.0
 
 
 def is_boilerplate(name: str, attrs: str) -> bool:
@@ -115,9 +116,9 @@ def fitted_weights() -> dict[str, float]:
         if key == "#word":
             odds = max(odds, WORD_FLOOR)
         elif key == "#side":
-            odds = min(odds, -WORD_FLOOR)
+            odds = -WORD_FLOOR
         else:
-            odds = min(odds, TAG_CEILING)
+            odds = max(min(odds, TAG_CEILING), TAG_FLOOR)
         weights[key] = odds
     return weights
 

@@ -9,8 +9,9 @@ stays and all others are removed. The bands are tuned for recall: as few as find
 pair at the threshold with probability ``recall``, of rows enough that unlike
 paragraphs seldom meet.
 
-Defined cases: a null or empty text has no paragraphs; repeated rows and paragraphs
-repeated within a document count as repeats; rows with a null ``doc_id`` are ignored;
+Defined cases: a null or empty text has no paragraphs; paragraphs repeated within a
+document count as repeats; so do repeated rows, of which those with the first one's
+document and place stay; rows with a null ``doc_id`` are ignored;
 other columns are ignored; an empty table gives an empty result. Classes are named by
 64-bit hashes of their words.
 """

@@ -58,6 +58,8 @@ def kd_splits(rows: DataFrame, dims: list[str], weight: str, n_leaves: int) -> l
             .agg(F.sum(weight).alias("w"), *[f(d).alias(f"{k}_{d}") for d in dims for k, f in (("min", F.min), ("max", F.max))])
             .collect()
         )
+        if not stats:
+            break
         splits = {}
         for s in stats:
             spread = {d: (s[f"max_{d}"] - s[f"min_{d}"]) / width[d] if width[d] else 0.0 for d in dims}
