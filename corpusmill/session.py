@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -28,3 +30,21 @@ def local_session(cores: int | None = None, shuffle_partitions: int = 8, memory:
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once an application, so that
+    functions run there wherever the repository lies."""
+    context = spark.sparkContext
+    if getattr(context, "_corpusmill_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="corpusmill-code-"), "corpusmill.zip")
+    with zipfile.ZipFile(path, "w") as archive:
+        for folder, _, names in os.walk(os.path.join(root, "corpusmill")):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    archive.write(full, os.path.relpath(full, root))
+    context.addPyFile(path)
+    context._corpusmill_shipped = True
