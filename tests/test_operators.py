@@ -179,3 +179,13 @@ def test_intake_appends_new_keys_once(spark, tmp_path):
         stream = spark.readStream.schema("url string").option("maxFilesPerTrigger", 1).json(str(source))
         S.intake(stream, target, ["url"], str(tmp_path / "ck")).awaitTermination()
     assert sorted(r.url for r in spark.read.parquet(target).collect()) == ["a", "b", "c"]
+
+
+def test_bucket_entries(spark):
+    from corpusmill.operators.buckets import bucket_entries
+
+    text = "---\nbucket: true\n---\n# 2025-01\n\n## mem-1a\n\n> importance=8 | tags=a, b | created=2025-01-02 | project=p1\n\nbody one\n\n```\n## mem-ff\n```\n\n## mem-2b\nplain\n\n## mem-1a\nagain"
+    rows = bucket_entries(spark.createDataFrame([("s.md", text)], "path string, text string")).orderBy("entry_index").collect()
+    assert [(r.mem_id, r.anchor) for r in rows] == [("mem-1a", "mem-1a"), ("mem-2b", "mem-2b"), ("mem-1a", "mem-1a:d1")]
+    assert (rows[0].importance, rows[0].tags, rows[0].project, rows[0].created.year) == (8, ["a", "b"], "p1", 2025)
+    assert rows[0].content == "body one\n\n```\n## mem-ff\n```" and rows[1].content == "plain"
