@@ -29,30 +29,41 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import discard, scratch_path, stored
 
 BLOCK_TOKENS = 1 << 18
-CACHE_WORDS = 250_000
+CACHE_WORDS = 200_000
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.int64) + 1
 
 
-def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """(control bytes, data bytes) of one document."""
-    n = len(ranks)
-    size = 1 + (ranks > 0xFF) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF).astype(np.int64)
-    codes = np.zeros(-(-n // 4) * 4, np.uint8)
-    codes[:n] = size - 1
-    control = codes.reshape(-1, 4) @ np.array([1, 4, 16, 64], np.uint8)
-    raw = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return control.astype(np.uint8).tobytes(), raw[np.arange(4) < size[:, None]].tobytes()
+def encode_ranks(ranks: np.ndarray, counts: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """Control bytes and data bytes of each document; ``ranks`` has one after the other."""
+    size = 1 + (ranks > 0xFF) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF).astype(np.uint8)
+    groups = -(-counts // 4)
+    codes = np.zeros(groups.sum() * 4, np.uint8)
+    codes[padded_places(counts)] = size - 1
+    control = (codes.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8).tobytes()
+    data = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]].tobytes()
+    ends = np.append(0, np.cumsum(size, dtype=np.int64))[np.append(0, np.cumsum(counts))]
+    stops = np.append(0, np.cumsum(groups))
+    cut = lambda whole, at: [whole[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    return cut(control, stops), cut(data, ends)
 
 
-def decode_ranks(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
-    """The ``n`` ranks of one document."""
-    size = LENGTHS[control].ravel()[:n]
+def padded_places(counts: np.ndarray) -> np.ndarray:
+    """Where each id's length stands when every document begins a new control byte."""
+    groups = -(-counts // 4)
+    shift = (np.cumsum(groups) - groups) * 4 - (np.cumsum(counts) - counts)
+    return np.repeat(shift, counts) + np.arange(counts.sum())
+
+
+def decode_ranks(control: np.ndarray, data: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The ranks of the documents of a block, one after the other."""
+    size = LENGTHS[control].ravel()[padded_places(counts)]
     starts = np.cumsum(size) - size
     padded = np.concatenate([data, np.zeros(4, np.uint8)])
     raw = padded[starts[:, None] + np.arange(4)]
@@ -60,12 +71,21 @@ def decode_ranks(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     return np.ascontiguousarray(raw).view("<u4").ravel()
 
 
+def flat_ids(column: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """(all ids, number of each row) of a column of little-endian 32-bit integers."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    whole = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    return np.frombuffer(whole.tobytes(), "<u4"), np.diff(offsets).astype(np.int64) // 4
+
+
+def ragged(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of ``flat`` that begin at ``starts``, one after the other."""
+    return flat[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+
+
 class WordCodec:
     """Whole texts to ids, equal to ``Tokenizer.encode(text, add_special_tokens=False)``."""
 
-    #: A special token of the vocabulary, which no plain text holds: it ends a word.
-    END = "<|endoftext|>"
-
     def __init__(self, path: str):
         import regex
         from tokenizers import Tokenizer, pre_tokenizers
@@ -76,7 +96,9 @@ class WordCodec:
         self.parts.pre_tokenizer = pre_tokenizers.Sequence(
             [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
         )
-        self.end = self.parts.token_to_id(self.END)
+        #: Whether a token ends a piece.
+        self.ends = np.zeros(self.parts.get_vocab_size(), bool)
+        self.ends[[i for token, i in self.parts.get_vocab().items() if token.endswith("</w>")]] = True
         #: Fixed value: the tokenizer's own pattern for pieces of a word, and the line ends put between words.
         self.pieces = regex.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         self.plain = regex.compile(r"[\x00-\x1b\x20-\u012f\u0131-\u024f\u2010-\u2027\u2030-\u203a]*+")
@@ -84,20 +106,38 @@ class WordCodec:
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
+        self.warm: set[str] = set()
         self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint16)
+        self.flat = np.zeros(0, np.uint32)
+
+    def shrink(self) -> None:
+        """Forget the words that were met in one call only."""
+        words = [w for w in self.warm if w in self.at]
+        kept = np.fromiter((self.at[w] for w in words), np.int64, len(words))
+        flat, sizes = ragged(self.flat, self.starts[kept], self.sizes[kept]), self.sizes[kept]
+        self.clear()
+        if len(words) <= CACHE_WORDS // 2:
+            self.at, self.flat, self.sizes, self.starts = dict(zip(words, range(len(words)), strict=True)), flat, sizes, np.cumsum(sizes) - sizes
 
     def learn(self, words: list[str]) -> None:
-        pieces = " ".join(self.pieces.findall("\n".join(words))).replace("\n", self.END)
-        ids = np.array(self.parts.encode_batch_fast([pieces], add_special_tokens=False)[0].ids, np.uint32)
-        stops = np.append(np.flatnonzero(ids == self.end), len(ids))
-        if len(stops) != len(words):
-            raise ValueError("a word holds a special token")
-        begins = np.append(0, stops[:-1] + 1)
+        pieces = self.pieces.findall("\n".join(words))
+        places = {p: i for i, p in enumerate(dict.fromkeys(pieces)) if p != "\n"}
+        places = dict(zip(places, range(len(places)), strict=True))
+        ids = np.array(self.parts.encode_batch_fast([" ".join(places)], add_special_tokens=False)[0].ids, np.uint32)
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(places):
+            raise ValueError("the tokenizer split a piece of a word")
+        order = np.fromiter((places.get(p, -1) for p in pieces), np.int64, len(pieces))
+        breaks = np.flatnonzero(order < 0) - np.arange(len(words) - 1)
+        order = order[order >= 0]
+        sizes = np.diff(np.append(0, stops))
+        flat = ragged(ids, (stops - sizes)[order], sizes[order])
+        ends = np.append(0, np.cumsum(sizes[order]))[np.append(breaks, len(order))]
+        begins = np.append(0, ends[:-1])
         self.at.update(zip(words, range(len(self.at), len(self.at) + len(words)), strict=True))
         self.starts = np.concatenate([self.starts, begins + len(self.flat)])
-        self.sizes = np.concatenate([self.sizes, stops - begins])
-        self.flat = np.concatenate([self.flat, ids if ids.max() > 0xFFFF else ids.astype(np.uint16)])
+        self.sizes = np.concatenate([self.sizes, ends - begins])
+        self.flat = np.concatenate([self.flat, flat])
 
     def whole_text(self, text: str) -> list[int]:
         from tokenizers import Tokenizer
@@ -105,26 +145,29 @@ class WordCodec:
         self.whole = self.whole or Tokenizer.from_file(self.path)
         return self.whole.encode(text, add_special_tokens=False).ids
 
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """Ids of each text, in order."""
-        split = [t.lower().split() if self.plain.fullmatch(t) and "<|" not in t else None for t in texts]
-        plain = [words for words in split if words]
-        new = list(set().union(*plain).difference(self.at))
-        if len(self.at) + len(new) > CACHE_WORDS:
-            self.clear()
-            new = list(set().union(*plain))
-        if new:
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, number of each). The words are told
+        apart by Arrow; Python sees each different one once a call."""
+        plain = [bool(self.plain.fullmatch(t)) and "<|" not in t for t in texts]
+        lowered = pa.array([t.lower() if p else "" for t, p in zip(texts, plain, strict=True)], pa.large_string())
+        split = pc.utf8_split_whitespace(lowered)
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        if len(self.at) + len(words) > CACHE_WORDS:
+            self.shrink()
+        own = [self.at.get(w, -1) for w in words]
+        self.warm.update(w for w, i in zip(words, own, strict=True) if i >= 0)
+        if new := [w for w, i in zip(words, own, strict=True) if i < 0 and w]:
             self.learn(new)
-        for text, words in zip(texts, split, strict=True):
-            if words is None:
-                yield np.array(self.whole_text(text), np.uint32)
-            elif not words:
-                yield np.zeros(0, np.uint32)
-            else:
-                at = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
-                size = self.sizes[at]
-                shift = np.cumsum(size) - size
-                yield self.flat[np.repeat(self.starts[at] - shift, size) + np.arange(size.sum())]
+            own = [self.at.get(w, -1) for w in words]
+        at = np.array(own, np.int64)[coded.indices.to_numpy()] if words else np.zeros(0, np.int64)
+        size = np.where(at < 0, 0, self.sizes[at]) if len(self.sizes) else np.zeros(len(at), np.int64)
+        ids = ragged(self.flat, self.starts[at] if len(self.starts) else size, size)
+        ends = np.append(0, np.cumsum(size))[split.offsets.to_numpy()]
+        if all(plain):
+            return ids, np.diff(ends)
+        parts = [ids[i:j] if p else np.array(self.whole_text(t), np.uint32) for t, p, i, j in zip(texts, plain, ends[:-1], ends[1:], strict=True)]
+        return np.concatenate(parts), np.array([len(x) for x in parts])
 
 
 @lru_cache(maxsize=1)
@@ -138,13 +181,15 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(tokenizer)
-        end = np.array([end_id], np.uint32)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                ids = [np.concatenate([x, end]).astype("<u4").tobytes() for x in own.encode(texts)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                ids, counts = own.encode([t or "" for t in part.column(1).to_pylist()])
+                ends = np.cumsum(counts)
+                ids = np.insert(ids, ends, end_id)
+                offsets = np.append(0, 4 * (ends + np.arange(1, len(ends) + 1))).astype(np.int32)
+                coded = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype("<u4"))])
+                yield pa.RecordBatch.from_arrays([part.column(0), coded], names=["doc_id", "ids"])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
 
@@ -155,10 +200,9 @@ def id_counts(tokens: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for ids in batch.column(0).to_pylist():
-                seen = np.bincount(np.frombuffer(ids, "<u4"), minlength=len(total))
-                seen[: len(total)] += total
-                total = seen
+            seen = np.bincount(flat_ids(batch.column(0))[0], minlength=len(total))
+            seen[: len(total)] += total
+            total = seen
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
 
@@ -196,14 +240,12 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         for batch in batches:
             doc_ids = batch.column(0)
             plain = doc_ids.fill_null(-(2**63)).to_numpy(zero_copy_only=False)
-            coded, counts = [], []
-            for ids in batch.column(1).to_pylist():
-                own = rank_of[np.frombuffer(ids, "<u4")]
-                counts.append(len(own))
-                coded.append(encode_ranks(own))
-            arrays = [pa.array(np.searchsorted(bounds, plain, "right").astype(np.int32)), doc_ids, pa.array(counts, pa.int64())]
-            arrays += [pa.array([c[k] for c in coded], pa.binary()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["part", "doc_id", "n", "control", "data"])
+            for at in range(0, batch.num_rows, 1024):
+                ids, counts = flat_ids(batch.column(1).slice(at, 1024))
+                control, data = encode_ranks(rank_of[ids], counts)
+                part = np.searchsorted(bounds, plain[at : at + 1024], "right").astype(np.int32)
+                arrays = [pa.array(part), doc_ids.slice(at, 1024), pa.array(counts), pa.array(control, pa.binary()), pa.array(data, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["part", "doc_id", "n", "control", "data"])
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, start, fill, held = None, 0, 0, 0, []
@@ -254,15 +296,11 @@ def read_token_files(spark, folder: str) -> DataFrame:
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, doc_ids, counts, control, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                control, data = np.frombuffer(control, np.uint8), np.frombuffer(data, np.uint8)
                 n = np.array(counts, np.int64)
-                widths = LENGTHS[control]
-                stops = np.cumsum(-(-n // 4))
-                ids, c, d = [], 0, 0
-                for own, stop in zip(n, stops, strict=True):
-                    used = int(widths[c:stop].ravel()[:own].sum())
-                    ids.append(id_of[decode_ranks(control[c:stop], data[d : d + used], own)].tobytes())
-                    c, d = stop, d + used
+                ranks = decode_ranks(np.frombuffer(control, np.uint8), np.frombuffer(data, np.uint8), n)
+                whole = id_of[ranks].tobytes()
+                ends = 4 * np.cumsum(n)
+                ids = [whole[i:j] for i, j in zip((ends - 4 * n).tolist(), ends.tolist(), strict=True)]
                 starts = start + np.cumsum(n) - n
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(doc_ids, pa.int64()), pa.array(starts), pa.array(n), pa.array(ids, pa.binary())],

@@ -119,12 +119,16 @@ def test_templates_that_rewrite_history_are_found(spark):
     assert [r.rewrites_history for r in format_conversations(frame, thinking).orderBy("n").collect()] == [False, True]
 
 
-@pytest.mark.parametrize("n", [0, 1, 3, 4, 5, 1000])
-def test_ranks_round_trip(n):
-    ranks = (np.random.default_rng(n).pareto(0.3, n) * 3).clip(0, 2**32 - 1).astype(np.uint32)
-    control, data = encode_ranks(ranks)
-    assert len(control) == -(-n // 4) and LENGTHS.shape == (256, 4)
-    assert (decode_ranks(np.frombuffer(control, np.uint8), np.frombuffer(data, np.uint8), n) == ranks).all()
+@pytest.mark.parametrize("counts", [[0], [1], [3, 0, 4], [5, 1000, 2]])
+def test_ranks_round_trip(counts):
+    counts = np.array(counts)
+    ranks = (np.random.default_rng(7).pareto(0.3, counts.sum()) * 3).clip(0, 2**32 - 1).astype(np.uint32)
+    control, data = encode_ranks(ranks, counts)
+    assert [len(c) for c in control] == [-(-n // 4) for n in counts] and LENGTHS.shape == (256, 4)
+    whole = [np.frombuffer(b"".join(x), np.uint8) for x in (control, data)]
+    assert (decode_ranks(*whole, counts) == ranks).all()
+    for c, d, r in zip(control, data, np.split(ranks, np.cumsum(counts)[:-1]), strict=True):
+        assert (decode_ranks(np.frombuffer(c, np.uint8), np.frombuffer(d, np.uint8), np.array([len(r)])) == r).all()
 
 
 def token_rows(path, rows):
@@ -156,9 +160,12 @@ def test_whole_texts_encode_like_the_library():
 
     codec = WordCodec(path)
     texts = ["", "  ", "Don't I'LL 'S x''s 12ab ½ a²b", "<|endoftext|> hi", "a\x1cb\x85c\xa0d", "ÀÉß İ ŉ ǅ", "日本 語 café", "e\u0301 \u2018q\u2019"]
+    texts.append(" ".join(chr(c) for c in range(0x20, 0x250) if c != 0x130))
     for _ in range(2):
-        for text, ids in zip(texts, codec.encode(texts), strict=True):
-            assert ids.tolist() == codec.whole_text(text)
+        for some in (texts, [t for t in texts if "<" not in t and "\x1c" not in t][:3], [""]):
+            ids, counts = codec.encode(some)
+            for text, own in zip(some, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+                assert own.tolist() == codec.whole_text(text)
 
 
 def test_rows_are_whole(spark, edge_docs):
