@@ -13,7 +13,7 @@ from corpusmill.llm.htmltext import extract_main_text
 from corpusmill.llm.mixing import MixTarget, mix_sources
 from corpusmill.llm.neardup import near_duplicates
 from corpusmill.llm.quality import quality_rules
-from corpusmill.llm.repeats import repeated_paragraphs
+from corpusmill.llm.repeats import repeated_passages
 from corpusmill.llm.sharding import shard_documents
 from corpusmill.llm.tokenfiles import token_digests
 from corpusmill.llm.urlfilter import judge_urls
@@ -48,7 +48,7 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_paragraphs(table(spark, sf_dir, "documents"))
+    return repeated_passages(table(spark, sf_dir, "documents"))
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Repeated passages by MinHash banding of paragraphs.
+"""Repeated passages by MinHash banding of paragraphs, and exact runs inside them.
 
 A paragraph is a line of at least ``min_words`` words; shorter lines (headings,
 greetings, single words) repeat in clean texts too and are left alone. Paragraphs
@@ -9,6 +9,12 @@ stays and all others are removed. The bands are tuned for recall: as few as find
 pair at the threshold with probability ``recall``, of rows enough that unlike
 paragraphs seldom meet.
 
+A passage may also stand inside a longer paragraph. So texts are cut as well into
+segments at places that depend on a few words around them alone; a passage gives the
+same segments wherever it stands. Neighbouring segments that each occur elsewhere form
+a run, and runs of at least ``min_run`` words are repeated passages. Passages of 50
+words and more have such a run but for rare cuts; a line of common words has none.
+
 Defined cases: a null or empty text has no paragraphs; paragraphs repeated within a
 document count as repeats; so do repeated rows, of which those with the first one's
 document and place stay; rows with a null ``doc_id`` are ignored;
@@ -19,21 +25,40 @@ other columns are ignored; an empty table gives an empty result. Classes are nam
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import stored
 from corpusmill.llm.shingles import MIX, WordHashes, mixed, permutations, shingle_set
 from corpusmill.llm.simjoin import linked, parity_sketch, shared_lists, with_centres
 
-MIN_WORDS = 20
+MIN_WORDS, MIN_RUN = 20, 20
+REACH = 4
 WIDE = 1 << 14
 
 
+def segment_starts(words: np.ndarray, reach: int = REACH) -> np.ndarray:
+    """Places whose word pair hashes lowest among the ``reach`` places on either side."""
+    if len(words) < 2 * reach + 2:
+        return np.zeros(0, np.int64)
+    h = mixed(words[:-1] * MIX[3] + words[1:])
+    lowest = np.lib.stride_tricks.sliding_window_view(h, 2 * reach + 1).min(axis=1)
+    return np.flatnonzero(h[reach : len(h) - reach] == lowest) + reach
+
+
+def run_hashes(words: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the words of each run."""
+    size = ends - begins
+    at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    own = mixed(words[np.repeat(begins, size) + at] + at.astype(np.uint64) * MIX[0])
+    return mixed(np.add.reduceat(own, np.cumsum(size) - size) + size.astype(np.uint64)).view(np.int64)
+
+
 def tuned_bands(threshold: float, recall: float = 0.995, unlike: float = 0.2, collisions: float = 0.02) -> tuple[int, int]:
     """(bands, rows): the fewest bands that reach ``recall`` at ``threshold`` and let
     pairs with a Jaccard of ``unlike`` collide with at most the given probability."""
@@ -55,10 +80,6 @@ def paragraph_hashes(words: np.ndarray, begins: np.ndarray, ends: np.ndarray, sh
     """(ids, bands): a hash of each paragraph's words, and its band keys."""
     n = len(words)
     size = ends - begins
-    at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    place = np.repeat(begins, size) + at
-    own = mixed(words[place] + at.astype(np.uint64) * MIX[0])
-    ids = mixed(np.add.reduceat(own, np.cumsum(size) - size) + size.astype(np.uint64))
     h = np.full(n - shingle + 1, shingle, np.uint64)
     for i in range(shingle):
         h = mixed(h * MIX[i] + words[i : n - shingle + 1 + i])
@@ -69,44 +90,54 @@ def paragraph_hashes(words: np.ndarray, begins: np.ndarray, ends: np.ndarray, sh
     keys = np.repeat(np.arange(len(signature), dtype=np.uint64)[:, None], len(begins), axis=1)
     for r in range(rows):
         keys = mixed(keys * MIX[1] + signature[:, r])
-    return ids.view(np.int64), keys.T.view(np.int64)
+    return run_hashes(words, begins, ends), keys.T.view(np.int64)
 
 
-def document_words(text: str, hashes: WordHashes, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word hashes, paragraph numbers, begins, ends) of the long enough lines."""
+def document_words(text: str, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words, number of words of each line)."""
     lines = [line.split() for line in text.encode("utf-8", "surrogatepass").lower().split(b"\n")]
-    size = np.array([len(line) for line in lines])
-    number = np.flatnonzero(size >= min_words)
-    ends = np.cumsum(size[number])
-    return hashes.of([w for i in number for w in lines[i]]), number, ends - size[number], ends
+    return hashes.of([w for line in lines for w in line]), np.array([len(line) for line in lines])
 
 
-PARAGRAPHS = "doc_id long, paragraph int, n_words int, id long, bands array<long>"
+UNITS = "doc_id long, paragraph int, start int, n_words int, id long, bands array<long>"
 
 
-def paragraphs(docs: DataFrame, shingle: int, min_words: int, bands: int, rows: int) -> DataFrame:
-    """One row for each paragraph of each document (doc_id, text)."""
+def units(docs: DataFrame, shingle: int, min_words: int, bands: int, rows: int) -> DataFrame:
+    """One row for each paragraph (with its line number and band keys) and each segment
+    (without) of each document (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         a, b = permutations(bands * rows)
         for batch in batches:
             for part in (batch.slice(at, 256) for at in range(0, batch.num_rows, 256)):
-                out: list[list] = [[], [], [], [], []]
+                whole: list[tuple] = []
+                cut: list[tuple] = []
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    words, number, begins, ends = document_words(text or "", hashes, min_words)
+                    words, size = document_words(text or "", hashes)
+                    number = np.flatnonzero(size >= min_words)
                     if len(number):
+                        ends = np.cumsum(size)[number]
+                        begins = ends - size[number]
                         ids, keys = paragraph_hashes(words, begins, ends, shingle, a, b, rows)
-                        out[0].append(np.full(len(number), doc_id, np.int64))
-                        for column, values in zip(out[1:], (number, ends - begins, ids, keys), strict=True):
-                            column.append(values)
-                if out[0]:
-                    doc_ids, number, size, ids, keys = (np.concatenate(c) for c in out)
-                    lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, bands, dtype=np.int32), pa.array(keys.ravel()))
-                    arrays = [pa.array(doc_ids), pa.array(number.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(ids), lists]
-                    yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "paragraph", "n_words", "id", "bands"])
-
-    return docs.where("doc_id IS NOT NULL").selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, PARAGRAPHS)
+                        whole.append((np.full(len(number), doc_id), number, begins, size[number], ids, keys.ravel()))
+                    cuts = segment_starts(words)
+                    if len(cuts) > 1:
+                        ids = run_hashes(words, cuts[:-1], cuts[1:])
+                        cut.append((np.full(len(ids), doc_id), cuts[:-1], np.diff(cuts), ids))
+                if whole:
+                    doc_ids, number, begins, size, ids, keys = map(np.concatenate, zip(*whole, strict=True))
+                    lists = pa.ListArray.from_arrays(np.arange(0, len(keys) + 1, bands, dtype=np.int32), pa.array(keys))
+                    yield batch_of(doc_ids, pa.array(number, pa.int32()), begins, size, ids, lists)
+                if cut:
+                    doc_ids, begins, size, ids = map(np.concatenate, zip(*cut, strict=True))
+                    yield batch_of(doc_ids, pa.nulls(len(ids), pa.int32()), begins, size, ids, pa.nulls(len(ids), pa.list_(pa.int64())))
+
+    def batch_of(doc_ids: np.ndarray, number: pa.Array, begins: np.ndarray, size: np.ndarray, ids: np.ndarray, lists: pa.Array) -> pa.RecordBatch:
+        arrays = [pa.array(doc_ids, pa.int64()), number, pa.array(begins, pa.int32()), pa.array(size, pa.int32()), pa.array(ids), lists]
+        return pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in UNITS.split(", ")])
+
+    return docs.where("doc_id IS NOT NULL").selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, UNITS)
 
 
 def paragraph_sets(wanted: DataFrame, shingle: int) -> DataFrame:
@@ -133,16 +164,40 @@ def paragraph_sets(wanted: DataFrame, shingle: int) -> DataFrame:
     return wanted.select("text", "places").mapInArrow(run, "id long, n long, items array<long>, sketch array<long>")
 
 
-def repeated_paragraphs(docs: DataFrame, shingle: int = 5, percent: int = 80, min_words: int = MIN_WORDS, recall: float = 0.995) -> DataFrame:
-    """(doc_id, paragraph, n_words, cluster_id, first_doc_id, first_paragraph, removed) for
-    each paragraph that stands in a component with another one. ``paragraph`` is the
-    number of its line, from 0."""
+def repeated_runs(segments: DataFrame, min_run: int) -> DataFrame:
+    """Runs of neighbouring segments (doc_id, start, n_words, id) that all occur elsewhere."""
+    again = segments.groupBy("id").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "start")).alias("first")).where("copies > 1")
+    shared = segments.join(again.drop("copies"), "id")
+    w = Window.partitionBy("doc_id").orderBy("start")
+    follows = F.lag(F.col("start") + F.col("n_words")).over(w) == F.col("start")
+    runs = shared.withColumn("run", F.sum((~F.coalesce(follows, F.lit(False))).cast("int")).over(w))
+    elsewhere = F.sum(F.when(F.struct("doc_id", "start") != F.col("first"), F.col("n_words")).otherwise(0))
+    return (
+        runs.groupBy("doc_id", "run")
+        .agg(F.min("start").alias("start"), F.sum("n_words").cast("int").alias("n_words"), F.min(F.struct("first", "id")).alias("m"), elsewhere.alias("elsewhere"))
+        .where(F.col("n_words") >= min_run)
+        .select(
+            "doc_id", F.lit(None).cast("int").alias("paragraph"), "start", "n_words", F.col("m.id").alias("cluster_id"),
+            F.col("m.first.doc_id").alias("first_doc_id"), F.col("m.first.start").alias("first_start"), (F.col("elsewhere") >= min_run).alias("removed"),
+        )
+    )
+
+
+def repeated_passages(
+    docs: DataFrame, shingle: int = 5, percent: int = 80, min_words: int = MIN_WORDS, recall: float = 0.995, min_run: int = MIN_RUN
+) -> DataFrame:
+    """(doc_id, paragraph, start, n_words, cluster_id, first_doc_id, first_start, removed) for each
+    paragraph that stands in a component with another one (``paragraph`` is the number of its
+    line, from 0), and for each run of repeated segments (``paragraph`` is null). ``start``
+    counts the document's words. Of a cluster the first by document and place stays."""
     bands, rows = tuned_bands(percent / 100, recall)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    found = stored(paragraphs(docs, shingle, max(min_words, shingle), bands, rows), "paragraphs")
+    found = stored(units(docs, shingle, max(min_words, shingle), bands, rows), "units")
+    runs = stored(repeated_runs(found.where("paragraph IS NULL").select("doc_id", "start", "n_words", "id"), min_run), "runs")
+    found = found.where("paragraph IS NOT NULL")
     classes = stored(
         found.groupBy("id").agg(
-            F.count("*").alias("copies"), F.min(F.struct("doc_id", "paragraph")).alias("first"), F.first("bands").alias("bands")
+            F.count("*").alias("copies"), F.min(F.struct("doc_id", "paragraph", "start")).alias("first"), F.first("bands").alias("bands")
         ),
         "classes",
     )
@@ -159,16 +214,28 @@ def repeated_paragraphs(docs: DataFrame, shingle: int = 5, percent: int = 80, mi
     )
     repeated = clusters.groupBy("cluster_id").agg(F.sum("copies").alias("copies"), F.min("first").alias("first")).where("copies > 1")
     named = clusters.select("id", "cluster_id").join(repeated, "cluster_id")
-    return found.select("doc_id", "paragraph", "n_words", "id").join(named, "id").select(
-        "doc_id", "paragraph", "n_words", "cluster_id",
-        F.col("first.doc_id").alias("first_doc_id"), F.col("first.paragraph").alias("first_paragraph"),
-        (F.struct("doc_id", "paragraph") != F.col("first")).alias("removed"),
+    paragraphs = found.select("doc_id", "paragraph", "start", "n_words", "id").join(named, "id").select(
+        "doc_id", "paragraph", "start", "n_words", "cluster_id",
+        F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"),
+        (F.struct("doc_id", "paragraph", "start") != F.col("first")).alias("removed"),
     )
+    return paragraphs.unionByName(runs)
 
 
 def without_repeats(docs: DataFrame, repeats: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) with the removed paragraphs taken out of the text."""
-    gone = repeats.where("removed").groupBy("doc_id").agg(F.collect_set("paragraph").alias("gone"))
-    lines = F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains(F.col("gone"), i))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
-    return docs.join(gone, "doc_id", "left").withColumn("text", text).drop("gone")
+    """(doc_id, text) with the words of removed paragraphs and runs taken out."""
+    gone = repeats.where("removed").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n_words")).alias("gone"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if spans and text:
+                    dropped = {i for s in spans for i in range(s["start"], s["start"] + s["n_words"])}
+                    pieces = re.findall(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*|[\x20\x09-\x0D]+", text)
+                    first = 1 if pieces[0][0] in " \t\n\r\x0b\x0c" else 0
+                    text = "".join(p for i, p in enumerate(pieces) if i < first or i - first not in dropped)
+                texts.append(text)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    return docs.select("doc_id", "text").join(gone, "doc_id", "left").mapInArrow(cut, "doc_id long, text string")

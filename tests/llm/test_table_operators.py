@@ -13,7 +13,7 @@ from corpusmill.llm.decontaminate import contaminated_documents
 from corpusmill.llm.mixing import MixTarget, mix_sources
 from corpusmill.llm.neardup import near_duplicates
 from corpusmill.llm.quality import quality_rules
-from corpusmill.llm.repeats import repeated_paragraphs, tuned_bands, without_repeats
+from corpusmill.llm.repeats import repeated_passages, tuned_bands, without_repeats
 from corpusmill.llm.sharding import place_rows, shard_documents
 from corpusmill.llm.urlfilter import judge_urls
 from tests.llm.brute import blank_words, by_key, components, contaminated, near_components, shingles
@@ -36,22 +36,40 @@ def test_repeats_equal_all_pairs(spark, documents):
     for i, c in components(links, range(len(places))).items():
         groups[c].append(places[i][:2])
     want = sorted((d, p, min(g), (d, p) != min(g)) for g in groups.values() if len(g) > 1 for d, p in g)
-    rows = repeated_paragraphs(documents, recall=0.9999).collect()
-    assert sorted((r.doc_id, r.paragraph, (r.first_doc_id, r.first_paragraph), r.removed) for r in rows) == want and want
-    assert repeated_paragraphs(documents).count() >= 0.99 * len(want)
+    want = [(d, p, f[0], gone) for d, p, f, gone in want]
+    rows = repeated_passages(documents, recall=0.9999).where("paragraph IS NOT NULL").collect()
+    assert sorted((r.doc_id, r.paragraph, r.first_doc_id, r.removed) for r in rows) == want and want
+
+
+def test_passages_inside_lines_are_found_and_common_lines_left(spark):
+    import random
+
+    rng = random.Random(9)
+    words = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    passages = [words(51) for _ in range(40)]
+    common = " ".join(words(13))
+    rows = []
+    for i in range(400):
+        text = words(rng.randint(30, 90))
+        if i < 200:
+            at = rng.randrange(len(text))
+            text[at:at] = passages[i % 40]
+        rows.append((i, f"{common}\n{' '.join(text)}\n{common}"))
+    got = {r.doc_id for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got <= set(range(200)) and len(got) >= 190
 
 
 def test_repeats_edges(spark, edge_docs, no_docs):
-    rows = repeated_paragraphs(edge_docs.where("doc_id <> 8")).collect()
-    assert {r.doc_id for r in rows} == {1, 2} and sorted(r.doc_id for r in rows if not r.removed) == [1, 1]
-    assert repeated_paragraphs(no_docs).count() == 0
+    rows = repeated_passages(edge_docs.where("doc_id <> 8")).collect()
+    assert {r.doc_id for r in rows} == {1, 2} and sorted(r.doc_id for r in rows if not r.removed and r.paragraph is not None) == [1, 1]
+    assert repeated_passages(no_docs).count() == 0
     assert tuned_bands(0.8) == (11, 4)
 
 
 def test_removed_paragraphs_leave_the_text(spark):
     line = " ".join(f"w{i}" for i in range(30))
     docs = spark.createDataFrame([(1, f"a\n{line}\nb"), (2, f"{line}\nc"), (3, "d")], "doc_id long, text string")
-    assert {r.doc_id: r.text for r in without_repeats(docs, repeated_paragraphs(docs)).collect()} == {1: f"a\n{line}\nb", 2: "c", 3: "d"}
+    assert {r.doc_id: r.text for r in without_repeats(docs, repeated_passages(docs)).collect()} == {1: f"a\n{line}\nb", 2: "c", 3: "d"}
 
 
 def test_mixing_keeps_the_limit_and_every_document(spark, documents):
