@@ -94,10 +94,8 @@ def archive_candidates(spark: SparkSession, d: str) -> DataFrame:
     return records(spark, d).groupBy(F.coalesce(why, F.lit("keep")).alias("outcome")).agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {RECORDS} SELECT a.id AS left_id, b.id AS right_id FROM rec a JOIN rec b ON a.subject = b.subject AND a.project_id = b.project_id AND a.id < b.id AND a.tags <> b.tags
-WHERE a.status = 'active' AND b.status = 'active' AND a.importance >= 8 AND b.importance >= 8""")
-def subject_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    live = records(spark, d).where("status = 'active' AND importance >= 8")
+def conflicts(live: DataFrame) -> DataFrame:
+    """(left_id, right_id) of records with one subject and project and unlike tags."""
     a, b = live.alias("a"), live.alias("b")
     same = (F.col("a.subject") == F.col("b.subject")) & (F.col("a.project_id") == F.col("b.project_id"))
     return a.join(b, same & (F.col("a.id") < F.col("b.id")) & (F.col("a.tags") != F.col("b.tags"))).select(
@@ -105,6 +103,19 @@ def subject_conflicts(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(f"""WITH {RECORDS} SELECT a.id AS left_id, b.id AS right_id FROM rec a JOIN rec b ON a.subject = b.subject AND a.project_id = b.project_id AND a.id < b.id AND a.tags <> b.tags
+WHERE a.status = 'active' AND b.status = 'active' AND a.importance >= 8 AND b.importance >= 8""")
+def subject_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    return conflicts(records(spark, d).where("status = 'active' AND importance >= 8"))
+
+
+@query(f"""WITH {RECORDS} SELECT a.id AS left_id, b.id AS right_id FROM rec a JOIN rec b ON a.subject = b.subject AND a.project_id = b.project_id AND a.id < b.id AND a.tags <> b.tags
+WHERE a.status = 'active' AND b.status = 'active'""")
+def subject_conflicts_all(spark: SparkSession, d: str) -> DataFrame:
+    """``subject_conflicts`` among all active records, whatever their importance."""
+    return conflicts(records(spark, d).where("status = 'active'"))
+
+
 @query(f"""WITH {RECORDS} SELECT project_id, tags, id, row_number() OVER (PARTITION BY project_id, tags ORDER BY importance DESC, valid_from, id)::INT AS rank FROM rec WHERE status = 'active' QUALIFY rank <= 5""")
 def memory_topics(spark: SparkSession, d: str) -> DataFrame:
     live = records(spark, d).where("status = 'active'")
@@ -313,6 +324,12 @@ def trigger_capture(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").where("turn % 2 = 0").select("conv_id", "turn", F.lower("text").rlike("that|tion|ein|que").alias("captured"))
 
 
+@query("""SELECT conv_id, turn, regexp_matches(lower(text), 'that|tion|ein|que') AS captured FROM conversations WHERE role = 'user'""")
+def trigger_capture_user(spark: SparkSession, d: str) -> DataFrame:
+    """``trigger_capture`` on the user's turns, told by their role."""
+    return table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.lower("text").rlike("that|tion|ein|que").alias("captured"))
+
+
 @query("""SELECT user_id, event_id, version::INT AS version, supersedes FROM (SELECT user_id, event_id, row_number() OVER w AS version, lag(event_id) OVER w AS supersedes FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id))""")
 def artifact_versions(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")

@@ -120,6 +120,14 @@ def graph_two_hop(spark: SparkSession, d: str) -> DataFrame:
     return graph.two_hops(links, nodes.where("node < 20"))
 
 
+@query(f"""WITH {EDGE}, s AS (SELECT DISTINCT src, dst FROM r WHERE ok), one AS (SELECT src AS node, dst AS other, 1 AS hops FROM s),
+two AS (SELECT node, s.dst AS other, 2 AS hops FROM one JOIN s ON other = s.src) SELECT node, other, min(hops) AS hops FROM (SELECT * FROM one UNION ALL SELECT * FROM two) WHERE node <> other GROUP BY ALL""")
+def graph_two_hop_all(spark: SparkSession, d: str) -> DataFrame:
+    """``graph_two_hop`` from every page."""
+    nodes, links = edges(spark, d)
+    return graph.two_hops(links, nodes)
+
+
 SECRET_SQL = "text"
 for _p, _r in T.SECRETS:
     SECRET_SQL = f"regexp_replace({SECRET_SQL}, '{_p}', '{_r.replace('$1', chr(92) + '1')}', 'g')"
