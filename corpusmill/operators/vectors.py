@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Queries that one row holds, about.
+BLOCK = 1000
+
+
 def dot(a: Column, b: Column) -> Column:
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
     return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
@@ -25,14 +29,16 @@ def normalised(vectors: DataFrame, column: str = "embedding") -> DataFrame:
 def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, floor: float = 0.0) -> DataFrame:
     """(query_id, vec_id, score, rank) above ``floor``, ties by id.
 
-    ``queries`` (query_id, unit) is a stated set of a few vectors, sent to every task
-    in one row; each vector meets all of them where it is read, and only each task's
-    best ``k`` a query are shuffled."""
+    ``queries`` (query_id, unit) are dealt by hash to blocks of about ``BLOCK``, each
+    one row, so no row holds them all; each vector meets each block, and only each
+    task's best ``k`` a query are shuffled."""
     from corpusmill.operators.lexical import top_k
 
-    held = queries.agg(F.collect_list(F.struct("query_id", F.col("unit").alias("q"))).alias("asked"))
+    blocks = max(1, -(-queries.count() // BLOCK))
+    block = F.pmod(F.xxhash64("query_id", F.hash("unit")), F.lit(blocks))
+    held = queries.groupBy(block.alias("block")).agg(F.collect_list(F.struct("query_id", F.col("unit").alias("q"))).alias("asked"))
     scored = (
-        vectors.join(F.broadcast(held))
+        vectors.crossJoin(held.select("asked"))
         .select("vec_id", "unit", F.inline("asked"))
         .select("query_id", "vec_id", F.round(dot(F.col("unit"), F.col("q")), 6).alias("score"))
         .where(F.col("score") > floor)

@@ -178,6 +178,28 @@ def vector_topk_by_scope(spark: SparkSession, d: str) -> DataFrame:
     return vectors.cosine_topk(asked_vectors(spark, d).select("query_id", "unit"), every, 10, 0.1)
 
 
+def all_asked_vectors(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "embeddings").where("vec_id % 100 = 0")
+    return vectors.normalised(rows).where("unit IS NOT NULL").select(F.col("vec_id").alias("query_id"), "unit")
+
+
+@query(f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, {COSINE} AS score FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s WHERE score > 0 QUALIFY rank <= 20""")
+def vector_batch_all(spark: SparkSession, d: str) -> DataFrame:
+    """``vector_batch`` for every vector whose id is divisible by 100."""
+    every = vectors.normalised(table(spark, d, "embeddings")).where("unit IS NOT NULL")
+    return vectors.cosine_topk(all_asked_vectors(spark, d), every, 20)
+
+
+@query(f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, {COSINE} AS score FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND b.label IN (1, 3, 5))
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s WHERE score > 0.1 QUALIFY rank <= 10""")
+def vector_topk_by_scope_all(spark: SparkSession, d: str) -> DataFrame:
+    """``vector_topk_by_scope`` for every vector whose id is divisible by 100."""
+    scope = table(spark, d, "embeddings").where(F.col("label").isin(1, 3, 5))
+    every = vectors.normalised(scope).where("unit IS NOT NULL")
+    return vectors.cosine_topk(all_asked_vectors(spark, d), every, 10, 0.1)
+
+
 ROUTES = f"""{FIELDS}, {WANTED}, {CONTENT},
 a AS (SELECT query_id, 'content' AS route, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, doc_id) AS rank FROM content JOIN wanted USING (token) GROUP BY query_id, doc_id QUALIFY rank <= 40),
 b AS (SELECT query_id, 'fields' AS route, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY sum(weight) DESC, doc_id) AS rank FROM posting JOIN wanted USING (token) GROUP BY query_id, doc_id QUALIFY rank <= 40),
