@@ -2,13 +2,14 @@
 
 The index has a posting (term, document, position) for every place in the training
 texts where a term of the test set stands; it is written once, in document order,
-and gives the terms' frequencies. Each test window is looked up from its rarest
-terms: their lists, shifted by the terms' offsets in the item, are intersected on
-(document, item, alignment). The few alignments that survive are confirmed word by
-word in the whole text of their document.
+and gives the terms' frequencies. Each test window is looked up by its rarest terms:
+so many that of a near match some must be there, whichever are missing. Their lists
+meet on (document, item, part of the document), parts overlapping by the longest
+stretch that is looked at. The few windows that survive are confirmed word by word in
+the whole text of their document, as exact and as near matches.
 
 Test items are joined by broadcast only where Catalyst's size estimate allows it.
-Lists are dealt out by document, item and alignment, so neither a frequent term nor
+Lists are dealt out by document, item and part, so neither a frequent term nor
 a passage that thousands of documents share meets in one task.
 
 Defined cases: a null or empty text has no words, is not contaminated and gives 0
@@ -29,6 +30,8 @@ from corpusmill.llm.common import ascii_lower, stored
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Stands for a null doc_id in joins.
 NO_ID = -(2**63)
+#: Stretches in a part of a document.
+PART = 8
 
 
 def words_of(text: Column) -> Column:
@@ -47,10 +50,10 @@ def contaminated_documents(
     """Hits of test windows in each document.
 
     ``items``: item_id, text. A window is ``window`` consecutive words of an item,
-    or all of a shorter one. ``lists`` is how many of a window's rarest terms are
-    intersected before the text is read. ``near_items`` counts items without an
-    exact hit of which a window has its rarest terms in place and at least
-    ``near_share`` of its terms within ``slack`` words.
+    or all of a shorter one. ``lists`` is how many of a window's rarest terms a match
+    must hold before the text is read. ``near_items`` counts items without an exact hit
+    of which some window has at least ``near_share`` of its terms within as many
+    consecutive words as it has itself and ``slack`` more on either side.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
     items = (
@@ -69,49 +72,71 @@ def contaminated_documents(
     ahead = Window.partitionBy("key").orderBy("at").rowsBetween(0, window - 1)
     windows = (
         placed.join(frequency, "term", "left")
-        .withColumn("ranked", F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "at", "term")).over(ahead)))
-        .where((F.col("at") <= F.col("n") - F.col("span")) & (F.col("ranked")[0]["df"] > 0))
-        .select("key", "at", F.slice("ranked", 1, lists).alias("rarest"))
-    )
+        .withColumn("places", F.collect_list(F.struct("term", "at")).over(ahead))
+        .withColumn("ranked", F.array_sort(F.collect_set(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).over(ahead)))
+        .where(F.col("at") <= F.col("n") - F.col("span"))
+        .withColumn("present", F.transform(F.filter("ranked", lambda r: r["df"] > 0), lambda r: r["term"]))
+        .withColumn("spare", F.size("present") - F.ceil(near_share * F.size("ranked")).cast("int"))
+        .where("spare >= 0")
+        .withColumn("terms", F.slice("present", F.lit(1), F.col("spare") + lists))
+        .select(
+            "key", "at", "terms", (F.size("terms") - F.col("spare")).alias("least"),
+            F.array_min(F.transform(F.filter("places", lambda p: p["term"] == F.col("terms")[0]), lambda p: p["at"])).alias("offset"),
+        )
+    )
     windows = stored(windows, "windows")
-    anchors = windows.select("key", F.inline("rarest")).select("key", F.col("at").alias("offset"), "term").distinct()
-    needs = windows.groupBy("key").agg(F.collect_set(F.array_sort(F.transform("rarest", lambda r: r["at"]))).alias("needs"))
+    needs = windows.groupBy("key").agg(F.min("least").alias("fewest"), F.collect_list(F.struct("at", "terms", "least", "offset")).alias("needs"))
+
+    stretch = window + 2 * slack
+    part = PART * stretch
+    first = F.floor(F.greatest(F.col("pos") - stretch, F.lit(0)) / part)
+
+    def together(w: Column) -> Column:
+        def enough(a: Column) -> Column:
+            inside = F.filter("spots", lambda x: (x["pos"] >= a["pos"]) & (x["pos"] < a["pos"] + stretch))
+            return F.size(F.array_intersect(w["terms"], inside["term"])) >= w["least"]
+
+        return (F.size(F.array_intersect(w["terms"], F.col("spots.term"))) >= w["least"]) & F.exists("spots", enough)
+
+    def placed_in(w: Column) -> Column:
+        own = F.filter("spots", lambda x: F.array_contains(w["terms"], x["term"]))
+        rarest = F.filter("spots", lambda x: x["term"] == w["terms"][0])
+        return F.struct(
+            w["at"].alias("at"), F.transform(rarest, lambda x: x["pos"] - w["offset"] + w["at"]).alias("starts"), F.transform(own, lambda x: x["pos"]).alias("around")
+        )
 
     aligned = (
-        index.join(anchors, "term")
-        .select("doc", "key", (F.col("pos") - F.col("offset")).alias("shift"), "offset")
-        .groupBy("doc", "key", "shift")
-        .agg(F.collect_set("offset").alias("offsets"))
+        index.join(windows.select("key", F.explode("terms").alias("term")).distinct(), "term")
+        .select("doc", "key", "pos", "term", F.explode(F.sequence(first, F.floor(F.col("pos") / part))).alias("part"))
+        .groupBy("doc", "key", "part")
+        .agg(F.collect_list(F.struct("pos", "term")).alias("spots"))
         .join(needs, "key")
-        .where(F.exists("needs", lambda need: F.size(F.array_except(need, "offsets")) == 0))
+        .where(F.size("spots") >= F.col("fewest"))
+        .select("doc", "key", F.transform(F.filter("needs", together), placed_in).alias("windows"))
+        .where(F.size("windows") > 0)
         .join(items.select("key", "item", "item_words", "span"), "key")
         .groupBy("doc")
-        .agg(F.collect_list(F.struct("item", "item_words", "span", "shift")).alias("aligned"))
+        .agg(F.collect_list(F.struct("item", "item_words", "span", "windows")).alias("aligned"))
     )
 
-    def starts(c: Column) -> Column:
-        return F.sequence(F.lit(0), F.size(c["item_words"]) - c["span"])
-
     def exact(c: Column) -> Column:
-        def same(s: Column) -> Column:
-            at = c["shift"] + s
-            return (at >= 0) & (F.slice(F.col("words"), F.greatest(at, F.lit(0)) + 1, c["span"]) == F.slice(c["item_words"], s + 1, c["span"]))
+        def same(w: Column, at: Column) -> Column:
+            return (at >= 0) & (F.slice(F.col("words"), F.greatest(at, F.lit(0)) + 1, c["span"]) == F.slice(c["item_words"], w["at"] + 1, c["span"]))
 
-        return F.transform(
-            F.filter(starts(c), same),
-            lambda s: F.struct(c["item"].alias("item"), (c["shift"] + s).alias("start"), c["span"].alias("span")),
-        )
+        starts = F.flatten(F.transform(c["windows"], lambda w: F.filter(w["starts"], lambda at: same(w, at))))
+        return F.transform(F.array_distinct(starts), lambda at: F.struct(c["item"].alias("item"), at.alias("start"), c["span"].alias("span")))
 
     def near(c: Column) -> Column:
-        def close(s: Column) -> Column:
-            low = F.greatest(c["shift"] + s - slack, F.lit(0))
-            terms = F.array_distinct(F.slice(c["item_words"], s + 1, c["span"]))
-            around = F.slice(F.col("words"), low + 1, c["span"] + 2 * slack)
-            return F.size(F.array_intersect(terms, around)) >= near_share * F.size(terms)
+        reach = c["span"] + 2 * slack
+
+        def close(w: Column) -> Column:
+            terms = F.array_distinct(F.slice(c["item_words"], w["at"] + 1, c["span"]))
+            lows = F.array_distinct(F.flatten(F.transform(w["around"], lambda q: F.sequence(F.greatest(q - reach + 1, F.lit(0)), q))))
+            return F.exists(lows, lambda low: F.size(F.array_intersect(terms, F.slice(F.col("words"), low + 1, reach))) >= near_share * F.size(terms))
 
-        return F.exists(starts(c), close)
+        return ~F.array_contains("found", c["item"]) & F.exists(c["windows"], close)
 
-    empty = F.array().cast("array<struct<item:string,item_words:array<string>,span:int,shift:int>>")
+    empty = F.array().cast("array<struct<item:string,item_words:array<string>,span:int,windows:array<struct<at:int,starts:array<int>,around:array<int>>>>>")
     hit = F.flatten(F.transform("aligned", exact))
     covered = F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["span"] - 1)))
     found = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item"])))
