@@ -2,7 +2,9 @@
 
 A page becomes a line of tokens: words and tags. Words score positive, tags (and
 words inside menus, footers, forms and the like) negative; the weights are log odds
-from labelled pages. One linear scan finds the contiguous run with the highest sum,
+from labelled pages. An element is boilerplate by its kind, or by the words of its class,
+id and role, which are weighed by a logistic fit on the same pages and count only
+where one is a known name; html, body, main and article never are. One linear scan finds the contiguous run with the highest sum,
 and its words, without those of boilerplate elements, are the main text.
 
 Defined cases: a null page counts as empty; a page without words outside
@@ -24,7 +26,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corpusmill.llm.labelled_pages import PAGES
+from corpusmill.llm.labelled_pages import NAME_PAGES, PAGES
 
 #: HTML's element kinds.
 BLOCKS = frozenset(
@@ -35,6 +37,8 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template svg iframe object textarea title head math canvas audio video".split())
 BOILERPLATE = frozenset("nav header footer aside form menu dialog button select option label".split())
+#: Elements that hold a whole page or text, whatever they are called.
+WHOLE = frozenset("html body main article".split())
 BOILERPLATE_NAMES = frozenset(
     "ad ads advert advertisement advertising sponsor sponsored sponsors promo promotion banner sidebar menu nav navbar "
     "navigation breadcrumb breadcrumbs footer header masthead cookie cookies consent notice notices popup modal overlay "
@@ -51,16 +55,61 @@ NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([
 WORD_FLOOR, TAG_CEILING, TAG_FLOOR = 0.5, -0.25, -1.0
 
 
+def name_words(attrs: str) -> set[str]:
+    """The words of an element's class, id and role."""
+    values = (found[1] or found[2] or found[3] or "" for found in NAMED.finditer(attrs))
+    return {w for value in values for w in re.split(r"[\s_-]+", value.lower()) if w and not w.isdigit()}
+
+
+def named(name: str, attrs: str) -> set[str]:
+    """The words that may make an element boilerplate: none without a known name."""
+    words = name_words(attrs) if attrs and name not in WHOLE else set()
+    return words if words & BOILERPLATE_NAMES else set()
+
+
 def is_boilerplate(name: str, attrs: str) -> bool:
-    if name in BOILERPLATE:
-        return True
-    if not attrs:
-        return False
-    for found in NAMED.finditer(attrs):
-        value = (found[1] or found[2] or found[3] or "").lower()
-        if BOILERPLATE_NAMES.intersection(re.split(r"[\s_-]+", value)):
-            return True
-    return False
+    words = named(name, attrs)
+    return name in BOILERPLATE or bool(words) and name_score(words, fitted_names()) < 0
+
+
+def name_score(words: set[str], weights: dict[str, float]) -> float:
+    return weights["#known"] + sum(weights.get(w, 0.0) for w in words)
+
+
+@lru_cache(maxsize=1)
+def fitted_names() -> dict[str, float]:
+    """Weights of names by logistic regression over the labelled pages' elements that have
+    a known one: an element is content if most of its words are. ``#known`` is
+    what any known name weighs; a word that the pages don't have adds nothing."""
+    sample = []
+    for page in NAME_PAGES:
+        within, open_ = False, []
+        for found in TOKEN.finditer(page):
+            whole, name = found[0], (found["name"] or "").lower()
+            if whole.startswith("<!--"):
+                within = whole == "<!--CONTENT-->" or within and whole != "<!--/CONTENT-->"
+            elif name and found["close"]:
+                while open_:
+                    own, words, inside, outside = open_.pop()
+                    if words:
+                        sample.append((words, inside > outside))
+                    if own == name:
+                        break
+            elif name and name not in VOID:
+                open_.append([name, named(name, found["attrs"]), 0, 0])
+            elif whole[0] != "<":
+                for element in open_:
+                    element[2 if within else 3] += len(whole.split())
+    weights = {"#known": 0.0} | {w: 0.0 for words, _ in sample for w in sorted(words)}
+    for _ in range(300):
+        steps = Counter()
+        for words, content in sample:
+            error = content - 1 / (1 + math.exp(-name_score(words, weights)))
+            for w in ("#known", *words):
+                steps[w] += error
+        for w in weights:
+            weights[w] += 0.2 * (steps[w] - 0.01 * weights[w])
+    return weights
 
 
 def tokens(page: str) -> Iterator[tuple[str, str]]:

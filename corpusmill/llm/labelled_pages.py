@@ -29,3 +29,25 @@ PAGES = (
     <div class="sidebar"><ul><li><a href="/x">hotels near the shore</a></li></ul></div>
     <footer><p>printed on recycled pixels by the tourist office</p></footer></body></html>""",
 )
+
+#: Further pages, for the weights of names in class, id and role: known names of boilerplate as they are
+#: used in boilerplate, and as they are used on elements that hold the main text.
+NAME_PAGES = PAGES + (
+    """<html><body class="post has-sidebar"><div class="has-sidebar"><!--CONTENT--><h1>Bread</h1><p>Mix flour and water and
+    let it rest for an hour before the salt goes in.</p><p>Fold the dough four times.</p><!--/CONTENT--></div>
+    <div class="sidebar"><p>ten more loaves</p></div><div class="share buttons"><p>send this on</p></div></body></html>""",
+    """<html><body><div class="with-sidebar"><!--CONTENT--><h1>Boats</h1><p>The hull is laid in spring and planked until
+    the frost; a good builder has it tarred by then.</p><!--/CONTENT--></div><div class="sidebar-content"><p>boats for sale here</p></div>
+    <div class="site-footer"><p>all rights are with the yard</p></div></body></html>""",
+    """<html><body><div id="search-box"><p>find a page</p></div><div class="search-result" id="search-result-1"><!--CONTENT--><h2>Moss</h2>
+    <p>Moss grows on the north side of stones where rain stays longest.</p><!--/CONTENT--></div>
+    <div class="no-sidebar"><!--CONTENT--><p>It has no roots and drinks through its leaves.</p><!--/CONTENT--></div>
+    <div class="comments-list"><p>lovely moss</p></div><div class="related-posts"><p>ferns and how they grow</p></div></body></html>""",
+    """<html><body><div class="site-header"><p>the daily tide</p></div><div class="without-banner"><!--CONTENT--><p>High water comes
+    at noon today, and the harbour gates stay open until two.</p><!--/CONTENT--></div><div class="banner"><p>sail with us</p></div>
+    <div class="newsletter-box"><p>tides by mail</p></div><div class="cookie-banner"><p>we count visits</p></div></body></html>""",
+    """<html><body><div class="menu"><p>start here</p></div><div class="has-banner"><!--CONTENT--><h1>Frost</h1><p>Frost forms on clear and
+    still nights when the ground gives off its heat.</p><!--/CONTENT--></div><div class="has-menu"><!--CONTENT--><p>Cover the beds with straw
+    before dusk.</p><!--/CONTENT--></div><div class="with-banner"><!--CONTENT--><p>Take the straw off by noon.</p><!--/CONTENT--></div>
+    <div class="sidebar"><p>weather maps</p></div><div class="banner"><p>seeds by post</p></div><div class="search"><p>look for</p></div></body></html>""",
+)
