@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -204,8 +208,41 @@ def embedding_cache_lookup(spark: SparkSession, d: str) -> DataFrame:
 def manifest_hash(spark: SparkSession, d: str) -> DataFrame:
     """A digest of each source's sorted (id, content hash) lines."""
     line = F.concat_ws(":", "doc_id", F.sha2("text", 256))
-    rows = table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("doc_id", line.alias("l")))).alias("r"))
-    return rows.select("source", "n", F.sha2(F.array_join(F.col("r.l"), "\n"), 256).alias("manifest"))
+    rows = table(spark, d, "documents").select("source", "doc_id", line.alias("line"))
+    return rows.repartition("source").sortWithinPartitions("source", "doc_id", "line").select("source", "line").mapInArrow(digests, "source string, n long, manifest string")
+
+
+def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(source, n, manifest) of sorted (source, line) rows, a line at a time: no row or task
+    holds a source's lines."""
+    own, n, state = None, 0, None
+
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([own], pa.string()), pa.array([n], pa.int64()), pa.array([state.hexdigest()])], names=["source", "n", "manifest"])
+
+    for batch in batches:
+        for source, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if state is None or source != own:
+                if state:
+                    yield row()
+                own, n, state = source, 0, hashlib.sha256()
+            state.update(("\n" if n else "").encode() + line.encode())
+            n += 1
+    if state:
+        yield row()
+
+
+@query("""WITH r AS (SELECT source, doc_id // 1000 AS part, count(*) AS n, sha256(string_agg(doc_id || ':' || sha256(text), chr(10) ORDER BY doc_id)) AS digest FROM documents GROUP BY ALL)
+SELECT source, sum(n)::BIGINT AS n, sha256(string_agg(digest, chr(10) ORDER BY part)) AS manifest FROM r GROUP BY source""")
+def manifest_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """A digest of the digests of each source's ranges of 1,000 ids: the ranges of one
+    source are hashed in many tasks, which a digest of all its lines can't be."""
+    line = F.concat_ws(":", "doc_id", F.sha2("text", 256))
+    part = F.floor(F.col("doc_id") / 1000)
+    ranges = table(spark, d, "documents").groupBy("source", part.alias("part")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("doc_id", line.alias("l")))).alias("r"))
+    ranges = ranges.select("source", "part", "n", F.sha2(F.array_join(F.col("r.l"), "\n"), 256).alias("digest"))
+    rows = ranges.groupBy("source").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("part", "digest"))).alias("r"))
+    return rows.select("source", "n", F.sha2(F.array_join(F.col("r.digest"), "\n"), 256).alias("manifest"))
 
 
 @query("""SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 40""")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -76,11 +78,32 @@ def task_states(events: DataFrame, lease: int = 300) -> DataFrame:
     )
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that driver and executors share."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not shared:
+        shared = "file://" + tempfile.mkdtemp(prefix="corpusmill-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return f"{shared.rstrip('/')}/corpusmill/{name}-{uuid.uuid4().hex}"
+
+
 def drained(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """Everything a stream gives for the input there is, from a memory table: for tests and small reports."""
-    run = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Everything a stream gives for the input there is, from Parquet files that its tasks
+    write: of the last batch in mode ``complete``, else of all batches."""
+    spark = stream.sparkSession
+    folder = scratch(spark, name)
+    written: dict[int, str] = {}
+
+    def keep(batch: DataFrame, number: int) -> None:
+        path = f"{folder}/batch-{number}"
+        batch.write.mode("overwrite").parquet(path)
+        written[number] = path
+
+    run = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()
-    return stream.sparkSession.table(name)
+    paths = [written[n] for n in sorted(written)]
+    paths = paths[-1:] if mode == "complete" else paths
+    return spark.read.schema(stream.schema).parquet(*paths) if paths else spark.createDataFrame([], stream.schema)
 
 
 def intake(stream: DataFrame, target: str, key: list[str], checkpoint: str):
