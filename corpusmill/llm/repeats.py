@@ -12,8 +12,8 @@ paragraphs seldom meet.
 A passage may also stand inside a longer paragraph. So texts are cut as well into
 segments at places that depend on a few words around them alone; a passage gives the
 same segments wherever it stands. Neighbouring segments that each occur elsewhere form
-a run, and runs of at least ``min_run`` words are repeated passages. Passages of 50
-words and more have such a run but for rare cuts; a line of common words has none.
+a run, and runs of at least ``min_run`` words are repeated passages. Each exact passage
+of 50 words and more has such a run; a line of common words has none.
 
 Defined cases: a null or empty text has no paragraphs; paragraphs repeated within a
 document count as repeats; so do repeated rows, of which those with the first one's
@@ -43,12 +43,14 @@ WIDE = 1 << 14
 
 
 def segment_starts(words: np.ndarray, reach: int = REACH) -> np.ndarray:
-    """Places whose word pair hashes lowest among the ``reach`` places on either side."""
-    if len(words) < 2 * reach + 2:
+    """Places whose word pair hashes lowest in some window of ``2 * reach - 1`` places, so
+    no window is without one; of equal ones the last."""
+    width = 2 * reach - 1
+    if len(words) < width + 1:
         return np.zeros(0, np.int64)
-    h = mixed(words[:-1] * MIX[3] + words[1:])
-    lowest = np.lib.stride_tricks.sliding_window_view(h, 2 * reach + 1).min(axis=1)
-    return np.flatnonzero(h[reach : len(h) - reach] == lowest) + reach
+    h = mixed(words[:-1] * MIX[3] + words[1:])[::-1]
+    lowest = np.lib.stride_tricks.sliding_window_view(h, width).argmin(axis=1)
+    return np.unique(len(h) - 1 - lowest - np.arange(len(lowest)))
 
 
 def run_hashes(words: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
