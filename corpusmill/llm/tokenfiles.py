@@ -10,8 +10,8 @@ ranks (one row a vocabulary entry) lie beside the blocks, and so do the numbers
 tokens before each range of documents. Decoding is a numpy table lookup on the
 control bytes.
 
-Words are looked up in a bounded cache of words already encoded; only new ones go
-through the tokenizer, many at a time. Text for which that could differ from the
+Words are looked up in bounded caches of words and pieces already encoded; only new pieces go
+through the tokenizer, many at a time. Texts are worked on about 8 MB at once, a longer one alone. Text for which that could differ from the
 whole-text encoding (special strings, characters whose case or composition depends
 on their neighbours) goes through the tokenizer whole.
 
@@ -36,7 +36,8 @@ from pyspark.sql import functions as F
 from corpusmill.llm.common import discard, scratch_path, stored
 
 BLOCK_TOKENS = 1 << 18
-CACHE_WORDS = 200_000
+CACHE_WORDS = 500_000
+CALL_BYTES = 1 << 23
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.int64) + 1
 
 
@@ -83,11 +84,56 @@ def ragged(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarra
     return flat[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
 
 
+class Seen:
+    """Strings met before, with their ids. Past ``limit`` those met in one call only are forgotten."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.keep(None)
+
+    def keep(self, at: np.ndarray | None) -> None:
+        """Forget all but those at the given places; the empty string always stays, without ids."""
+        if at is None or len(at) > self.limit // 2:
+            self.names, self.sizes, self.flat = pa.array([""], pa.large_string()), np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        else:
+            self.flat = ragged(self.flat, self.starts[at], self.sizes[at])
+            self.names, self.sizes = self.names.take(pa.array(at)), self.sizes[at]
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.calls = np.zeros(len(self.sizes), np.int32)
+
+    def find(self, names: pa.Array) -> np.ndarray:
+        """The place of each of the different ``names``, -1 for those not met before."""
+        if len(self.names) + len(names) > self.limit:
+            again = self.calls > 1
+            again[0] = True
+            self.keep(np.flatnonzero(again))
+        at = pc.index_in(names, value_set=self.names).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.calls[at[at >= 0]] += 1
+        return at
+
+    def add(self, names: pa.Array, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Take up new names; their places."""
+        first = len(self.sizes)
+        self.names = pa.concat_arrays([self.names, names])
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.flat = np.concatenate([self.flat, flat])
+        self.calls = np.concatenate([self.calls, np.ones(len(sizes), np.int32)])
+        return np.arange(first, len(self.sizes))
+
+
 class WordCodec:
-    """Whole texts to ids, equal to ``Tokenizer.encode(text, add_special_tokens=False)``."""
+    """Whole texts to ids, equal to ``Tokenizer.encode(text, add_special_tokens=False)``.
+
+    Arrow tells the different words of a call apart. Words not met before are cut into the
+    tokenizer's pieces (letters, one digit, signs), and pieces not met before are encoded."""
+
+    #: Fixed value: the tokenizer's own pattern for pieces of a word.
+    PIECES = r"('s|'t|'re|'ve|'m|'ll|'d|\pL+|\pN|[^\s\pL\pN]+)"
+    #: Texts with these go through the tokenizer whole.
+    ODD = r"[^\x00-\x1b\x20-\x{12f}\x{131}-\x{24f}\x{2010}-\x{2027}\x{2030}-\x{203a}]|<\|"
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.path, self.whole = path, None
@@ -99,45 +145,30 @@ class WordCodec:
         #: Whether a token ends a piece.
         self.ends = np.zeros(self.parts.get_vocab_size(), bool)
         self.ends[[i for token, i in self.parts.get_vocab().items() if token.endswith("</w>")]] = True
-        #: Fixed value: the tokenizer's own pattern for pieces of a word, and the line ends put between words.
-        self.pieces = regex.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-        self.plain = regex.compile(r"[\x00-\x1b\x20-\u012f\u0131-\u024f\u2010-\u2027\u2030-\u203a]*+")
-        self.clear()
-
-    def clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.warm: set[str] = set()
-        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
-
-    def shrink(self) -> None:
-        """Forget the words that were met in one call only."""
-        words = [w for w in self.warm if w in self.at]
-        kept = np.fromiter((self.at[w] for w in words), np.int64, len(words))
-        flat, sizes = ragged(self.flat, self.starts[kept], self.sizes[kept]), self.sizes[kept]
-        self.clear()
-        if len(words) <= CACHE_WORDS // 2:
-            self.at, self.flat, self.sizes, self.starts = dict(zip(words, range(len(words)), strict=True)), flat, sizes, np.cumsum(sizes) - sizes
-
-    def learn(self, words: list[str]) -> None:
-        pieces = self.pieces.findall("\n".join(words))
-        places = {p: i for i, p in enumerate(dict.fromkeys(pieces)) if p != "\n"}
-        places = dict(zip(places, range(len(places)), strict=True))
-        ids = np.array(self.parts.encode_batch_fast([" ".join(places)], add_special_tokens=False)[0].ids, np.uint32)
+        self.words, self.pieces = Seen(CACHE_WORDS), Seen(CACHE_WORDS)
+
+    def piece_ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces, number of each)."""
+        ids = np.array(self.parts.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
         stops = np.flatnonzero(self.ends[ids]) + 1
-        if len(stops) != len(places):
-            raise ValueError("the tokenizer split a piece of a word")
-        order = np.fromiter((places.get(p, -1) for p in pieces), np.int64, len(pieces))
-        breaks = np.flatnonzero(order < 0) - np.arange(len(words) - 1)
-        order = order[order >= 0]
-        sizes = np.diff(np.append(0, stops))
-        flat = ragged(ids, (stops - sizes)[order], sizes[order])
-        ends = np.append(0, np.cumsum(sizes[order]))[np.append(breaks, len(order))]
-        begins = np.append(0, ends[:-1])
-        self.at.update(zip(words, range(len(self.at), len(self.at) + len(words)), strict=True))
-        self.starts = np.concatenate([self.starts, begins + len(self.flat)])
-        self.sizes = np.concatenate([self.sizes, ends - begins])
-        self.flat = np.concatenate([self.flat, flat])
+        if len(stops) == len(pieces) and stops[-1] == len(ids):
+            return ids, np.diff(np.append(0, stops))
+        each = [e.ids for e in self.parts.encode_batch_fast(pieces, add_special_tokens=False)]
+        return np.concatenate([np.array(e, np.uint32) for e in each]), np.array([len(e) for e in each], np.int64)
+
+    def word_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, number of each)."""
+        mixed = pc.invert(pc.utf8_is_alpha(words))
+        cut = pc.replace_with_mask(words, mixed, pc.replace_substring_regex(words.filter(mixed), self.PIECES, r"\1 "))
+        lists = pc.ascii_split_whitespace(cut)
+        coded = lists.flatten().dictionary_encode()
+        at = self.pieces.find(coded.dictionary)
+        new = coded.dictionary.filter(pa.array(at < 0))
+        if len(new):
+            at[at < 0] = self.pieces.add(new, *self.piece_ids(new.to_pylist()))
+        at = at[coded.indices.to_numpy()]
+        ends = np.append(0, np.cumsum(self.pieces.sizes[at]))[lists.offsets.to_numpy()]
+        return ragged(self.pieces.flat, self.pieces.starts[at], self.pieces.sizes[at]), np.diff(ends)
 
     def whole_text(self, text: str) -> list[int]:
         from tokenizers import Tokenizer
@@ -145,28 +176,26 @@ class WordCodec:
         self.whole = self.whole or Tokenizer.from_file(self.path)
         return self.whole.encode(text, add_special_tokens=False).ids
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts one after the other, number of each). The words are told
-        apart by Arrow; Python sees each different one once a call."""
-        plain = [bool(self.plain.fullmatch(t)) and "<|" not in t for t in texts]
-        lowered = pa.array([t.lower() if p else "" for t, p in zip(texts, plain, strict=True)], pa.large_string())
-        split = pc.utf8_split_whitespace(lowered)
+    def encode(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, number of each)."""
+        texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string()).fill_null("")
+        odd = pc.match_substring_regex(texts, self.ODD)
+        split = pc.utf8_split_whitespace(pc.utf8_lower(pc.if_else(odd, "", texts)))
         coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        if len(self.at) + len(words) > CACHE_WORDS:
-            self.shrink()
-        own = [self.at.get(w, -1) for w in words]
-        self.warm.update(w for w, i in zip(words, own, strict=True) if i >= 0)
-        if new := [w for w, i in zip(words, own, strict=True) if i < 0 and w]:
-            self.learn(new)
-            own = [self.at.get(w, -1) for w in words]
-        at = np.array(own, np.int64)[coded.indices.to_numpy()] if words else np.zeros(0, np.int64)
-        size = np.where(at < 0, 0, self.sizes[at]) if len(self.sizes) else np.zeros(len(at), np.int64)
-        ids = ragged(self.flat, self.starts[at] if len(self.starts) else size, size)
+        at = self.words.find(coded.dictionary)
+        new = coded.dictionary.filter(pa.array(at < 0))
+        if len(new):
+            at[at < 0] = self.words.add(new, *self.word_ids(new))
+        at = at[coded.indices.to_numpy()]
+        size = self.words.sizes[at]
+        ids = ragged(self.words.flat, self.words.starts[at], size)
         ends = np.append(0, np.cumsum(size))[split.offsets.to_numpy()]
-        if all(plain):
+        if not pc.any(odd).as_py():
             return ids, np.diff(ends)
-        parts = [ids[i:j] if p else np.array(self.whole_text(t), np.uint32) for t, p, i, j in zip(texts, plain, ends[:-1], ends[1:], strict=True)]
+        whole = odd.to_numpy(zero_copy_only=False)
+        parts = [
+            np.array(self.whole_text(texts[i].as_py()), np.uint32) if whole[i] else ids[ends[i] : ends[i + 1]] for i in range(len(texts))
+        ]
         return np.concatenate(parts), np.array([len(x) for x in parts])
 
 
@@ -176,15 +205,23 @@ def codec(path: str) -> WordCodec:
     return WordCodec(path)
 
 
+def slices(batch: pa.RecordBatch, column: int, limit: int = CALL_BYTES) -> Iterator[pa.RecordBatch]:
+    """``batch`` in runs of rows whose values in ``column`` have about ``limit`` bytes together, or one row each."""
+    size = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    run = np.cumsum(size) // limit
+    edges = np.append(np.flatnonzero(np.diff(run, prepend=-1)), len(size))
+    for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        yield batch.slice(low, high - low)
+
+
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """(doc_id, ids): the ids of each text and the end id, as little-endian 32-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids, counts = own.encode([t or "" for t in part.column(1).to_pylist()])
+            for part in slices(batch, 1):
+                ids, counts = own.encode(part.column(1))
                 ends = np.cumsum(counts)
                 ids = np.insert(ids, ends, end_id)
                 offsets = np.append(0, 4 * (ends + np.arange(1, len(ends) + 1))).astype(np.int32)
