@@ -13,18 +13,24 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset,
-    as in tests on one machine, a temporary folder is made and recorded there.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="corpusmill-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    """The folder that driver and executors share, named by the cluster in ``spark.checkpoint.dir``.
+
+    Only where that is unset and the master is this machine alone, as in tests, a
+    temporary folder serves instead, one for the application."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
+    if not hasattr(context, "_corpusmill_folder"):
+        context._corpusmill_folder = "file://" + tempfile.mkdtemp(prefix="corpusmill-")
+    return context._corpusmill_folder
+
+
+def row_key() -> Column:
+    """A hash of a document's id and text: equal for repeated rows alone."""
+    return F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), "text")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

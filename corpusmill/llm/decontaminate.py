@@ -29,7 +29,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import ascii_lower, stored
+from corpusmill.llm.common import ascii_lower, row_key, stored
 
 #: Fixed value of the contract: what a word is, after lower-casing A-Z.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -42,11 +42,11 @@ def words_of(text: Column) -> Column:
 
 
 def positional_index(docs: DataFrame) -> DataFrame:
-    """(doc_id, doc, n_words, terms) of each row of ``docs``: the posting of the term ``terms[i]``
+    """(doc_id, row_key, doc, n_words, terms) of each row of ``docs``: the posting of the term ``terms[i]``
     is at position i. ``doc`` tells rows with equal ids apart."""
     terms = F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w))
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("doc"), terms.alias("terms"))
-    return stored(rows.select("doc_id", "doc", F.size("terms").cast("long").alias("n_words"), "terms"), "postings")
+    rows = docs.select("doc_id", row_key().alias("row_key"), F.monotonically_increasing_id().alias("doc"), terms.alias("terms"))
+    return stored(rows.select("doc_id", "row_key", "doc", F.size("terms").cast("long").alias("n_words"), "terms"), "postings")
 
 
 def lookups(items: DataFrame, index: DataFrame, window: int, near_share: float) -> DataFrame:
@@ -144,7 +144,7 @@ def contaminated_documents(docs: DataFrame, items: DataFrame, window: int = 10,
     none = F.lit(0).cast("long")
     n_items = F.coalesce(F.size("found").cast("long"), none)
     return (
-        index.select("doc_id", "doc", "n_words")
+        index.select("doc_id", "row_key", "doc", "n_words")
         .join(by_doc, "doc", "left")
         .select(
             "doc_id",
@@ -154,5 +154,12 @@ def contaminated_documents(docs: DataFrame, items: DataFrame, window: int = 10,
             F.sha2(F.coalesce(F.array_join("found", ","), F.lit("")), 256).alias("items_sha256"),
             F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"),
             F.when(F.col("found").isNull(), none).otherwise(F.col("n_matched") - F.size("found")).alias("near_items"),
+            "row_key",
         )
     )
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without a hit, each judged by its own text."""
+    hits = contaminated_documents(docs, items).where("contaminated").select(F.col("row_key").alias("_key")).distinct()
+    return docs.withColumn("_key", row_key()).join(hits, "_key", "left_anti").select(docs.columns)
