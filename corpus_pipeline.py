@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusmill.llm.common import scratch_path
-from corpusmill.llm.decontaminate import contaminated_documents
+from corpusmill.llm.decontaminate import without_contaminated
 from corpusmill.llm.mixing import MixTarget, mix_sources
-from corpusmill.llm.neardup import near_duplicates
+from corpusmill.llm.neardup import deduplicated
 from corpusmill.llm.quality import clean_documents
 from corpusmill.llm.sharding import place_rows
 from corpusmill.sources.tables import table
@@ -28,14 +28,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies stays: that with the smallest id."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi").select(COLUMNS)
+    return deduplicated(docs.select(COLUMNS))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    hits = contaminated_documents(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
-    return docs.join(hits, docs.doc_id.eqNullSafe(hits.doc_id), "left_anti").select(COLUMNS)
+    return without_contaminated(docs.select(COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
