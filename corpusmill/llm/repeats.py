@@ -16,9 +16,10 @@ a run, and runs of at least ``min_run`` words are repeated passages. Each exact
 of 50 words and more has such a run; a line of common words has none.
 
 Defined cases: a null or empty text has no paragraphs; paragraphs repeated within a
-document count as repeats; so do repeated rows, of which those with the first one's
-document and place stay; rows with a null ``doc_id`` are ignored;
-other columns are ignored; an empty table gives an empty result. Classes are named by
+document count as repeats; so do repeated rows (equal in id and text), which stay or go together; rows that
+repeat a ``doc_id`` are judged by their own texts; rows with a null ``doc_id`` count as any other and
+come last in the order; a very long text is cut like any other, whole; other columns are ignored; an empty table
+gives an empty result. Classes are named by
 64-bit hashes of their words.
 """
 
@@ -30,10 +31,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import stored
+from corpusmill.llm.common import row_key, stored
 from corpusmill.llm.shingles import MIX, WordHashes, mixed, permutations, shingle_set
 from corpusmill.llm.simjoin import linked, parity_sketch, shared_lists, with_centres
 
@@ -101,12 +102,12 @@ def document_words(text: str, hashes: WordHashes) -> tuple[np.ndarray, np.ndarra
     return hashes.of([w for line in lines for w in line]), np.array([len(line) for line in lines])
 
 
-UNITS = "doc_id long, paragraph int, start int, n_words int, id long, bands array<long>"
+UNITS = "row long, row_key long, doc_id long, paragraph int, start int, n_words int, id long, bands array<long>"
 
 
 def units(docs: DataFrame, shingle: int, min_words: int, bands: int, rows: int) -> DataFrame:
     """One row for each paragraph (with its line number and band keys) and each segment
-    (without) of each document (doc_id, text)."""
+    (without) of each document (row_key, doc_id, text); ``row`` tells repeated rows apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -115,31 +116,32 @@ def units(docs: DataFrame, shingle: int, min_words: int, bands: int, rows: int)
             for part in (batch.slice(at, 256) for at in range(0, batch.num_rows, 256)):
                 whole: list[tuple] = []
                 cut: list[tuple] = []
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                for at, text in enumerate(part.column(3).to_pylist()):
                     words, size = document_words(text or "", hashes)
                     number = np.flatnonzero(size >= min_words)
                     if len(number):
                         ends = np.cumsum(size)[number]
                         begins = ends - size[number]
                         ids, keys = paragraph_hashes(words, begins, ends, shingle, a, b, rows)
-                        whole.append((np.full(len(number), doc_id), number, begins, size[number], ids, keys.ravel()))
+                        whole.append((np.full(len(number), at), number, begins, size[number], ids, keys.ravel()))
                     cuts = segment_starts(words)
                     if len(cuts) > 1:
                         ids = run_hashes(words, cuts[:-1], cuts[1:])
-                        cut.append((np.full(len(ids), doc_id), cuts[:-1], np.diff(cuts), ids))
+                        cut.append((np.full(len(ids), at), cuts[:-1], np.diff(cuts), ids))
                 if whole:
-                    doc_ids, number, begins, size, ids, keys = map(np.concatenate, zip(*whole, strict=True))
+                    at, number, begins, size, ids, keys = map(np.concatenate, zip(*whole, strict=True))
                     lists = pa.ListArray.from_arrays(np.arange(0, len(keys) + 1, bands, dtype=np.int32), pa.array(keys))
-                    yield batch_of(doc_ids, pa.array(number, pa.int32()), begins, size, ids, lists)
+                    yield batch_of(part, at, pa.array(number, pa.int32()), begins, size, ids, lists)
                 if cut:
-                    doc_ids, begins, size, ids = map(np.concatenate, zip(*cut, strict=True))
-                    yield batch_of(doc_ids, pa.nulls(len(ids), pa.int32()), begins, size, ids, pa.nulls(len(ids), pa.list_(pa.int64())))
+                    at, begins, size, ids = map(np.concatenate, zip(*cut, strict=True))
+                    yield batch_of(part, at, pa.nulls(len(ids), pa.int32()), begins, size, ids, pa.nulls(len(ids), pa.list_(pa.int64())))
 
-    def batch_of(doc_ids: np.ndarray, number: pa.Array, begins: np.ndarray, size: np.ndarray, ids: np.ndarray, lists: pa.Array) -> pa.RecordBatch:
-        arrays = [pa.array(doc_ids, pa.int64()), number, pa.array(begins, pa.int32()), pa.array(size, pa.int32()), pa.array(ids), lists]
+    def batch_of(part: pa.RecordBatch, at: np.ndarray, number: pa.Array, begins: np.ndarray, size: np.ndarray, ids: np.ndarray, lists: pa.Array) -> pa.RecordBatch:
+        own = [part.column(i).take(pa.array(at)) for i in range(3)]
+        arrays = [*own, number, pa.array(begins, pa.int32()), pa.array(size, pa.int32()), pa.array(ids), lists]
         return pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in UNITS.split(", ")])
 
-    return docs.where("doc_id IS NOT NULL").selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, UNITS)
+    return docs.select(F.monotonically_increasing_id().alias("row"), "row_key", "doc_id", "text").mapInArrow(run, UNITS)
 
 
 def paragraph_sets(wanted: DataFrame, shingle: int) -> DataFrame:
@@ -166,64 +168,72 @@ def paragraph_sets(wanted: DataFrame, shingle: int) -> DataFrame:
     return wanted.select("text", "places").mapInArrow(run, "id long, n long, items array<long>, sketch array<long>")
 
 
+def order_of(*place: str) -> Column:
+    """Documents without an id come after all others."""
+    return F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row", *place)
+
+
 def repeated_runs(segments: DataFrame, min_run: int) -> DataFrame:
-    """Runs of neighbouring segments (doc_id, start, n_words, id) that all occur elsewhere."""
-    again = segments.groupBy("id").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "start")).alias("first")).where("copies > 1")
+    """Runs of neighbouring segments (row, row_key, doc_id, start, n_words, id) that all occur elsewhere."""
+    again = segments.groupBy("id").agg(F.count("*").alias("copies"), F.min(order_of("start", "row_key")).alias("first")).where("copies > 1")
     shared = segments.join(again.drop("copies"), "id")
-    w = Window.partitionBy("doc_id").orderBy("start")
+    w = Window.partitionBy("row").orderBy("start")
     follows = F.lag(F.col("start") + F.col("n_words")).over(w) == F.col("start")
     runs = shared.withColumn("run", F.sum((~F.coalesce(follows, F.lit(False))).cast("int")).over(w))
-    elsewhere = F.sum(F.when(F.struct("doc_id", "start") != F.col("first"), F.col("n_words")).otherwise(0))
+    other = (F.col("row_key") != F.col("first.row_key")) | (F.col("start") != F.col("first.start"))
+    elsewhere = F.sum(F.when(other, F.col("n_words")).otherwise(0))
     return (
-        runs.groupBy("doc_id", "run")
+        runs.groupBy("row", "doc_id", "run")
         .agg(F.min("start").alias("start"), F.sum("n_words").cast("int").alias("n_words"), F.min(F.struct("first", "id")).alias("m"), elsewhere.alias("elsewhere"))
         .where(F.col("n_words") >= min_run)
         .select(
             "doc_id", F.lit(None).cast("int").alias("paragraph"), "start", "n_words", F.col("m.id").alias("cluster_id"),
-            F.col("m.first.doc_id").alias("first_doc_id"), F.col("m.first.start").alias("first_start"), (F.col("elsewhere") >= min_run).alias("removed"),
+            F.col("m.first.doc_id").alias("first_doc_id"), F.col("m.first.start").alias("first_start"), (F.col("elsewhere") >= min_run).alias("removed"), "row",
         )
     )
 
 
-def repeated_passages(
-    docs: DataFrame, shingle: int = 5, percent: int = 80, min_words: int = MIN_WORDS, recall: float = 0.995, min_run: int = MIN_RUN
-) -> DataFrame:
-    """(doc_id, paragraph, start, n_words, cluster_id, first_doc_id, first_start, removed) for each
-    paragraph that stands in a component with another one (``paragraph`` is the number of its
-    line, from 0), and for each run of repeated segments (``paragraph`` is null). ``start``
-    counts the document's words. Of a cluster the first by document and place stays."""
+def found_passages(docs: DataFrame, shingle: int, percent: int, min_words: int, recall: float, min_run: int) -> DataFrame:
+    """The repeats of ``docs`` (row_key, doc_id, text), with the ``row`` they stand in."""
     bands, rows = tuned_bands(percent / 100, recall)
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    found = stored(units(docs, shingle, max(min_words, shingle), bands, rows), "units")
-    runs = stored(repeated_runs(found.where("paragraph IS NULL").select("doc_id", "start", "n_words", "id"), min_run), "runs")
-    found = found.where("paragraph IS NOT NULL")
+    cut = stored(units(docs, shingle, max(min_words, shingle), bands, rows), "units")
+    runs = stored(repeated_runs(cut.where("paragraph IS NULL").select("row", "row_key", "doc_id", "start", "n_words", "id"), min_run), "runs")
+    found = cut.where("paragraph IS NOT NULL")
     classes = stored(
-        found.groupBy("id").agg(
-            F.count("*").alias("copies"), F.min(F.struct("doc_id", "paragraph", "start")).alias("first"), F.first("bands").alias("bands")
-        ),
+        found.groupBy("id").agg(F.count("*").alias("copies"), F.min(order_of("paragraph", "start", "row_key")).alias("first"), F.first("bands").alias("bands")),
         "classes",
     )
     postings = shared_lists(classes.select("id", F.explode("bands").alias("key")))
     lists = stored(with_centres(stored(postings.select("id", "weight", F.explode("lists.key").alias("key")), "postings")), "lists")
     places = (
         lists.select("id").distinct().join(classes.select("id", "first"), "id")
-        .groupBy("first.doc_id").agg(F.collect_list(F.struct("first.paragraph", "id")).alias("places"))
+        .groupBy("first.row_key").agg(F.collect_list(F.struct("first.paragraph", "id")).alias("places"))
     )
-    sets = stored(paragraph_sets(docs.dropDuplicates(["doc_id"]).join(places, "doc_id"), shingle), "sets")
+    sets = stored(paragraph_sets(docs.join(places, "row_key"), shingle).dropDuplicates(["id"]), "sets")
     _, components = linked(lists, sets.select("id", "n", "sketch"), sets, percent)
-    clusters = (
-        classes.select("id", "copies", "first").join(components, "id", "left").withColumn("cluster_id", F.coalesce("component", "id"))
-    )
+    clusters = classes.select("id", "copies", "first").join(components, "id", "left").withColumn("cluster_id", F.coalesce("component", "id"))
     repeated = clusters.groupBy("cluster_id").agg(F.sum("copies").alias("copies"), F.min("first").alias("first")).where("copies > 1")
     named = clusters.select("id", "cluster_id").join(repeated, "cluster_id")
-    paragraphs = found.select("doc_id", "paragraph", "start", "n_words", "id").join(named, "id").select(
+    paragraphs = found.select("row", "row_key", "doc_id", "paragraph", "start", "n_words", "id").join(named, "id").select(
         "doc_id", "paragraph", "start", "n_words", "cluster_id",
         F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"),
-        (F.struct("doc_id", "paragraph", "start") != F.col("first")).alias("removed"),
+        ((F.col("row_key") != F.col("first.row_key")) | (F.col("paragraph") != F.col("first.paragraph"))).alias("removed"), "row",
     )
     return paragraphs.unionByName(runs)
 
 
+def repeated_passages(
+    docs: DataFrame, shingle: int = 5, percent: int = 80, min_words: int = MIN_WORDS, recall: float = 0.995, min_run: int = MIN_RUN
+) -> DataFrame:
+    """(doc_id, paragraph, start, n_words, cluster_id, first_doc_id, first_start, removed, method) for each
+    paragraph that stands in a component with another one (``method`` is bands; ``paragraph`` is the number of its
+    line, from 0), and for each run of repeated segments (``method`` is run; ``paragraph`` is null). ``start``
+    counts the document's words. Of a cluster the first by document and place stays."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select(row_key().alias("row_key"), "doc_id", "text")
+    found = found_passages(docs, shingle, percent, min_words, recall, min_run)
+    return found.drop("row").withColumn("method", F.when(F.col("paragraph").isNull(), "run").otherwise("bands"))
+
+
 def without_repeats(docs: DataFrame, repeats: DataFrame) -> DataFrame:
     """(doc_id, text) with the words of removed paragraphs and runs taken out."""
     gone = repeats.where("removed").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n_words")).alias("gone"))
