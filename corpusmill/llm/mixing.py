@@ -4,8 +4,8 @@ Weights are source token shares raised to an exponent: 1 keeps the shares, 0 mak
 all sources equal. The exponent is bisected (64 cuts of the interval at once) until the
 weights have the target entropy, or the most repeated source the target number of
 repeats. The weights are realised within a token budget by block permutations: a
-source's documents lie in hash blocks of about ``BLOCK_ROWS`` rows; each epoch takes
-the blocks in an order of its own and the documents of a block likewise; whole epochs
+source's documents lie in hash blocks of at most about ``BLOCK_ROWS`` rows, as many as a power of
+two; each epoch takes the blocks in a permutation of its own and the documents of a block likewise; whole epochs
 are taken while the source's share of the budget lasts, then whole blocks, then the
 documents of one block.
 
@@ -14,8 +14,10 @@ Within a block and an epoch rows are numbered together, never within a source.
 
 Defined cases: a null source is a source of its own; a null or empty text has 0
 tokens; a source without tokens has weight 0 and, where every document is to be used
-once, one epoch; documents with a null id or repeated rows are drawn like others; all
-columns are kept; an empty table gives an empty result.
+once, one epoch; documents with a null or repeated id are drawn like others; repeated rows
+(equal in id and text) are drawn one by one, and share a block; a very long text is drawn whole or not at all;
+all columns are kept, but those that the result adds replace columns of their names; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import stored
+from corpusmill.llm.common import row_key, stored
 
 BLOCK_ROWS = 50_000
 CUTS, STEPS = 64, 4
@@ -95,50 +97,60 @@ def source_plan(totals: DataFrame, target: MixTarget) -> DataFrame:
     return powered.select(
         "key",
         "tokens",
-        F.greatest(F.lit(1.0), F.ceil(F.col("rows") / BLOCK_ROWS)).cast("long").alias("blocks"),
+        F.pow(F.lit(2.0), F.greatest(F.ceil(F.log2(F.col("rows") / BLOCK_ROWS)), F.lit(0))).cast("long").alias("blocks"),
         (F.col("power") / z).alias("weight"),
         F.when(F.col("tokens") > 0, whole).otherwise(0 if target.budget is not None else 1).cast("int").alias("epochs"),
         F.when(F.col("tokens") > 0, F.greatest(wanted - whole * F.col("tokens"), F.lit(0.0))).otherwise(0.0).alias("rest"),
     )
 
 
+MARKS = ("mix_epoch", "mix_weight", "mix_order")
+
+
+def block_turn(block: Column, blocks: Column, *salt: Column) -> Column:
+    """The place of ``block`` among ``blocks`` (a power of two) in a permutation of its own for each
+    ``salt``: odd factors and a shift with exclusive or, both one to one on that many bits."""
+    factor = lambda i: F.xxhash64(F.lit(i), *salt).bitwiseAND((1 << 20) - 1) * 2 + 1
+    half = F.ceil(F.log2(blocks) / 2).cast("int")
+    mixed = (block * factor(1) + F.xxhash64(F.lit(2), *salt).bitwiseAND((1 << 20) - 1)).bitwiseAND(blocks - 1)
+    mixed = mixed.bitwiseXOR(F.call_function("shiftright", mixed, half))
+    return (mixed * factor(3)).bitwiseAND(blocks - 1)
+
+
 def mix_sources(docs: DataFrame, target: MixTarget = MixTarget(), seed: int = 11) -> DataFrame:
     """The drawn rows of ``docs`` with ``mix_epoch``, ``mix_weight`` and ``mix_order``, the
     place (0 to 1) at which the row comes in its source's run and so in the mix."""
-    keyed = docs.withColumns(
-        {
-            "mix_key": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")),
-            "mix_tokens": token_count(F.col("text")),
-            "mix_hash": F.xxhash64(F.lit(seed), "doc_id"),
-        }
-    )
-    totals = stored(
-        keyed.groupBy(F.col("mix_key").alias("key")).agg(F.sum("mix_tokens").alias("tokens"), F.count("*").alias("rows")), "sources"
+    keyed = docs.select(
+        F.struct(*[F.col(c) for c in docs.columns if c not in MARKS]).alias("row"),
+        F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("key"),
+        token_count(F.col("text")).alias("mix_tokens"),
+        F.xxhash64(F.lit(seed), row_key()).alias("mix_hash"),
     )
+    totals = stored(keyed.groupBy("key").agg(F.sum("mix_tokens").alias("tokens"), F.count("*").alias("rows")), "sources")
     plan = stored(source_plan(totals, target), "mix-plan")
-    draws = keyed.join(plan, F.col("mix_key") == plan.key).withColumn("mix_block", F.pmod(F.col("mix_hash"), F.col("blocks")))
+    draws = keyed.join(plan, "key").withColumn("mix_block", F.pmod("mix_hash", F.col("blocks")))
+    turn = lambda epoch: block_turn(F.col("mix_block"), F.col("blocks"), F.lit(seed), F.col("key"), epoch)
     blocks = (
         draws.where("rest > 0")
-        .groupBy("key", "mix_block", "epochs", "rest")
+        .withColumn("turn", turn(F.col("epochs")))
+        .groupBy("key", "mix_block", "turn", "rest")
         .agg(F.sum("mix_tokens").alias("tokens"))
-        .withColumn("turn", F.xxhash64(F.lit(seed), "epochs", "key", "mix_block"))
     )
-    upto = Window.partitionBy("key").orderBy("turn", "mix_block").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("key").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     last = stored(
         blocks.withColumn("before", F.coalesce(F.sum("tokens").over(upto), F.lit(0)))
         .where("before < rest")
-        .select("key", "mix_block", F.col("before").cast("double").alias("before"), (F.col("before") + F.col("tokens") <= F.col("rest")).alias("all")),
+        .select("key", "mix_block", F.col("before").cast("double").alias("before"), (F.col("before") + F.col("tokens") <= F.col("rest")).alias("whole")),
         "mix-blocks",
     )
-    names = [*docs.columns, "mix_epoch", "mix_weight", "mix_order"]
     total = F.col("tokens") * F.col("epochs") + F.col("rest")
 
     def order(epoch: Column) -> Column:
-        """Block, then document, by hashes of the epoch, scaled to the source's run."""
-        share = lambda *c: (F.pmod(F.xxhash64(F.lit(seed), epoch, *c), F.lit(1 << 20)) + 0.5) / (1 << 20)
-        block = F.floor(share("key", "mix_block") * F.col("blocks"))
-        return F.least(F.lit(1.0), (epoch + (block + share("mix_hash")) / F.col("blocks")) * F.col("tokens") / total)
+        """Block, then document, scaled to the source's run."""
+        share = (F.xxhash64(F.lit(seed), epoch, "mix_hash").bitwiseAND((1 << 40) - 1) + 0.5) / (1 << 40)
+        return F.least(F.lit(1.0), (epoch + (turn(epoch) + share) / F.col("blocks")) * F.col("tokens") / total)
 
+    names = ["row.*", *MARKS]
     whole = (
         draws.where("epochs > 0")
         .withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)))
@@ -149,8 +161,8 @@ def mix_sources(docs: DataFrame, target: MixTarget = MixTarget(), seed: int = 11
     )
     running = Window.partitionBy("key", "mix_block").orderBy(F.xxhash64(F.lit(seed), "epochs", "mix_hash"), "mix_hash").rowsBetween(Window.unboundedPreceding, -1)
     cut = (
-        part.where("NOT all")
-        .withColumn("mix_before", F.col("before") + F.coalesce(F.sum("mix_tokens").over(running), F.lit(0)))
-        .where("mix_before + mix_tokens <= rest")
+        part.where("NOT whole")
+        .withColumn("used", F.col("before") + F.coalesce(F.sum("mix_tokens").over(running), F.lit(0)))
+        .where("used + mix_tokens <= rest")
     )
-    return whole.select(names).unionByName(part.where("all").select(names)).unionByName(cut.select(names))
+    return whole.select(names).unionByName(part.where("whole").select(names)).unionByName(cut.select(names))
