@@ -4,16 +4,19 @@ The tree starts with all rows and the wanted number of leaves. A node is split a
 the metadata dimension in which its rows spread widest, at the weighted quantile that
 gives each side weight in proportion to its leaves, until every node is a leaf. The
 quantiles of all nodes of a level are found together by distributed radix selection:
-rows are counted by 12 bits of their place along the node's dimension, then by the
-next 12, and so on. Rows with equal places (copies, one large source) are told apart
-by a hash, so that no group is too large to split.
+rows are counted by 16 bits of their place along the node's dimension, then by the
+next 16, and so on; a node has at most 65,536 counts to order. Rows with equal places (copies, one large source) are told apart
+by a hash of the row and its place in the table, so that no group is too large to split. Source and language
+have no order of their own: a hash places them, so that a source's rows lie together.
 
-What reaches the driver is one row a node, at most the number of shards. Slots within
+The number of leaves is given, or follows from the bytes that a leaf may have. What reaches
+the driver is one row a node, at most the number of shards. Slots within
 a shard come from hash ranges of bounded size, so no shard is sorted in one task.
 
 Defined cases: a null text has 0 bytes (size 8) and the checksum of no bytes; null
 metadata are a value of their own, below others; rows without a ``doc_id`` are placed
-like others; repeated rows are placed one by one; other columns are ignored; an empty
+like others; repeated rows are placed one by one; a very long text is one row of its size; other columns
+are carried along whatever their names, but ``shard`` and ``slot`` replace those of the input; an empty
 table gives an empty result.
 """
 
@@ -26,7 +29,7 @@ from corpusmill.llm.common import small_table, stored
 
 OVERHEAD = 8
 SLOT_ROWS = 50_000
-PLACE_BITS, HASH_BITS, DIGIT = 20, 28, 12
+PLACE_BITS, HASH_BITS, DIGIT = 20, 28, 16
 
 
 def size_of(text: Column) -> Column:
@@ -121,7 +124,7 @@ def key_of(dims: list[str]) -> Column:
 
 
 def select_digit(placed: DataFrame, splits: dict[int, dict], weight: str, shift: int) -> dict[int, dict]:
-    """The next 12 bits of each node's split key: the first digit at which the weight
+    """The next 16 bits of each node's split key: the first digit at which the weight
     below passes the goal. On the last digit the nearer of its two edges is taken."""
     dims = sorted({s["dim"] for s in splits.values()})
     counted = (
@@ -177,33 +180,40 @@ def with_slots(rows: DataFrame, counted: DataFrame, order: list[str]) -> DataFra
     )
 
 
-def measured(docs: DataFrame) -> tuple[DataFrame, list[str]]:
-    """``docs`` with size, checksum, dimensions and tie; the names of the dimensions."""
+def measured(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, list[str]]:
+    """A stored table of size, checksum, dimensions and tie of each row, and the given columns of ``docs``
+    as a struct ``row``; the names of the dimensions. The tie holds the row's place, which is fixed by storing it."""
     dims = {f"dim_{d}": c.cast("double") for d, c in document_dimensions().items()}
-    wide = docs.withColumns({"size": size_of(F.col("text")), "text_crc32": crc_of(F.col("text")), "one": F.lit(1), **dims})
-    return wide.withColumn("tie", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(1 << HASH_BITS))), list(dims)
-
-
-def placed_rows(docs: DataFrame, n_shards: int, law: str, columns: list[str]) -> DataFrame:
-    """``docs`` with shard and slot, and the given ones of the measured columns. The tree is
-    built from a stored table of numbers; texts move once, to their shard."""
-    wide, dims = measured(docs)
-    rows = stored(wide.select("doc_id", "size", "text_crc32", "one", *dims, "tie"), "shard-rows")
-    levels = kd_splits(rows, dims, "size" if law == "bytes" else "one", n_shards)
-    counted = stored(with_shards(rows, dims, levels).drop("one", *dims), "shards")
-    source = counted if set(columns) <= set(counted.columns) else with_shards(wide, dims, levels)
-    slotted = with_slots(source.select(*columns, *({"shard", "tie", "doc_id", "text_crc32"} - set(columns))), counted, ["doc_id", "text_crc32"])
-    return slotted.select(*columns, F.col("shard").cast("int"), "slot")
-
-
-def place_rows(docs: DataFrame, n_shards: int, law: str = "bytes") -> DataFrame:
-    """All columns of ``docs`` with shard and slot."""
-    return placed_rows(docs, n_shards, law, docs.columns)
+    wide = docs.select(
+        F.struct(*keep).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), size_of(F.col("text")).alias("size"),
+        crc_of(F.col("text")).alias("text_crc32"), F.lit(1).alias("one"), *[c.alias(d) for d, c in dims.items()],
+    )
+    tie = F.pmod(F.xxhash64("doc_id", "text_crc32", F.monotonically_increasing_id()), F.lit(1 << HASH_BITS))
+    return stored(wide.withColumn("tie", tie), "shard-rows"), list(dims)
+
+
+def placed_rows(docs: DataFrame, law: str, keep: list[str], n_shards: int | None, target_bytes: int | None = None) -> DataFrame:
+    """(row, doc_id, size, text_crc32, shard, slot) of each row: ``row`` has the columns ``keep``. The tree is
+    built from the numbers alone; what is kept moves once, to its shard."""
+    rows, dims = measured(docs, keep)
+    if n_shards is None:
+        n_shards = max(1, -(-(rows.agg(F.sum("size")).first()[0] or 0) // target_bytes))
+    levels = kd_splits(rows.drop("row"), dims, "size" if law == "bytes" else "one", n_shards)
+    placed = with_shards(rows, dims, levels).drop("one", *dims)
+    counted = stored(placed.select("shard", "tie"), "shards")
+    slotted = with_slots(placed, counted, ["doc_id", "text_crc32"])
+    return slotted.select("row", "doc_id", "size", "text_crc32", F.col("shard").cast("int"), "slot")
+
+
+def place_rows(docs: DataFrame, n_shards: int | None = None, law: str = "bytes", target_bytes: int | None = None) -> DataFrame:
+    """All columns of ``docs`` with shard and slot: ``n_shards`` leaves, or as many as leave each
+    about ``target_bytes`` (texts and 8 bytes a row)."""
+    keep = [c for c in docs.columns if c not in ("shard", "slot")]
+    return placed_rows(docs, law, keep, n_shards, target_bytes).select("row.*", "shard", "slot")
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 24, law: str = "bytes") -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard): shards of near equal
     bytes (``law`` "bytes") or numbers of rows ("rows")."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text", "lang", "source")
-    placed = placed_rows(docs, n_shards, law, ["doc_id", "size", "text_crc32"])
+    placed = placed_rows(docs, law, ["doc_id"], n_shards)
     return placed.select("doc_id", "size", "text_crc32", F.lit(law).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
