@@ -11,7 +11,7 @@ tokens before each range of documents. Decoding is a numpy table lookup on the
 control bytes.
 
 Words are looked up in bounded caches of words and pieces already encoded; only new pieces go
-through the tokenizer, many at a time. Texts are worked on about 8 MB at once, a longer one alone. Text for which that could differ from the
+through the tokenizer, many at a time. Texts are worked on about 4 MB at once, a longer one alone. Text for which that could differ from the
 whole-text encoding (special strings, characters whose case or composition depends
 on their neighbours) goes through the tokenizer whole.
 
@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from corpusmill.llm.common import discard, scratch_path, stored
 
 BLOCK_TOKENS = 1 << 18
-CACHE_WORDS = 500_000
-CALL_BYTES = 1 << 23
+CACHE_WORDS = 300_000
+CALL_BYTES, CALL_PIECES = 1 << 22, 5_000
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.int64) + 1
 
 
@@ -149,12 +149,18 @@ class WordCodec:
 
     def piece_ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all pieces, number of each)."""
-        ids = np.array(self.parts.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
-        stops = np.flatnonzero(self.ends[ids]) + 1
-        if len(stops) == len(pieces) and stops[-1] == len(ids):
-            return ids, np.diff(np.append(0, stops))
-        each = [e.ids for e in self.parts.encode_batch_fast(pieces, add_special_tokens=False)]
-        return np.concatenate([np.array(e, np.uint32) for e in each]), np.array([len(e) for e in each], np.int64)
+        flat, sizes = [], []
+        for some in (pieces[at : at + CALL_PIECES] for at in range(0, len(pieces), CALL_PIECES)):
+            ids = np.array(self.parts.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(some) and stops[-1] == len(ids):
+                flat.append(ids)
+                sizes.append(np.diff(np.append(0, stops)))
+            else:
+                each = [np.array(e.ids, np.uint32) for e in self.parts.encode_batch_fast(some, add_special_tokens=False)]
+                flat += each
+                sizes.append(np.array([len(e) for e in each], np.int64))
+        return np.concatenate(flat), np.concatenate(sizes)
 
     def word_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words, number of each)."""
