@@ -11,19 +11,18 @@ tokens before each range of documents. Decoding is a numpy table lookup on the
 control bytes.
 
 Words are looked up in bounded caches of words and pieces already encoded; only new pieces go
-through the tokenizer, many at a time. Texts are worked on about 4 MB at once, a longer one alone. Text for which that could differ from the
+through the tokenizer, many at a time. Texts are worked on about 2 MB at once, a longer one alone. Text for which that could differ from the
 whole-text encoding (special strings, characters whose case or composition depends
 on their neighbours) goes through the tokenizer whole.
 
 Defined cases: a null text counts as empty and has the end id alone; repeated
 ``doc_id`` rows keep a row each, next to each other; rows with a null ``doc_id``
-come before all others; other columns of the input are ignored; an empty table
-gives an empty result.
+come before all others; a very long text is one call and may be one block; other columns of the
+input are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,8 +35,8 @@ from pyspark.sql import functions as F
 from corpusmill.llm.common import discard, scratch_path, stored
 
 BLOCK_TOKENS = 1 << 18
-CACHE_WORDS = 300_000
-CALL_BYTES, CALL_PIECES = 1 << 22, 5_000
+CACHE_WORDS = 200_000
+CALL_BYTES, CALL_PIECES = 1 << 21, 4_000
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.int64) + 1
 
 
@@ -364,12 +363,4 @@ def token_digests(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame
     each document's place, count and checksum."""
     folder = scratch_path(docs.sparkSession, "token-files")
     write_token_files(docs, folder, tokenizer, end_id)
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            crc = pa.array([zlib.crc32(ids) for ids in batch.column(3).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], crc], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return read_token_files(docs.sparkSession, folder).mapInArrow(
-        digest, "doc_id long, start long, n_tokens long, ids_crc32 long"
-    )
+    return read_token_files(docs.sparkSession, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
