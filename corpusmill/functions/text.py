@@ -24,13 +24,15 @@ def _windows(run: Column, size: int) -> Column:
 def index_tokens(c: Column) -> Column:
     """The set of identifier tokens (lower case; ``.md`` names also without the suffix),
     single CJK characters and CJK bigrams."""
-    words = F.transform(F.regexp_extract_all(_text(c), F.lit(IDENTIFIER), 0), F.lower)
-    stems = F.filter(
-        F.transform(words, lambda w: F.regexp_replace(w, r"(?<=.)\.(md|markdown)$", "")), lambda w: F.length(w) > 0
-    )
+    none = F.array().cast("array<string>")
+    joined = F.lower(F.array_join(F.regexp_extract_all(_text(c), F.lit(IDENTIFIER), 0), " "))
+    words = F.when(joined == "", none).otherwise(F.split(joined, " "))
+    files = F.filter(words, lambda w: F.endswith(w, F.lit(".md")) | F.endswith(w, F.lit(".markdown")))
+    stems = F.when(F.contains(joined, F.lit(".m")), F.transform(files, lambda w: F.regexp_replace(w, r"\.(md|markdown)$", ""))).otherwise(none)
     runs = F.regexp_extract_all(_text(c), F.lit(f"{CJK}+"), 0)
     grams = F.flatten(F.transform(runs, lambda r: F.concat(_windows(r, 1), _windows(r, 2))))
-    return F.array_distinct(F.concat(words, stems, grams))
+    many = F.when(F.octet_length(c) > F.length(c), grams).otherwise(none)
+    return F.array_distinct(F.concat(words, stems, many))
 
 
 def ranking_tokens(tokens: Column) -> Column:
@@ -53,9 +55,14 @@ def metric_tokens(c: Column) -> Column:
 CJK_STOP = ("这个", "那个", "什么", "如何", "怎么", "是否", "一个", "以及", "并且")
 
 
+#: What a keyword is; the suffix of a chunk reference.
+KEYWORD = r"[\x{4e00}-\x{9fff}]{2,}|[a-zA-Z0-9_]+(?:\.[a-zA-Z0-9_]+)*"
+CHUNK_SUFFIX = r"(?i):ch[0-9a-f]{8}(?:-\d+)?$"
+
+
 def split_keywords(c: Column) -> Column:
     """CJK runs and identifiers in order, repeats (by lower case) dropped."""
-    words = F.regexp_extract_all(_text(c), F.lit(r"[\x{4e00}-\x{9fff}]{2,}|[a-zA-Z0-9_]+(?:\.[a-zA-Z0-9_]+)*"), 0)
+    words = F.regexp_extract_all(_text(c), F.lit(KEYWORD), 0)
     lowered = F.transform(words, F.lower)
     return F.filter(words, lambda w, i: F.array_position(lowered, F.lower(w)) == i + 1)
 
@@ -127,7 +134,7 @@ def entry_key(ref: Column) -> Column:
     clean = F.trim(F.replace(ref, F.lit("\\"), F.lit("/")))
     path = F.substring_index(clean, "#", 1)
     anchor = F.when(F.locate("#", clean) > 0, F.substr(clean, F.locate("#", clean) + 1)).otherwise("")
-    bare = F.regexp_replace(F.regexp_replace(anchor, r"(?i):ch[0-9a-f]{8}(?:-\d+)?$", ""), r"(?i):c\d+$", "")
+    bare = F.regexp_replace(F.regexp_replace(anchor, CHUNK_SUFFIX, ""), r"(?i):c\d+$", "")
     whole = (anchor == "") | anchor.rlike(r"(?i)^(c\d+|doc(:ch[0-9a-f]{8}(-\d+)?)?)$") | (bare == "")
     return F.when(whole, path).otherwise(F.concat_ws("#", path, bare))
 

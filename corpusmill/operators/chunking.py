@@ -11,13 +11,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TARGET, HARD, OVERLAP = 500, 800, 80
-FENCE = r"^\s*(```|~~~)"
-KINDS = (
-    ("heading", r"^#{1,6}\s+\S"),
-    ("table", r"^\s*\|.*\|\s*$"),
-    ("callout", r"^\s*>"),
-    ("list", r"^\s*([-*+]|\d+[.)])\s+"),
-)
+#: Markdown's marks of code fences and list items.
+FENCES, BULLETS = ("```", "~~~"), ("-", "*", "+")
+
+
+def fence_mark(line: Column) -> Column:
+    return F.left(F.ltrim(line), F.lit(3)).isin(*FENCES)
+
+
+def line_kind(line: Column) -> Column:
+    """What a line outside a fence is, told by its first word and its ends."""
+    body = F.trim(line)
+    first = F.substring_index(body, " ", 1)
+    more = F.length(body) > F.length(first)
+    hashes = (F.translate(first, "#", "") == "") & (F.length(first) <= 6) & F.startswith(line, F.lit("#"))
+    number = F.rtrim(F.translate(first, "0123456789", ""))
+    counted = number.isin(".", ")") & (F.length(first) > 1) & F.endswith(first, number)
+    return (
+        F.when(body == "", "blank")
+        .when(hashes & more, "heading")
+        .when(F.startswith(body, F.lit("|")) & F.endswith(body, F.lit("|")) & (F.length(body) > 1), "table")
+        .when(F.startswith(body, F.lit(">")), "callout")
+        .when((first.isin(*BULLETS) | counted) & (more | (F.length(F.ltrim(line)) > F.length(first))), "list")
+        .otherwise("paragraph")
+    )
 
 
 def packed(texts: Column, limit: int, joint: str) -> Column:
@@ -53,7 +70,8 @@ def paragraph_chunks(notes: DataFrame, limit: int = 600) -> DataFrame:
 
 def sentences(text: Column, limit: int) -> Column:
     """Whole sentences packed up to ``limit``; a sentence over it is sliced."""
-    parts = F.filter(F.split(text, r"(?<=[。！？!?])|(?<=\.)(?=\s)"), lambda s: s != "")
+    marked = F.regexp_replace(text, r"([。！？!?]|\.(?=\s))", "$1\0")
+    parts = F.filter(F.split(marked, "\0"), lambda s: s != "")
     return packed(F.flatten(F.transform(parts, lambda s: sliced(F.trim(s), limit))), limit, " ")
 
 
@@ -63,13 +81,10 @@ def blocks(notes: DataFrame) -> DataFrame:
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     body = F.regexp_replace("text", r"(?s)\A---\s*\r?\n.*?\r?\n---\s*(\r?\n|\z)", "")
     lines = notes.select("path", F.posexplode(F.split(F.regexp_replace(body, "\r\n", "\n"), "\n")).alias("n", "line"))
-    marker = F.col("line").rlike(FENCE)
+    marker = fence_mark(F.col("line"))
     lines = lines.withColumn("marks", F.coalesce(F.sum(marker.cast("int")).over(before), F.lit(0)))
     inside = (F.col("marks") % 2 == 1) | marker
-    kind = F.when(inside, "fence").when(F.trim("line") == "", "blank")
-    for name, pattern in KINDS:
-        kind = kind.when(F.col("line").rlike(pattern), name)
-    lines = lines.withColumn("kind", kind.otherwise("paragraph"))
+    lines = lines.withColumn("kind", F.when(inside, "fence").otherwise(line_kind(F.col("line"))))
     level = F.when(F.col("kind") == "heading", F.length(F.regexp_extract("line", r"^(#+)", 1)))
     lines = lines.withColumn("level", level).withColumn("title", F.trim(F.regexp_replace("line", r"^#+\s+", "")))
     held = [F.last(F.when(F.col("level") == i, F.struct("n", "title")), True).over(w) for i in range(1, 7)]
@@ -149,15 +164,20 @@ def merged_chunks(chunks: DataFrame, least: int = 64) -> DataFrame:
     return _identified(out.drop("run"))
 
 
+#: The names of what may be wrong with a note's chunks, and the limits.
+TINY = 50
+PROBLEMS = {
+    "single_chunk_for_large_document": f"chunks = 1 AND chars > {2 * TARGET}",
+    "chunk_exceeds_hard_bound": f"longest > {HARD}",
+    "too_many_tiny_chunks": "tiny > greatest(2, chunks div 4)",
+    "all_chunks_far_below_target": f"chars > {TARGET} AND longest < {TARGET // 4}",
+}
+
+
 def validation(chunks: DataFrame) -> DataFrame:
     """(path, chunks, longest, mean, problems) of each note's chunks."""
     size = F.length("content")
-    tiny = F.count_if(size < 50)
+    tiny = F.count_if(size < TINY)
     per = chunks.groupBy("path").agg(F.count("*").alias("chunks"), F.max(size).alias("longest"), F.sum(size).alias("chars"), F.round(F.avg(size), 1).alias("mean"), tiny.alias("tiny"))
-    problems = F.array_compact(F.array(
-        F.when((F.col("chunks") == 1) & (F.col("chars") > 2 * TARGET), "single_chunk_for_large_document"),
-        F.when(F.col("longest") > HARD, "chunk_exceeds_hard_bound"),
-        F.when(F.col("tiny") > F.greatest(F.lit(2), F.floor(F.col("chunks") / 4)), "too_many_tiny_chunks"),
-        F.when((F.col("chars") > TARGET) & (F.col("longest") < TARGET // 4), "all_chunks_far_below_target"),
-    ))
+    problems = F.array_compact(F.array(*[F.when(F.expr(rule), name) for name, rule in PROBLEMS.items()]))
     return per.select("path", "chunks", "longest", "mean", F.array_join(problems, "|").alias("problems"))

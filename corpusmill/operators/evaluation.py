@@ -5,14 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.session import stored
+
 
 def percentile_at(p: float, column: str, by: list[str], rows: DataFrame, how: str = "floor") -> DataFrame:
-    """(by, value): the value at rank floor(p (n - 1)) (or the rounded rank), without gathering
-    a group: values are ranked in a window over (by) and the one row is kept."""
-    w = Window.partitionBy(*by).orderBy(column)
-    n = F.count("*").over(Window.partitionBy(*by))
-    rank = {"floor": F.floor, "round": F.rint}[how](F.lit(p) * (n - 1))
-    return rows.withColumn("at", F.row_number().over(w) - 1).withColumn("wanted", rank).where("at = wanted").select(*by, F.col(column).alias("value"))
+    """(by, value): the value at rank floor(p (n - 1)) (or the rounded rank) of each group. The rows are
+    dealt out by ranges of group and value; only the range that holds the wanted rank is ranked."""
+    rows = stored(rows.select(*by, column).repartitionByRange(*by, column).withColumn("range", F.spark_partition_id()), "ranges")
+    own = Window.partitionBy(*by)
+    counts = rows.groupBy(*by, "range").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(own.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rank = {"floor": F.floor, "round": F.rint}[how](F.lit(p) * (F.sum("n").over(own) - 1))
+    wanted = counts.select(*by, "range", "n", before.alias("before"), rank.cast("long").alias("wanted")).where("wanted >= before AND wanted < before + n")
+    place = F.row_number().over(Window.partitionBy(*by, "range").orderBy(column)) - 1 + F.col("before")
+    return rows.join(wanted, [*by, "range"]).withColumn("place", place).where("place = wanted").select(*by, F.col(column).alias("value"))
 
 
 def judged(runs: DataFrame, qrels: DataFrame) -> DataFrame:

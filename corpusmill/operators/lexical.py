@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import index_tokens, ranking_tokens
+from corpusmill.session import stored
 
 #: Field weights of the index.
 FIELD_WEIGHTS = {"content": 1.0, "title": 3.0, "tags": 2.0, "path": 2.0}
@@ -39,9 +40,22 @@ def postings(docs: DataFrame, fields: dict[str, float] = FIELD_WEIGHTS) -> DataF
     )
 
 
-def content_postings(docs: DataFrame) -> DataFrame:
-    """(token, doc_id) of the text alone; a token set needs no grouping."""
-    return docs.select("doc_id", F.explode(index_tokens(F.col("text"))).alias("token"))
+def asked_postings(docs: DataFrame, tokens: DataFrame, fields: dict[str, float] = FIELD_WEIGHTS) -> DataFrame:
+    """(token, doc_id, weight, in_content) for the tokens of ``tokens`` alone: each text is tokenized
+    once, and what nobody asks for is dropped before the one shuffle. Stored, for its many readers."""
+    per_field = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(w).alias("weight"), index_tokens(F.col(f)).alias("tokens")) for f, w in fields.items()])
+    held = docs.select("doc_id", F.inline(per_field)).select("doc_id", "field", "weight", F.explode("tokens").alias("token"))
+    wanted = tokens.select("token").distinct()
+    return stored(
+        held.join(wanted, "token").groupBy("token", "doc_id").agg(F.sum("weight").alias("weight"), F.bool_or(F.col("field") == "content").alias("in_content")),
+        "asked-postings",
+    )
+
+
+def content_postings(docs: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
+    """(token, doc_id) of the text alone; a token set needs no grouping. With ``tokens``, those alone, stored."""
+    every = docs.select("doc_id", F.explode(index_tokens(F.col("text"))).alias("token"))
+    return every if tokens is None else stored(every.join(tokens.select("token").distinct(), "token"), "asked-content")
 
 
 def document_frequency(posting: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.operators.lexical import top_k
-from corpusmill.plans.registry import query
+from corpusmill.plans.registry import also, query
 from corpusmill.sources.tables import table
 
 
@@ -58,28 +58,20 @@ def timeline_granularity(spark: SparkSession, d: str) -> DataFrame:
     return r.select("o_custkey", F.when(days <= 31, "day").when(days <= 180, "week").otherwise("month").alias("granularity"), "n")
 
 
-@query("""WITH t AS (SELECT o_orderkey, o_orderdate::DATE AS d, o_orderkey % 3 AS f, (o_orderkey % 7)::INT AS wd, (o_orderkey % 28 + 1)::INT AS md FROM orders WHERE o_orderkey < 2000),
+@query("""WITH t AS (SELECT o_orderkey, o_orderdate::DATE AS d, o_orderkey % 3 AS f, (o_orderkey % 7)::INT AS wd, (o_orderkey % 28 + 1)::INT AS md FROM orders),
 c AS (SELECT o_orderkey, d + k::INT AS day FROM t, generate_series(1, 40) s(k) WHERE f = 0 OR (f = 1 AND isodow(d + k::INT) - 1 = wd) OR (f = 2 AND day(d + k::INT) = md))
 SELECT o_orderkey, min(day) AS next_due FROM c GROUP BY 1""")
 def recurrence_next_due(spark: SparkSession, d: str) -> DataFrame:
     """The next day after the last that a daily, weekly or monthly rule meets."""
-    t = table(spark, d, "orders").where("o_orderkey < 2000").select("o_orderkey", F.to_date("o_orderdate").alias("d"), (F.col("o_orderkey") % 3).alias("f"), (F.col("o_orderkey") % 7).alias("wd"), (F.col("o_orderkey") % 28 + 1).alias("md"))
-    days = t.withColumn("day", F.explode(F.sequence(F.date_add("d", 1), F.date_add("d", 40))))
-    meets = (F.col("f") == 0) | ((F.col("f") == 1) & (F.weekday("day") == F.col("wd"))) | ((F.col("f") == 2) & (F.dayofmonth("day") == F.col("md")))
-    return days.where(meets).groupBy("o_orderkey").agg(F.min("day").alias("next_due"))
-
-
-@query("""WITH t AS (SELECT o_orderkey, o_orderdate::DATE AS d, o_orderkey % 3 AS f, (o_orderkey % 7)::INT AS wd, (o_orderkey % 28 + 1)::INT AS md FROM orders),
-c AS (SELECT o_orderkey, d + k::INT AS day FROM t, generate_series(1, 40) s(k) WHERE f = 0 OR (f = 1 AND isodow(d + k::INT) - 1 = wd) OR (f = 2 AND day(d + k::INT) = md))
-SELECT o_orderkey, min(day) AS next_due FROM c GROUP BY 1""")
-def recurrence_next_due_all(spark: SparkSession, d: str) -> DataFrame:
-    """``recurrence_next_due`` of every order."""
     t = table(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("d"), (F.col("o_orderkey") % 3).alias("f"), (F.col("o_orderkey") % 7).alias("wd"), (F.col("o_orderkey") % 28 + 1).alias("md"))
     meets = lambda day: (F.col("f") == 0) | ((F.col("f") == 1) & (F.weekday(day) == F.col("wd"))) | ((F.col("f") == 2) & (F.dayofmonth(day) == F.col("md")))
     due = F.array_min(F.filter(F.sequence(F.date_add("d", 1), F.date_add("d", 40)), meets))
     return t.select("o_orderkey", due.alias("next_due")).where("next_due IS NOT NULL").groupBy("o_orderkey").agg(F.min("next_due").alias("next_due"))
 
 
+also("recurrence_next_due_all", "recurrence_next_due")
+
+
 @query("""SELECT lang, source, count(*) AS n, grouping_id(lang, source)::BIGINT AS level FROM documents GROUP BY CUBE (lang, source)""")
 def cube_lang_source(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").cube("lang", "source").agg(F.count("*").alias("n"), F.grouping_id().alias("level"))

@@ -13,7 +13,7 @@ from corpusmill.functions import text as T
 from corpusmill.operators import governance as G
 from corpusmill.operators.lexical import top_k
 from corpusmill.operators.similarity import jaccard_pairs
-from corpusmill.plans.registry import query
+from corpusmill.plans.registry import also, query
 from corpusmill.sources.tables import table
 
 NOW = "1996-06-01 00:00:00"
@@ -108,16 +108,13 @@ def conflicts(live: DataFrame) -> DataFrame:
 
 
 @query(f"""WITH {RECORDS} SELECT a.id AS left_id, b.id AS right_id FROM rec a JOIN rec b ON a.subject = b.subject AND a.project_id = b.project_id AND a.id < b.id AND a.tags <> b.tags
-WHERE a.status = 'active' AND b.status = 'active' AND a.importance >= 8 AND b.importance >= 8""")
+WHERE a.status = 'active' AND b.status = 'active'""")
 def subject_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    return conflicts(records(spark, d).where("status = 'active' AND importance >= 8"))
+    """Pairs of active records of one subject and project that say different things."""
+    return conflicts(records(spark, d).where("status = 'active'"))
 
 
-@query(f"""WITH {RECORDS} SELECT a.id AS left_id, b.id AS right_id FROM rec a JOIN rec b ON a.subject = b.subject AND a.project_id = b.project_id AND a.id < b.id AND a.tags <> b.tags
-WHERE a.status = 'active' AND b.status = 'active'""")
-def subject_conflicts_all(spark: SparkSession, d: str) -> DataFrame:
-    """``subject_conflicts`` among all active records, whatever their importance."""
-    return conflicts(records(spark, d).where("status = 'active'"))
+also("subject_conflicts_all", "subject_conflicts")
 
 
 @query(f"""WITH {RECORDS} SELECT project_id, tags, id, row_number() OVER (PARTITION BY project_id, tags ORDER BY importance DESC, valid_from, id)::INT AS rank FROM rec WHERE status = 'active' QUALIFY rank <= 5""")
@@ -127,7 +124,8 @@ def memory_topics(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""WITH r AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'core' ELSE 'fact' END AS kind, doc_id % 5 = 0 AS guess, CASE doc_id % 3 WHEN 0 THEN 'web' WHEN 1 THEN 'user' ELSE 'model' END AS src,
- regexp_matches(text, '(?i)(ignore\s+(all\s+)?(previous|system|instructions?)|remember\s*(this)?\s*(api[_ -]?key|token|password|cookie|secret)|(api[_ -]?key|access[_ -]?token|cookie|secret)\s*[:=])') AS bad FROM documents)
+ regexp_matches(lower(coalesce(text, '')), '\b(?:ignore|disregard|forget)\s+(?:(?:all|any|the|your|my)\s+)*(?:previous|prior|system|instructions?|rules?|prompts?|安全|规则)') OR regexp_matches(lower(coalesce(text, '')), '(?:忽略|无视).{0,6}?(?:指令|规则|提示)')
+ OR regexp_matches(lower(coalesce(text, '')), '(?:remember|memori[sz]e|记住)\s*(?:(?:this|that|my|the|这个)\s*)?(?:密码|密钥|api[_ -]?key|access[_ -]?token|cookie|secret|token|password)') OR regexp_matches(lower(coalesce(text, '')), '(?:密码|密钥|api[_ -]?key|access[_ -]?token|cookie|secret)\s*[:=]') AS bad FROM documents)
 SELECT doc_id, CASE WHEN src = 'web' AND bad THEN 'quarantine' WHEN kind = 'core' AND src <> 'user' THEN 'candidate' WHEN guess THEN 'candidate' ELSE 'active' END AS status,
 concat_ws('|', CASE WHEN src = 'web' AND bad THEN 'external_instruction_or_secret' END, CASE WHEN kind = 'core' AND src <> 'user' AND NOT (src = 'web' AND bad) THEN 'core_requires_confirmation' END,
  CASE WHEN guess AND NOT (src = 'web' AND bad) AND NOT (kind = 'core' AND src <> 'user') THEN 'hypothesis_requires_confirmation' END) AS reasons FROM r""")
@@ -139,20 +137,23 @@ def write_decision(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", status.alias("status"), F.array_join(reasons, "|").alias("reasons"))
 
 
-@query(r"""SELECT doc_id, regexp_matches(text, '(?i)(api[_ -]?key|access[_ -]?token|cookie|secret)\s*[:=]') AS suspicious FROM documents""")
+@query(r"""SELECT doc_id, regexp_matches(lower(coalesce(text, '')), '\b(?:ignore|disregard|forget)\s+(?:(?:all|any|the|your|my)\s+)*(?:previous|prior|system|instructions?|rules?|prompts?|安全|规则)') OR regexp_matches(lower(coalesce(text, '')), '(?:忽略|无视).{0,6}?(?:指令|规则|提示)')
+ OR regexp_matches(lower(coalesce(text, '')), '(?:remember|memori[sz]e|记住)\s*(?:(?:this|that|my|the|这个)\s*)?(?:密码|密钥|api[_ -]?key|access[_ -]?token|cookie|secret|token|password)') OR regexp_matches(lower(coalesce(text, '')), '(?:密码|密钥|api[_ -]?key|access[_ -]?token|cookie|secret)\s*[:=]') AS suspicious FROM documents""")
 def injection_quarantine(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.col("text").rlike(G.SUSPICIOUS).alias("suspicious"))
+    return table(spark, d, "documents").select("doc_id", G.suspicious(F.col("text")).alias("suspicious"))
 
 
 WORDS = r"list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))"
 
 
-@query(f"""WITH s AS (SELECT doc_id, {WORDS} AS t FROM documents), n AS (SELECT doc_id, t, len(t) AS n FROM s WHERE len(t) > 0),
-p AS (SELECT a.doc_id AS left_id, b.doc_id AS right_id, len(list_intersect(a.t, b.t)) AS k, a.n AS na, b.n AS nb FROM n a JOIN n b ON a.doc_id < b.doc_id AND a.n >= 0.7 * b.n AND b.n >= 0.7 * a.n)
-SELECT left_id, right_id, round(k / (na + nb - k), 6) AS similarity FROM p WHERE k / (na + nb - k) > 0.7""")
+@query(f"""WITH s AS (SELECT doc_id, list_sort({WORDS}) AS t FROM documents), n AS (SELECT doc_id, t, len(t) AS n, min(doc_id) OVER (PARTITION BY t) AS f FROM s WHERE len(t) > 0),
+c AS (SELECT * FROM n WHERE doc_id = f),
+p AS (SELECT a.doc_id AS left_id, b.doc_id AS right_id, len(list_intersect(a.t, b.t)) AS k, a.n AS na, b.n AS nb FROM c a JOIN c b ON a.doc_id < b.doc_id AND a.n >= 0.7 * b.n AND b.n >= 0.7 * a.n)
+SELECT left_id, right_id, round(k / (na + nb - k), 6) AS similarity FROM p WHERE k / (na + nb - k) > 0.7 UNION ALL SELECT f, doc_id, 1.0 FROM n WHERE doc_id > f""")
 def near_duplicate_records(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of unlike records over 0.7, and each record of equal words with the first one."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), 0))
-    return jaccard_pairs(table(spark, d, "documents").select(F.col("doc_id").alias("id"), words.alias("tokens")), 0.7)
+    return jaccard_pairs(table(spark, d, "documents").select(F.col("doc_id").alias("id"), words.alias("tokens")), 0.7, copies="first")
 
 
 # --- snapshots -------------------------------------------------------------------------
@@ -356,15 +357,13 @@ def observation_mask(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", ((after >= 1000) & (F.col("role") == "assistant")).alias("masked"))
 
 
-@query("""SELECT conv_id, turn, regexp_matches(lower(text), 'that|tion|ein|que') AS captured FROM conversations WHERE turn % 2 = 0""")
+@query("""SELECT conv_id, turn, regexp_matches(lower(text), 'that|tion|ein|que') AS captured FROM conversations WHERE role = 'user'""")
 def trigger_capture(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "conversations").where("turn % 2 = 0").select("conv_id", "turn", F.lower("text").rlike("that|tion|ein|que").alias("captured"))
+    """Whether each turn of the user holds a trigger."""
+    return table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.lower("text").rlike("that|tion|ein|que").alias("captured"))
 
 
-@query("""SELECT conv_id, turn, regexp_matches(lower(text), 'that|tion|ein|que') AS captured FROM conversations WHERE role = 'user'""")
-def trigger_capture_user(spark: SparkSession, d: str) -> DataFrame:
-    """``trigger_capture`` on the user's turns, told by their role."""
-    return table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.lower("text").rlike("that|tion|ein|que").alias("captured"))
+also("trigger_capture_user", "trigger_capture")
 
 
 @query("""SELECT user_id, event_id, version::INT AS version, supersedes FROM (SELECT user_id, event_id, row_number() OVER w AS version, lag(event_id) OVER w AS supersedes FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id))""")

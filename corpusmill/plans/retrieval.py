@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
 from corpusmill.operators import fusion, lexical, vectors
-from corpusmill.plans.registry import query
+from corpusmill.plans.registry import also, query
+from corpusmill.session import stored
 from corpusmill.sources.tables import table
 
 ASKED = "the and attion of thanedble"
@@ -31,29 +32,34 @@ def items(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-def content(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.content_postings(table(spark, d, "documents")).withColumn("weight", F.lit(1.0))
+def content(spark: SparkSession, d: str, tokens: DataFrame | None = None) -> DataFrame:
+    return lexical.content_postings(table(spark, d, "documents"), tokens).withColumn("weight", F.lit(1.0))
 
 
-def field_postings(spark: SparkSession, d: str) -> DataFrame:
-    notes = lexical.notes(table(spark, d, "documents")).withColumn("path", F.concat_ws("/", "source", "doc_id"))
-    return lexical.postings(notes)
+def as_notes(spark: SparkSession, d: str) -> DataFrame:
+    return lexical.notes(table(spark, d, "documents")).withColumn("path", F.concat_ws("/", "source", "doc_id"))
+
+
+def field_postings(spark: SparkSession, d: str, tokens: DataFrame | None = None) -> DataFrame:
+    """The whole index, or the postings of the asked tokens."""
+    return lexical.postings(as_notes(spark, d)) if tokens is None else lexical.asked_postings(as_notes(spark, d), tokens)
 
 
 @query(f"""WITH {CONTENT}, q AS (SELECT unnest({TOKENS_SQL.format(c=f"'{ASKED}'")}) AS token)
 SELECT doc_id, count(*)::DOUBLE AS score, count(*) AS matched FROM content JOIN q USING (token)
 GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 50""")
 def lexical_topk(spark: SparkSession, d: str) -> DataFrame:
-    out = lexical.lexical_topk(content(spark, d), lexical.query_tokens(asked(spark)), 50)
-    return out.select("doc_id", "score", "matched")
+    held = F.array_intersect(T.index_tokens(F.col("text")), T.ranking_tokens(T.index_tokens(F.lit(ASKED))))
+    found = table(spark, d, "documents").select("doc_id", F.size(held).cast("long").alias("matched")).where("matched > 0")
+    return found.select("doc_id", F.col("matched").cast("double").alias("score"), "matched").orderBy(F.desc("score"), "doc_id").limit(50)
 
 
 @query(f"""WITH {CONTENT}, {WANTED}, s AS (SELECT query_id, doc_id, count(*) AS matched FROM content JOIN wanted USING (token) GROUP BY ALL)
 SELECT query_id, doc_id, matched, row_number() OVER (PARTITION BY query_id ORDER BY matched DESC, doc_id)::INT AS rank FROM s
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY matched DESC, doc_id) <= 10""")
 def lexical_batch_benchmark(spark: SparkSession, d: str) -> DataFrame:
-    out = lexical.lexical_topk(content(spark, d), lexical.query_tokens(items(spark, d)), 10)
-    return out.select("query_id", "doc_id", "matched", "rank")
+    tokens = lexical.query_tokens(items(spark, d))
+    return lexical.lexical_topk(content(spark, d, tokens), tokens, 10).select("query_id", "doc_id", "matched", "rank")
 
 
 @query(f"""WITH {CONTENT}, {WANTED}, df AS (SELECT token, count(*) AS df FROM content GROUP BY 1), n AS (SELECT count(*) AS n FROM documents),
@@ -62,7 +68,8 @@ s AS (SELECT query_id, doc_id, round(sum(idf), 6) AS score, count(*) AS matched
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM s QUALIFY rank <= 10""")
 def lexical_idf_rerank(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "documents").agg(F.count("*").alias("n"))
-    out = lexical.lexical_idf_topk(content(spark, d), lexical.query_tokens(items(spark, d)), n, 10)
+    tokens = lexical.query_tokens(items(spark, d))
+    out = lexical.lexical_idf_topk(content(spark, d, tokens), tokens, n, 10)
     return out.select("query_id", "doc_id", "score", "matched", "rank")
 
 
@@ -81,15 +88,16 @@ def posting_stats(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(f"WITH {FIELDS} SELECT token, doc_id, weight, fields FROM posting WHERE weight > 1")
+@query(f"WITH {FIELDS} SELECT token, doc_id, weight, fields FROM posting")
 def field_weighted_postings(spark: SparkSession, d: str) -> DataFrame:
-    return field_postings(spark, d).where("weight > 1")
+    return field_postings(spark, d)
 
 
 @query(f"""WITH {FIELDS}, {WANTED}, s AS (SELECT query_id, doc_id, sum(weight) AS score, count(*) AS matched FROM posting JOIN wanted USING (token) GROUP BY ALL)
 SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM s QUALIFY rank <= 8""")
 def field_weighted_topk(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.lexical_topk(field_postings(spark, d), lexical.query_tokens(items(spark, d)), 8).select("query_id", "doc_id", "score", "rank")
+    tokens = lexical.query_tokens(items(spark, d))
+    return lexical.lexical_topk(field_postings(spark, d, tokens), tokens, 8).select("query_id", "doc_id", "score", "rank")
 
 
 @query(f"""WITH {FIELDS}, {WANTED}, n AS (SELECT count(DISTINCT source) AS n FROM documents),
@@ -100,7 +108,8 @@ SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, matched
 def parent_entry_topk(spark: SparkSession, d: str) -> DataFrame:
     """Entries (here sources) by the best weight of each token times its idf among entries."""
     docs = table(spark, d, "documents")
-    hits = field_postings(spark, d).join(lexical.query_tokens(items(spark, d)), "token")
+    tokens = lexical.query_tokens(items(spark, d))
+    hits = field_postings(spark, d, tokens).join(tokens, "token")
     best = hits.join(docs.select("doc_id", "source"), "doc_id").groupBy("query_id", "source", "token").agg(F.max("weight").alias("weight"))
     df = best.groupBy("query_id", "token").agg(F.count("*").alias("df"))
     n = docs.agg(F.countDistinct("source").alias("n"))
@@ -122,7 +131,8 @@ SELECT query_id, CASE WHEN coalesce(ids, 0) < n_ids THEN 0.0::DOUBLE ELSE round(
 FROM nt JOIN ni USING (query_id) LEFT JOIN cov USING (query_id)""")
 def lexical_confidence(spark: SparkSession, d: str) -> DataFrame:
     """Share of query tokens found in the best three documents; 0 if an identifier is missing."""
-    posting, tokens = content(spark, d), lexical.query_tokens(items(spark, d))
+    tokens = lexical.query_tokens(items(spark, d))
+    posting = content(spark, d, tokens)
     top = lexical.lexical_topk(posting, tokens, 3).select("query_id", "doc_id")
     found = top.join(posting, "doc_id").join(tokens, ["query_id", "token"], "left_semi").select("query_id", "token").distinct()
     long = F.length("token") >= 3
@@ -140,9 +150,9 @@ s AS (SELECT doc_id, count(*)::DOUBLE AS score, sum(idf) AS m FROM content JOIN
 SELECT doc_id, score, round(m / (SELECT sum(idf) FROM q), 6) AS coverage FROM s ORDER BY score DESC, coverage DESC, doc_id DESC LIMIT 20""")
 def lexical_rescue_rank(spark: SparkSession, d: str) -> DataFrame:
     """The rescue order: score, coverage by idf, reference, all descending."""
-    posting = content(spark, d)
     n = table(spark, d, "documents").agg(F.count("*").alias("n"))
     tokens = lexical.query_tokens(asked(spark, "thanedble attion the")).select("token")
+    posting = content(spark, d, tokens)
     weights = lexical.document_frequency(posting).join(tokens, "token", "left_semi").join(F.broadcast(n)).select("token", lexical.idf(F.col("df"), F.col("n")).alias("idf"))
     total = weights.agg(F.sum("idf").alias("total"))
     hits = posting.join(weights, "token").groupBy("doc_id").agg(F.sum("weight").alias("score"), F.sum("idf").alias("m"))
@@ -158,46 +168,31 @@ COSINE = "round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBL
 
 
 def asked_vectors(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "embeddings").where("vec_id % 100 = 0 AND vec_id < 1000")
-    return vectors.normalised(rows).select(F.col("vec_id").alias("query_id"), "unit", "label")
+    rows = table(spark, d, "embeddings").where("vec_id % 100 = 0")
+    return vectors.normalised(rows).where("unit IS NOT NULL").select(F.col("vec_id").alias("query_id"), "unit")
 
 
-@query(f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, {COSINE} AS score FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND a.vec_id < 1000)
+@query(f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, {COSINE} AS score FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0)
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s WHERE score > 0 QUALIFY rank <= 20""")
 def vector_batch(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest vectors of every one whose id is divisible by 100."""
     every = vectors.normalised(table(spark, d, "embeddings")).where("unit IS NOT NULL")
-    return vectors.cosine_topk(asked_vectors(spark, d).select("query_id", "unit"), every, 20)
+    return vectors.cosine_topk(asked_vectors(spark, d), every, 20)
 
 
-@query(f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, {COSINE} AS score FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND a.vec_id < 1000 AND b.label IN (1, 3, 5))
+also("vector_batch_all", "vector_batch")
+
+
+@query(f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, {COSINE} AS score FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND b.label IN (1, 3, 5))
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s WHERE score > 0.1 QUALIFY rank <= 10""")
 def vector_topk_by_scope(spark: SparkSession, d: str) -> DataFrame:
     """The scope filter stands before the ranking."""
     scope = table(spark, d, "embeddings").where(F.col("label").isin(1, 3, 5))
     every = vectors.normalised(scope).where("unit IS NOT NULL")
-    return vectors.cosine_topk(asked_vectors(spark, d).select("query_id", "unit"), every, 10, 0.1)
+    return vectors.cosine_topk(asked_vectors(spark, d), every, 10, 0.1)
 
 
-def all_asked_vectors(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "embeddings").where("vec_id % 100 = 0")
-    return vectors.normalised(rows).where("unit IS NOT NULL").select(F.col("vec_id").alias("query_id"), "unit")
-
-
-@query(f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, {COSINE} AS score FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0)
-SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s WHERE score > 0 QUALIFY rank <= 20""")
-def vector_batch_all(spark: SparkSession, d: str) -> DataFrame:
-    """``vector_batch`` for every vector whose id is divisible by 100."""
-    every = vectors.normalised(table(spark, d, "embeddings")).where("unit IS NOT NULL")
-    return vectors.cosine_topk(all_asked_vectors(spark, d), every, 20)
-
-
-@query(f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, {COSINE} AS score FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND b.label IN (1, 3, 5))
-SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s WHERE score > 0.1 QUALIFY rank <= 10""")
-def vector_topk_by_scope_all(spark: SparkSession, d: str) -> DataFrame:
-    """``vector_topk_by_scope`` for every vector whose id is divisible by 100."""
-    scope = table(spark, d, "embeddings").where(F.col("label").isin(1, 3, 5))
-    every = vectors.normalised(scope).where("unit IS NOT NULL")
-    return vectors.cosine_topk(all_asked_vectors(spark, d), every, 10, 0.1)
+also("vector_topk_by_scope_all", "vector_topk_by_scope")
 
 
 ROUTES = f"""{FIELDS}, {WANTED}, {CONTENT},
@@ -209,9 +204,11 @@ routes AS (SELECT * FROM a UNION ALL SELECT * FROM b)"""
 def routes(spark: SparkSession, d: str) -> DataFrame:
     """(query_id, route, doc_id, rank): two routes of 40 candidates for each benchmark item."""
     tokens = lexical.query_tokens(items(spark, d))
-    a = lexical.lexical_topk(content(spark, d), tokens, 40).withColumn("route", F.lit("content"))
-    b = lexical.lexical_topk(field_postings(spark, d), tokens, 40).withColumn("route", F.lit("fields"))
-    return a.unionByName(b).select("query_id", "route", "doc_id", "rank")
+    posting = field_postings(spark, d, tokens)
+    body = posting.where("in_content").withColumn("weight", F.lit(1.0))
+    a = lexical.lexical_topk(body, tokens, 40).withColumn("route", F.lit("content"))
+    b = lexical.lexical_topk(posting, tokens, 40).withColumn("route", F.lit("fields"))
+    return stored(a.unionByName(b).select("query_id", "route", "doc_id", "rank"), "routes")
 
 
 @query(f"""WITH {ROUTES}, s AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM routes GROUP BY ALL)

@@ -77,29 +77,29 @@ def link_graph(spark: SparkSession, d: str) -> DataFrame:
     return edges.groupBy("page_id", "href").agg(F.count("*").alias("n"))
 
 
-NODES = f"n AS (SELECT page_id, regexp_extract({PATH}, '/([a-z]+)/', 1) || '/' || page_id AS path, regexp_extract_all(html, 'href=\"/([^\"]*)\"', 1) AS hrefs FROM pages)"
-EDGE = """e AS (SELECT page_id AS src, CASE WHEN page_id % 3 = 0 THEN (page_id * 7 + k) % 400 ELSE (page_id + k * k) % 90 END AS dst FROM pages, (VALUES (1), (2), (5)) v(k) WHERE page_id % 4 <> 1),
-r AS (SELECT src, dst, dst IN (SELECT page_id FROM pages) AS ok FROM e)"""
+EDGE = r"""n AS (SELECT page_id || '/' || lower(regexp_extract(html, '<h1>([^ <.,]*)', 1)) || '.md' AS path FROM pages),
+h AS (SELECT page_id || '/' || lower(regexp_extract(html, '<h1>([^ <.,]*)', 1)) || '.md' AS src, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS link FROM pages),
+b AS (SELECT regexp_replace(split_part(path, '/', 2), '\.md$', '') AS base, min(path) AS dst FROM n GROUP BY 1),
+r AS (SELECT src, link, dst, dst IS NOT NULL AS ok FROM (SELECT *, regexp_replace(list_last(string_split(regexp_replace(lower(trim(link)), '^[./]+', ''), '/')), '\.md$', '') AS base FROM h) LEFT JOIN b USING (base))"""
 
 
 def edges(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges): pages with arithmetic links, some of which lead nowhere."""
-    pages = table(spark, d, "pages").select("page_id")
-    k = F.explode(F.array(F.lit(1), F.lit(2), F.lit(5)))
-    out = pages.where("page_id % 4 <> 1").select(F.col("page_id").alias("src"), k.alias("k"))
-    to = F.when(F.col("src") % 3 == 0, (F.col("src") * 7 + F.col("k")) % 400).otherwise((F.col("src") + F.col("k") * F.col("k")) % 90)
-    raw = out.select("src", to.alias("link"))
-    found = pages.select(F.col("page_id").alias("link"), F.col("page_id").alias("dst"))
-    return pages.select(F.col("page_id").alias("node")), raw.join(found, "link", "left").select("src", "link", "dst")
+    """(nodes, edges): pages as notes named by the first word of their heading, and their hrefs,
+    resolved by name as links between notes are; many lead nowhere."""
+    pages = table(spark, d, "pages")
+    path = F.concat(F.col("page_id"), F.lit("/"), F.lower(F.regexp_extract("html", r"<h1>([^ <.,]*)", 1)), F.lit(".md"))
+    notes = pages.select(path.alias("path"))
+    raw = pages.select(path.alias("src"), F.explode(W.links(F.col("html"))).alias("link"))
+    return notes.select(F.col("path").alias("node")), graph.resolve_links(raw, notes)
 
 
-@query(f"WITH {EDGE} SELECT src, dst AS link FROM r WHERE NOT ok")
+@query(f"WITH {EDGE} SELECT src, link, count(*) AS n FROM r WHERE NOT ok GROUP BY ALL")
 def dead_links(spark: SparkSession, d: str) -> DataFrame:
-    return edges(spark, d)[1].where("dst IS NULL").select("src", "link")
+    return edges(spark, d)[1].where("dst IS NULL").groupBy("src", "link").agg(F.count("*").alias("n"))
 
 
 DEGREE = f"""{EDGE}, o AS (SELECT src AS node, count(*) AS outbound FROM r GROUP BY 1), i AS (SELECT dst AS node, count(DISTINCT src) AS inbound FROM r WHERE ok AND src <> dst GROUP BY 1),
-g AS (SELECT page_id AS node, coalesce(outbound, 0) AS outbound, coalesce(inbound, 0) AS inbound FROM pages LEFT JOIN o ON page_id = o.node LEFT JOIN i ON page_id = i.node)"""
+g AS (SELECT path AS node, coalesce(outbound, 0) AS outbound, coalesce(inbound, 0) AS inbound FROM n LEFT JOIN o ON path = o.node LEFT JOIN i ON path = i.node)"""
 
 
 @query(f"WITH {DEGREE} SELECT * FROM g WHERE inbound = 0")
@@ -113,19 +113,28 @@ def health_score(spark: SparkSession, d: str) -> DataFrame:
     return graph.health(*edges(spark, d))
 
 
-@query(f"""WITH {EDGE}, s AS (SELECT DISTINCT src, dst FROM r WHERE ok), one AS (SELECT src AS node, dst AS other, 1 AS hops FROM s WHERE src < 20),
+@query(f"""WITH {EDGE}, s AS (SELECT DISTINCT src, dst FROM r WHERE ok), one AS (SELECT src AS node, dst AS other, 1 AS hops FROM s),
 two AS (SELECT node, s.dst AS other, 2 AS hops FROM one JOIN s ON other = s.src) SELECT node, other, min(hops) AS hops FROM (SELECT * FROM one UNION ALL SELECT * FROM two) WHERE node <> other GROUP BY ALL""")
 def graph_two_hop(spark: SparkSession, d: str) -> DataFrame:
+    """What every page reaches in one or two links."""
     nodes, links = edges(spark, d)
-    return graph.two_hops(links, nodes.where("node < 20"))
+    return graph.two_hops(links, nodes)
 
 
-@query(f"""WITH {EDGE}, s AS (SELECT DISTINCT src, dst FROM r WHERE ok), one AS (SELECT src AS node, dst AS other, 1 AS hops FROM s),
-two AS (SELECT node, s.dst AS other, 2 AS hops FROM one JOIN s ON other = s.src) SELECT node, other, min(hops) AS hops FROM (SELECT * FROM one UNION ALL SELECT * FROM two) WHERE node <> other GROUP BY ALL""")
+NUMBERED = """e AS (SELECT page_id AS src, CASE WHEN page_id % 3 = 0 THEN (page_id * 7 + k) % 400 ELSE (page_id + k * k) % 90 END AS dst FROM pages, (VALUES (1), (2), (5)) v(k) WHERE page_id % 4 <> 1),
+s AS (SELECT DISTINCT src, dst FROM e WHERE dst IN (SELECT page_id FROM pages))"""
+
+
+@query(f"""WITH {NUMBERED}, one AS (SELECT src AS node, dst AS other, 1 AS hops FROM s), two AS (SELECT node, s.dst AS other, 2 AS hops FROM one JOIN s ON other = s.src)
+SELECT node, other, min(hops) AS hops FROM (SELECT * FROM one UNION ALL SELECT * FROM two) WHERE node <> other GROUP BY ALL""")
 def graph_two_hop_all(spark: SparkSession, d: str) -> DataFrame:
-    """``graph_two_hop`` from every page."""
-    nodes, links = edges(spark, d)
-    return graph.two_hops(links, nodes)
+    """Two hops over links between page numbers, a denser graph than the hrefs give."""
+    pages = table(spark, d, "pages").select("page_id")
+    src = F.col("src")
+    out = pages.where("page_id % 4 <> 1").select(F.col("page_id").alias("src"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(5))).alias("k"))
+    raw = out.select("src", F.when(src % 3 == 0, (src * 7 + F.col("k")) % 400).otherwise((src + F.col("k") * F.col("k")) % 90).alias("dst"))
+    links = raw.join(pages.select(F.col("page_id").alias("dst")), "dst", "left_semi")
+    return graph.two_hops(links, pages.select(F.col("page_id").alias("node")))
 
 
 SECRET_SQL = "text"

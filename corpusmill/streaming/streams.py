@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from corpusmill.session import shared_folder
 from corpusmill.sources.notes import append_new
 
 
@@ -65,7 +65,7 @@ def task_states(events: DataFrame, lease: int = 300) -> DataFrame:
             yield pd.DataFrame({"user_id": [key[0]], "status": [state.get[0]], "moves": [moves], "ignored": [ignored]})
             return
         status, moves, ignored = state.get if state.exists else ("", 0, 0)
-        rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
+        rows = pd.concat([part[["at", "event_id", "event_type"]] for part in batches]).sort_values(["at", "event_id"])
         for kind in rows["event_type"]:
             new = MOVES.get((status, kind))
             status, moves, ignored = (new, moves + 1, ignored) if new else (status, moves, ignored + 1)
@@ -80,11 +80,7 @@ def task_states(events: DataFrame, lease: int = 300) -> DataFrame:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder in the one that driver and executors share."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = "file://" + tempfile.mkdtemp(prefix="corpusmill-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return f"{shared.rstrip('/')}/corpusmill/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/corpusmill/{name}-{uuid.uuid4().hex}"
 
 
 def drained(stream: DataFrame, name: str, mode: str) -> DataFrame:
@@ -107,14 +103,14 @@ def drained(stream: DataFrame, name: str, mode: str) -> DataFrame:
 
 
 def intake(stream: DataFrame, target: str, key: list[str], checkpoint: str):
-    """Appends to the Parquet folder ``target`` the rows whose key it lacks, batch by batch."""
+    """Appends to the Parquet folder ``target`` the rows whose key it lacks, batch by batch. Of the
+    target the key columns alone are read; only a folder that isn't there counts as empty."""
 
     def add(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        try:
-            known = spark.read.schema(batch.schema).parquet(target)
-        except Exception:
-            known = batch.limit(0)
+        path = spark._jvm.org.apache.hadoop.fs.Path(target)
+        there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+        known = spark.read.schema(batch.schema).parquet(target).select(*key) if there else batch.select(*key).limit(0)
         append_new(batch, known, key).write.mode("append").parquet(target)
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
