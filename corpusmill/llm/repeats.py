@@ -39,7 +39,7 @@ from corpusmill.llm.shingles import MIX, WordHashes, mixed, permutations, shingl
 from corpusmill.llm.simjoin import linked, parity_sketch, shared_lists, with_centres
 
 MIN_WORDS, MIN_RUN = 20, 20
-REACH = 4
+REACH = 7
 WIDE = 1 << 14
 
 
@@ -175,8 +175,9 @@ def order_of(*place: str) -> Column:
 
 def repeated_runs(segments: DataFrame, min_run: int) -> DataFrame:
     """Runs of neighbouring segments (row, row_key, doc_id, start, n_words, id) that all occur elsewhere."""
-    again = segments.groupBy("id").agg(F.count("*").alias("copies"), F.min(order_of("start", "row_key")).alias("first")).where("copies > 1")
-    shared = segments.join(again.drop("copies"), "id")
+    again = segments.groupBy("id").agg(F.count("*").alias("copies")).where("copies > 1").select("id")
+    shared = stored(segments.join(again, "id", "left_semi"), "shared-segments")
+    shared = shared.join(shared.groupBy("id").agg(F.min(order_of("start", "row_key")).alias("first")), "id")
     w = Window.partitionBy("row").orderBy("start")
     follows = F.lag(F.col("start") + F.col("n_words")).over(w) == F.col("start")
     runs = shared.withColumn("run", F.sum((~F.coalesce(follows, F.lit(False))).cast("int")).over(w))
