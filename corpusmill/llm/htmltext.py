@@ -1,17 +1,20 @@
 """Main text of HTML pages by the maximum-scoring run of tokens.
 
-A page becomes a line of tokens: words and tags. Words score positive, tags (and
-words inside menus, footers, forms and the like) negative; the weights are log odds
-from labelled pages. An element is boilerplate by its kind, or by the words of its class,
+A page becomes a line of tokens: words and tags. Words score positive and tags
+negative; the weights are log odds from labelled pages, and so is the factor between them. One linear
+scan finds the contiguous run with the highest sum, and its words are the main text.
+
+What lies inside that run and isn't the article is told word by word: by the kind of an element (nav,
+footer, form and such; a header outside an article), by the words of its class,
 id and role, which are weighed by a logistic fit on the same pages and count only
-where one is a known name; html, body, main and article never are. One linear scan finds the contiguous run with the highest sum,
-and its words, without those of boilerplate elements, are the main text.
+where one is a known name (html, body, main, article and headings never are), and by menus, blocks in a row
+that are links and nothing else. Such words score next to nothing and are left out.
 
 Defined cases: a null page counts as empty; a page without words outside
 boilerplate has an empty text; broken markup is read as far as it goes (an open tag
 at the end of a cut page is dropped); equal scores go to the earliest and then the
-shortest run; repeated rows each get a row; other columns of the input are ignored;
-an empty table gives an empty result.
+shortest run; a very long page is read whole, in time in proportion to its length; repeated rows each
+get a row; other columns of the input are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,24 +38,28 @@ BLOCKS = frozenset(
     "thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg iframe object textarea title head math canvas audio video".split())
 BOILERPLATE = frozenset("nav header footer aside form menu dialog button select option label".split())
-#: Elements that hold a whole page or text, whatever they are called.
-WHOLE = frozenset("html body main article".split())
+#: Elements that hold a whole page or text, or its headings, whatever they are called.
+WHOLE = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BOILERPLATE_NAMES = frozenset(
     "ad ads advert advertisement advertising sponsor sponsored sponsors promo promotion banner sidebar menu nav navbar "
     "navigation breadcrumb breadcrumbs footer header masthead cookie cookies consent notice notices popup modal overlay "
     "newsletter subscribe subscription signup login search comment comments respond replies disqus share sharing social "
     "related recommended".split()
 )
+#: A quote opens a value only after an equals sign; an unclosed script ends with the page, an unclosed title at the next tag.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|iframe|object|textarea|title|math|canvas)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|[^<]+|<",
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|iframe|object|canvas)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<own>title|textarea)\b[^>]*>(?:(?:(?!<(?:/?head|body)\b).)*?</(?P=own)\s*>|[^<]*)"
+    r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?>=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|[^<]+|<",
     re.S | re.I,
 )
 NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-#: Weights are held within these, so that an advert inside an article doesn't end it.
-WORD_FLOOR, TAG_CEILING, TAG_FLOOR = 0.5, -0.25, -1.0
+#: A line of so many blocks that are links and nothing else is a menu.
+MENU_LINKS = 3
+#: Factors of the tags' weights that are tried on the labelled pages.
+FACTORS = (0.25, 0.5, 1.0, 2.0, 4.0, 8.0)
 
 
 def name_words(attrs: str) -> set[str]:
@@ -113,63 +120,135 @@ def fitted_names() -> dict[str, float]:
 
 
 def tokens(page: str) -> Iterator[tuple[str, str]]:
-    """(kind, value): ``word`` and ``side`` (a word in boilerplate) with the decoded
+    """(kind, value): ``word``, ``link`` (within an anchor) and ``side`` (in boilerplate) with the decoded
     text between two tags, ``tag`` with a name (a closing one after a slash), ``mark`` with a comment."""
     depth: list[tuple[str, bool]] = []
+    open_names: Counter[str] = Counter()
     side = 0
+
+    def leave() -> str:
+        nonlocal side
+        own, bad = depth.pop()
+        open_names[own] -= 1
+        side -= bad
+        return own
+
     for found in TOKEN.finditer(page):
         whole = found[0]
         if whole.startswith("<!--"):
             yield "mark", whole
-        elif found["raw"]:
-            yield "tag", found["raw"].lower()
+        elif found["raw"] or found["own"]:
+            yield "tag", (found["raw"] or found["own"]).lower()
         elif name := (found["name"] or "").lower():
             if name == "head":
                 continue
             yield "tag", found["close"] + name
             if found["close"]:
-                if any(n == name for n, _ in depth):
-                    while depth:
-                        own, bad = depth.pop()
-                        side -= bad
-                        if own == name:
-                            break
+                if open_names[name] > 0:
+                    while leave() != name:
+                        pass
             elif name not in VOID and not found["attrs"].rstrip().endswith("/"):
                 if name == "p" and depth and depth[-1][0] == "p":
-                    side -= depth.pop()[1]
+                    leave()
                 bad = is_boilerplate(name, found["attrs"])
-                if name == "header" and any(n in ("article", "main") for n, _ in depth):
+                if name == "header" and (open_names["article"] > 0 or open_names["main"] > 0):
                     bad = False
                 side += bad
+                open_names[name] += 1
                 depth.append((name, bad))
         elif whole[0] != "<" or whole == "<":
-            yield ("side" if side else "word"), html.unescape(whole)
+            yield ("side" if side else "link" if open_names["a"] > 0 else "word"), html.unescape(whole)
+
+
+def without_menus(line: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """``line`` with the links of menus as ``side``: of ``MENU_LINKS`` neighbouring blocks or more
+    that are links and nothing else; elsewhere links are words. A heading that is a link is none."""
+    out, run, block, heading = list(line), [], [], False
+
+    def end_block() -> None:
+        nonlocal block, run
+        kinds = {line[i][0] for i in block}
+        if kinds == {"link"} and not heading:
+            run.append(block)
+        elif kinds:
+            end_run()
+        block = []
+
+    def end_run() -> None:
+        nonlocal run
+        menu = len(run) >= MENU_LINKS
+        for i in (i for b in run for i in b):
+            out[i] = ("side" if menu else "word", line[i][1])
+        run = []
+
+    for i, (kind, value) in enumerate(line):
+        if kind == "tag":
+            name = value.lstrip("/")
+            if name in BLOCKS:
+                end_block()
+                heading = name in HEADINGS and value == name
+        elif value.strip():
+            if kind == "side":
+                continue
+            block.append(i)
+    end_block()
+    end_run()
+    return [("word" if kind == "link" else kind, value) for kind, value in out]
+
+
+def marked_line(page: str) -> tuple[list[tuple[str, str]], list[bool]]:
+    """The tokens of a labelled page, and whether each lies in its main text."""
+    line, within, inside = [], False, []
+    for kind, value in tokens(page):
+        if kind == "mark":
+            within = value == "<!--CONTENT-->" or within and value != "<!--/CONTENT-->"
+        else:
+            line.append((kind, value))
+            inside.append(within)
+    return without_menus(line), inside
 
 
 @lru_cache(maxsize=1)
 def fitted_weights() -> dict[str, float]:
-    """Log odds of lying in the main text, from the labelled pages: for a word, a
-    word in boilerplate, and each tag. Words stay positive and tags negative."""
+    """Log odds from the labelled pages: of a word for lying in the main text, and of each tag against it,
+    times the factor with which the runs meet the marked texts best (of equal ones that nearest to 1). A word in
+    boilerplate weighs as little as the pages have of them within the text: it is left out anyway, and an advert inside an article doesn't end it."""
     inside, outside = Counter(), Counter()
-    for page in PAGES:
-        within = False
-        for kind, value in tokens(page):
-            if kind == "mark":
-                within = "<!--CONTENT-->" == value or within and value != "<!--/CONTENT-->"
-            else:
-                key = value if kind == "tag" else f"#{kind}"
-                (inside if within else outside)[key] += 1 if kind == "tag" else len(value.split())
-    weights = {}
-    for key in inside.keys() | outside.keys():
-        odds = math.log((inside[key] + 1) / (outside[key] + 1))
-        if key == "#word":
-            odds = max(odds, WORD_FLOOR)
-        elif key == "#side":
-            odds = -WORD_FLOOR
+    lines = [marked_line(page) for page in PAGES]
+    for line, within in lines:
+        for (kind, value), own in zip(line, within, strict=True):
+            key = value if kind == "tag" else f"#{kind}"
+            (inside if own else outside)[key] += 1 if kind == "tag" else len(value.split())
+    odds = {k: math.log1p((outside[k] + 1) / (inside[k] + 1)) for k in inside.keys() | outside.keys() if k[0] != "#"}
+    word = math.log1p((inside["#word"] + 1) / (outside["#word"] + 1))
+    side = -math.log1p((inside["#side"] + 1) / (outside["#side"] + 1))
+
+    def fit(factor: float) -> tuple[float, dict[str, float]]:
+        weights = {k: -factor * v for k, v in odds.items()} | {"#word": word, "#side": side, "#tag": -factor * sum(odds.values()) / len(odds)}
+        total = 0.0
+        for line, within in lines:
+            low, high = best_run(scores_of(line, weights))
+            got = Counter(w for kind, v in line[low:high] if kind == "word" for w in v.split())
+            want = Counter(w for (kind, v), own in zip(line, within, strict=True) if own and kind == "word" for w in v.split())
+            total += 2 * (got & want).total() / max(1, got.total() + want.total())
+        return total, weights
+
+    fits = {f: fit(f) for f in FACTORS}
+    return fits[max(FACTORS, key=lambda f: (round(fits[f][0], 9), -abs(math.log(f))))][1]
+
+
+def scores_of(line: list[tuple[str, str]], weights: dict[str, float]) -> list[float]:
+    """The score of each token; of line breaks in a row the first one's counts."""
+    out, was = [], ""
+    for kind, value in line:
+        if kind == "tag":
+            name = value.lstrip("/")
+            out.append(0.0 if name == "br" and was == "br" else weights.get(value, weights["#tag"]))
+            was = name
         else:
-            odds = max(min(odds, TAG_CEILING), TAG_FLOOR)
-        weights[key] = odds
-    return weights
+            out.append(weights[f"#{kind}"] * len(value.split()))
+            was = "" if value.strip() else was
+    return out
 
 
 def best_run(scores: list[float]) -> tuple[int, int]:
@@ -185,13 +264,8 @@ def best_run(scores: list[float]) -> tuple[int, int]:
 
 
 def main_text(page: str) -> str:
-    weights = fitted_weights()
-    line = [t for t in tokens(page) if t[0] != "mark"]
-    scores = [
-        weights.get(value, TAG_CEILING) if kind == "tag" else weights[f"#{kind}"] * len(value.split())
-        for kind, value in line
-    ]
-    low, high = best_run(scores)
+    line = without_menus([t for t in tokens(page) if t[0] != "mark"])
+    low, high = best_run(scores_of(line, fitted_weights()))
     blocks: list[list[str]] = [[]]
     for kind, value in line[low:high]:
         if kind == "word":

@@ -50,4 +50,9 @@ NAME_PAGES = PAGES + (
     still nights when the ground gives off its heat.</p><!--/CONTENT--></div><div class="has-menu"><!--CONTENT--><p>Cover the beds with straw
     before dusk.</p><!--/CONTENT--></div><div class="with-banner"><!--CONTENT--><p>Take the straw off by noon.</p><!--/CONTENT--></div>
     <div class="sidebar"><p>weather maps</p></div><div class="banner"><p>seeds by post</p></div><div class="search"><p>look for</p></div></body></html>""",
+    """<html><body><div class="content no-comments"><!--CONTENT--><h1 class="page-header">Clay</h1><p>Clay is dug in autumn and left to
+    the frost, which breaks it.</p><!--/CONTENT--></div><div class="comments"><p>good clay here</p></div>
+    <div class="related-links-on post"><!--CONTENT--><p>In spring it is trodden and cut into loaves.</p><!--/CONTENT--></div>
+    <div class="related links"><p>kilns and wheels</p></div><div class="no-ads content"><!--CONTENT--><p>A loaf rests until the wheel
+    is free.</p><!--/CONTENT--></div><div class="ads"><p>glazes by the bucket</p></div></body></html>""",
 )
