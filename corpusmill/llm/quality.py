@@ -7,7 +7,7 @@ the same pass over the text.
 
 Defined cases: a null text counts as empty; an empty text has all counts 0, fails
 the base rule (fewer than 50 words) and is not kept; rows are judged one by one,
-so repeated rows each get a row; other columns of the input are ignored; a null
+so repeated rows each get a row; a very long text is one row, read whole; other columns of the input are ignored; a null
 ``doc_id`` is carried through; an empty table gives an empty result.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 
 #: Fixed values of the contract: what counts as a symbol.
 SYMBOLS = "#*$%&|<>"
-#: Marks that end a sentence, separators of menus, boilerplate phrases.
+#: Marks that end a sentence, separators of menus, boilerplate phrases (English, German, French, Spanish).
 TERMINAL = tuple(".!?…:;\"'”’»)]")
 SEPARATORS = frozenset(["|", "»", "›", "•", "·", ">", "/"])
 BOILERPLATE = re.compile(
@@ -33,6 +33,9 @@ BOILERPLATE = re.compile(
             "use of cookies", "enable javascript", "javascript is disabled", "sign up for our newsletter",
             "subscribe to our", "click here", "log in to comment", "skip to content", "back to top",
             "share on facebook", "share on twitter", "lorem ipsum",
+            "alle rechte vorbehalten", "allgemeine geschäftsbedingungen", "datenschutzerklärung", "javascript aktivieren", "newsletter abonnieren", "zum inhalt springen", "nach oben",
+            "tous droits réservés", "conditions d'utilisation", "politique de confidentialité", "utilisation de cookies", "activer javascript", "abonnez-vous à", "cliquez ici", "haut de page",
+            "todos los derechos reservados", "términos de uso", "política de privacidad", "uso de cookies", "habilite javascript", "suscríbete a", "haga clic aquí", "volver arriba",
         )
     )
 )

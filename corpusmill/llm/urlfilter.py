@@ -6,13 +6,15 @@ an equi-join on the first 32 bits of their SHA-256; the full digests then confir
 and the longest confirmed rule wins.
 
 Only distinct (host, path head) keys are expanded, so a host that holds a third of
-all pages is expanded once for each of its few path heads. Rules are broadcast
+all pages is expanded once for each of its few path heads. The keys' verdicts meet the pages in
+``SALTS`` copies each, so the pages of one key are dealt to as many tasks. Rules are broadcast
 only if Catalyst's size estimate allows it; else the join is a sort-merge join.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path and
 no rule; an empty URL likewise; repeated rows each get a row; of rules with the
 same host and path, one that blocks wins; rules with a null host, path or action
-are ignored; other columns of the input are ignored; an empty table of pages or
+are ignored; a very long url is one row, of whose path as much as the longest rule has is a key;
+other columns of the input are ignored; an empty table of pages or
 rules is fine (without rules every page gets the default verdict).
 """
 
@@ -27,6 +29,9 @@ from corpusmill.llm.common import ascii_lower
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
+SALTS = 16
+
+
 def host_of(url: Column) -> Column:
     return ascii_lower(F.coalesce(F.regexp_extract(url, PARTS, 1), F.lit("")))
 
@@ -81,4 +86,6 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
         .select("host", "head", "best.rule", "best.blocks")
     )
     verdict = F.when(F.col("rule").isNull(), default).when(F.col("blocks"), "block").otherwise("allow")
-    return judged.join(best, ["host", "head"], "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"))
+    best = best.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    judged = judged.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int"))
+    return judged.join(best, ["host", "head", "salt"], "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"))
