@@ -76,6 +76,19 @@ def confusion(rows: DataFrame, by: str) -> DataFrame:
     )
 
 
+def answer_figures(rows: DataFrame) -> DataFrame:
+    """One row: cases, and the shares of wrong answers and wrong refusals among rows (answerable, answered)."""
+    a, g = F.col("answerable"), F.col("answered")
+    share = lambda x, y: F.round(F.count_if(x) / F.count_if(y), 6)
+    return rows.agg(F.count("*").alias("cases"), share(~a & g, ~a).alias("false_answer"), share(a & ~g, a).alias("false_refusal"))
+
+
+def gate(figures: DataFrame, checks: dict[str, str]) -> DataFrame:
+    """(check_name, passed) for one row of figures; what a figure is missing for has not passed."""
+    held = [F.struct(F.lit(n).alias("check_name"), F.coalesce(F.expr(c), F.lit(False)).alias("passed")) for n, c in checks.items()]
+    return figures.select(F.inline(F.array(*held)))
+
+
 def covered_share(tokens: Column, blob: Column, empty: float) -> Column:
     """The share of tokens that a text contains."""
     hit = F.size(F.filter(tokens, lambda t: F.contains(blob, t)))
