@@ -57,3 +57,9 @@ def glob_pattern(glob: str) -> str:
         else:
             out, i = out + (glob[i] if glob[i].isalnum() or glob[i] in "/_-." else "\\" + glob[i]), i + 1
     return out
+
+
+def boundary_pattern(glob: str) -> str:
+    """A glob that holds for whole names: a folder (with a slash at its end) for all below it, a name up to a slash or the end."""
+    tail = ".*" if glob.endswith("/") else "" if glob.endswith("*") else "(?:/|$)"
+    return glob_pattern(glob) + tail

@@ -37,7 +37,7 @@ def line_kind(line: Column) -> Column:
     )
 
 
-def packed(texts: Column, limit: int, joint: str) -> Column:
+def packed(texts: Column, limit: int | Column, joint: str) -> Column:
     """Neighbouring texts joined while they fit ``limit``: an array of strings."""
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 
@@ -53,12 +53,53 @@ def packed(texts: Column, limit: int, joint: str) -> Column:
     )
 
 
-def sliced(text: Column, limit: int) -> Column:
+def sliced(text: Column, limit: int | Column) -> Column:
     """A text in pieces of at most ``limit`` characters."""
     starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)), F.lit(limit))
     return F.transform(starts, lambda i: F.substr(text, i, F.lit(limit)))
 
 
+def list_pieces(text: Column, limit: int) -> Column:
+    """A list cut before items of its outer level, and only an item over the limit within."""
+    items = F.split(text, r"\n(?=[-*+] |[0-9]+[.)] )")
+    return packed(F.flatten(F.transform(items, lambda x: sliced(x, limit))), limit, "\n")
+
+
+def table_pieces(text: Column, limit: int) -> Column:
+    """A table cut between rows; each piece begins with the table's head."""
+    lines = F.split(text, "\n")
+    ruled = F.translate(F.coalesce(F.get(lines, F.lit(1)), F.lit("x")), "|:- ", "") == ""
+    n = F.when(ruled, 2).otherwise(1)
+    head = F.array_join(F.slice(lines, F.lit(1), n), "\n")
+    room = F.greatest(F.lit(limit) - F.length(head) - 1, F.lit(1))
+    rows = F.slice(lines, n + 1, F.size(lines))
+    return F.transform(packed(F.flatten(F.transform(rows, lambda r: sliced(r, room))), room, "\n"), lambda p: F.concat(head, F.lit("\n"), p))
+
+
+def fence_pieces(text: Column, limit: int) -> Column:
+    """A code block cut between lines; each piece is opened and closed like the whole."""
+    lines = F.split(text, "\n")
+    opening = F.get(lines, F.lit(0))
+    mark = F.left(F.ltrim(opening), F.lit(3))
+    closed = (F.size(lines) > 1) & F.startswith(F.ltrim(F.element_at(lines, -1)), mark)
+    body = F.slice(lines, F.lit(2), F.size(lines) - 1 - closed.cast("int"))
+    room = F.greatest(F.lit(limit) - F.length(opening) - 5, F.lit(1))
+    pieces = packed(F.flatten(F.transform(body, lambda r: sliced(r, room))), room, "\n")
+    return F.transform(pieces, lambda p: F.concat(opening, F.lit("\n"), p, F.lit("\n"), mark))
+
+
+def block_pieces(kind: Column, text: Column, limit: int) -> Column:
+    """A block that isn't prose in pieces of at most ``limit`` characters, cut where its kind allows."""
+    lines = F.flatten(F.transform(F.split(text, "\n"), lambda r: sliced(r, limit)))
+    return (
+        F.when(F.length(text) <= limit, F.array(text))
+        .when(kind == "list", list_pieces(text, limit))
+        .when(kind == "table", table_pieces(text, limit))
+        .when(kind == "fence", fence_pieces(text, limit))
+        .otherwise(packed(lines, limit, "\n"))
+    )
+
+
 def paragraph_chunks(notes: DataFrame, limit: int = 600) -> DataFrame:
     """(path, chunk_index, content): blank-line paragraphs, long ones cut after the last
     full stop in reach, short neighbours joined up to ``limit``. ``notes``: path, text."""
@@ -137,7 +178,7 @@ def structure_chunks(notes: DataFrame) -> DataFrame:
         F.min("block").alias("block"), F.first("kind").alias("kind"), F.first("anchor").alias("anchor"), F.first("heading_path").alias("heading_path"), texts.alias("texts")
     )
     prose = packed(F.flatten(F.transform("texts", lambda t: F.when(F.length(t) > HARD, sentences(t, HARD)).otherwise(F.array(t)))), TARGET, "\n")
-    other = F.flatten(F.transform("texts", lambda t: sliced(t, HARD)))
+    other = F.flatten(F.transform("texts", lambda t: block_pieces(F.col("kind"), t, HARD)))
     pieces = F.when(F.col("kind") == "paragraph", prose).otherwise(other)
     out = grouped.select("path", "block", "kind", "anchor", "heading_path", F.posexplode(pieces).alias("piece", "content"))
     return _identified(out.where("trim(content) <> ''"))

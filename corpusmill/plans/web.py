@@ -62,6 +62,15 @@ def glob_blacklist(spark: SparkSession, d: str) -> DataFrame:
     return paths.where(F.col("path").rlike(W.glob_pattern("/en/**")) & ~F.col("path").rlike(W.glob_pattern("/en/*.html")))
 
 
+@query(f"""SELECT page_id, {PATH} AS path FROM pages WHERE NOT regexp_matches({PATH}, '/de/.*') AND NOT regexp_matches({PATH}, '/fr/[^/]*') AND NOT regexp_matches({PATH}, '/en/1[^/]*(?:/|$)|/en/2(?:/|$)')""")
+def boundary_blacklist(spark: SparkSession, d: str) -> DataFrame:
+    """Paths that no pattern with bounds holds for."""
+    paths = table(spark, d, "pages").select("page_id", W.url_path(F.col("url")).alias("path"))
+    for glob in ("/de/", "/fr/*", "/en/2"):
+        paths = paths.where(~F.col("path").rlike(W.boundary_pattern(glob)))
+    return paths.where(~F.col("path").rlike(W.glob_pattern("/en/1*") + "(?:/|$)"))
+
+
 @query("""SELECT doc_id, source || '/' || doc_id || '.md' AS path FROM documents WHERE starts_with(source || '/', 'src1/') OR starts_with(source || '/', 'src2/')""")
 def prefix_scope_filter(spark: SparkSession, d: str) -> DataFrame:
     paths = table(spark, d, "documents").select("doc_id", F.concat("source", F.lit("/"), "doc_id", F.lit(".md")).alias("path"))
