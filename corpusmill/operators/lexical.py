@@ -99,3 +99,36 @@ def lexical_idf_topk(posting: DataFrame, tokens: DataFrame, n_docs: DataFrame, k
     hits = posting.select("token", "doc_id").join(weighted, "token")
     total = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum("idf"), 6).alias("score"), F.count("*").alias("matched"))
     return top_k(total, k, ["query_id"], F.desc("score"), "doc_id")
+
+
+#: From which idf on an identifier is rare; how many candidates a ranking looks at.
+RARE_IDF, CANDIDATES = 2.5, 50
+
+
+def rescued_topk(posting: DataFrame, titles: DataFrame, tokens: DataFrame, n_docs: DataFrame, k: int) -> DataFrame:
+    """(query_id, doc_id, score, rescued, rank). Candidates are those with the highest scores, and those with
+    a rare identifier of the question in their title, which then count by their rare identifiers alone. Where a
+    question has one rare identifier and a candidate has it in its title, the order is: title, score, coverage by idf, matched
+    idf, all identifiers, reference, all descending; elsewhere score, then the lowest document.
+
+    ``posting``: token, doc_id, weight; ``titles``: the (token, doc_id) of titles; ``tokens``: query_id, token."""
+    df = document_frequency(posting)
+    ident = (F.length("token") >= 3) & (F.octet_length("token") == F.length("token"))
+    weighed = tokens.join(df, "token", "left").join(F.broadcast(n_docs)).select("query_id", "token", idf(F.coalesce("df", F.lit(0)), F.col("n")).alias("idf"), ident.alias("ident"))
+    hits = stored(posting.select("token", "doc_id", "weight").join(weighed, "token"), "weighed-hits")
+    base = top_k(hits.groupBy("query_id", "doc_id").agg(F.sum("weight").alias("score")), CANDIDATES, ["query_id"], F.desc("score"), "doc_id").drop("rank")
+    rare = hits.where(F.col("ident") & (F.col("idf") >= RARE_IDF))
+    named = rare.join(titles.withColumn("title", F.lit(True)), ["token", "doc_id"], "left").groupBy("query_id", "doc_id")
+    second = top_k(named.agg(F.sum("weight").alias("rare_score"), F.bool_or(F.coalesce("title", F.lit(False))).alias("titled")), CANDIDATES, ["query_id"], F.desc("rare_score"), "doc_id")
+    both = base.join(second.where("titled").select("query_id", "doc_id", "rare_score"), ["query_id", "doc_id"], "full_outer")
+    own = hits.groupBy("query_id", "doc_id").agg(F.sum("idf").alias("matched"), F.count_if("ident").alias("hit"))
+    asked = weighed.groupBy("query_id").agg(F.sum("idf").alias("total"), F.count_if("ident").alias("ids"), F.count_if(F.col("ident") & (F.col("idf") >= RARE_IDF)).alias("rares"))
+    titled = F.col("rare_score").isNotNull()
+    rows = both.join(own, ["query_id", "doc_id"]).join(asked, "query_id").select(
+        "query_id", "doc_id", F.coalesce("rare_score", "score").alias("score"), (titled & (F.col("ids") == 1)).cast("int").alias("in_title"),
+        F.round(F.col("matched") / F.col("total"), 9).alias("coverage"), F.round("matched", 9).alias("matched"), ((F.col("ids") > 0) & (F.col("hit") == F.col("ids"))).cast("int").alias("every"),
+        (F.bool_or(titled).over(Window.partitionBy("query_id")) & (F.col("rares") == 1)).alias("rescued"),
+    )
+    then = lambda c, other=0: F.desc(F.when(F.col("rescued"), c).otherwise(other))
+    order = [then(F.col("in_title")), F.desc("score"), then(F.col("coverage")), then(F.col("matched")), then(F.col("every")), then(F.col("doc_id"), -F.col("doc_id"))]
+    return top_k(rows, k, ["query_id"], *order).select("query_id", "doc_id", "score", "rescued", "rank")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -86,3 +86,27 @@ def citations(answers: DataFrame) -> DataFrame:
     bare = F.regexp_replace(F.regexp_replace("answer", r"(?s)```.*?```", " "), r"`[^`]*`", " ")
     found = F.regexp_extract_all(bare, F.lit(CITATION), 0)
     return answers.select("id", F.posexplode(F.array_distinct(F.transform(found, lambda r: F.regexp_replace(r, r"[\[\]]", "")))).alias("place", "ref"))
+
+
+def expanded_context(chunks: DataFrame, near: int, limit: int) -> DataFrame:
+    """(entry, heading, place, ref, content, context_of): each chunk's text, then those of up to ``near`` chunks
+    before and after it under its heading, each after a mark with its reference, as long as they fit ``limit``.
+
+    ``chunks``: entry, heading, place, ref, text."""
+    w = Window.partitionBy("entry", "heading").orderBy("place")
+    one = F.struct("ref", "text")
+    around = F.concat(F.collect_list(one).over(w.rowsBetween(-near, -1)), F.collect_list(one).over(w.rowsBetween(1, near)))
+    begin = F.struct(F.left("text", F.lit(limit)).alias("content"), F.array().cast("array<string>").alias("used"), F.lit(False).alias("full"))
+
+    def step(s, c):
+        mark = F.concat(F.lit("\n\n[context_of:"), c["ref"], F.lit("]\n"))
+        room = F.lit(limit) - F.length(s["content"]) - F.length(mark)
+        fits = ~s["full"] & (room > 0)
+        return F.struct(
+            F.when(fits, F.concat(s["content"], mark, F.left(c["text"], room))).otherwise(s["content"]).alias("content"),
+            F.when(fits, F.concat(s["used"], F.array(c["ref"]))).otherwise(s["used"]).alias("used"),
+            (s["full"] | ~fits | (F.length(c["text"]) > room)).alias("full"),
+        )
+
+    folded = chunks.withColumn("around", around).withColumn("s", F.aggregate("around", begin, step))
+    return folded.select("entry", "heading", "place", "ref", "s.content", F.array_join("s.used", "|").alias("context_of"))

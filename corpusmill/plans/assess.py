@@ -9,13 +9,13 @@ from corpusmill.functions import queries as Q
 from corpusmill.functions import text as T
 from corpusmill.operators import evaluation as E
 from corpusmill.operators import fusion, sessions
-from corpusmill.operators.lexical import top_k
-from corpusmill.operators.selection import packed_context
+from corpusmill.operators.lexical import asked_postings, rescued_topk, top_k
+from corpusmill.operators.selection import expanded_context, packed_context
 from corpusmill.operators.similarity import coverage_pairs
 from corpusmill.plans.evaluations import JUDGED, MTOK, QRELS, qrels
 from corpusmill.plans.records import CHANGED, RECORDS, records, snapshots
 from corpusmill.plans.registry import query
-from corpusmill.plans.retrieval import ROUTES, routes
+from corpusmill.plans.retrieval import FIELDS, ROUTES, TOKENS_SQL, as_notes, routes
 from corpusmill.plans.web import EDGE, edges
 from corpusmill.sources.tables import table
 
@@ -393,3 +393,41 @@ def release_gate(spark: SparkSession, d: str) -> DataFrame:
     for one in (recall(lexical, "lexical_recall"), recall(fused, "rrf_recall"), bad):
         figures = figures.join(F.broadcast(one))
     return E.gate(figures, dict(GATE_CHECKS))
+
+
+THREE = r"array_to_string(string_split(regexp_replace(trim(text), '\s+', ' ', 'g'), ' ')[1:3], ' ')"
+
+
+@query(rf"""WITH {FIELDS}, q AS (SELECT doc_id AS query_id, unnest({TOKENS_SQL.format(c=THREE)}) AS token FROM documents WHERE doc_id % 100 = 0), n AS (SELECT count(*) AS n FROM documents),
+df AS (SELECT token, count(*) AS df FROM posting WHERE token IN (SELECT token FROM q) GROUP BY 1),
+w AS (SELECT query_id, token, ln((n + 1) / (coalesce(df, 0) + 1)) + 1 AS idf, length(token) >= 3 AND strlen(token) = length(token) AS ident FROM q LEFT JOIN df USING (token), n),
+h AS (SELECT query_id, doc_id, token, weight, fields, idf, ident FROM posting JOIN w USING (token)),
+b AS (SELECT query_id, doc_id, sum(weight) AS score FROM h GROUP BY query_id, doc_id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sum(weight) DESC, doc_id) <= 50),
+i AS (SELECT query_id, doc_id, sum(weight) AS rare_score, bool_or(contains(fields, 'title')) AS titled FROM h WHERE ident AND idf >= 2.5 GROUP BY query_id, doc_id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sum(weight) DESC, doc_id) <= 50),
+m AS (SELECT query_id, doc_id, score, rare_score FROM b FULL JOIN (SELECT * FROM i WHERE titled) USING (query_id, doc_id)),
+o AS (SELECT query_id, doc_id, sum(idf) AS matched, count(*) FILTER (ident) AS hit FROM h GROUP BY ALL), a AS (SELECT query_id, sum(idf) AS total, count(*) FILTER (ident) AS ids, count(*) FILTER (ident AND idf >= 2.5) AS rares FROM w GROUP BY 1),
+r AS (SELECT query_id, doc_id, coalesce(rare_score, score) AS score, (rare_score IS NOT NULL AND ids = 1)::INT AS in_title, round(matched / total, 9) AS coverage, round(matched, 9) AS matched, (ids > 0 AND hit = ids)::INT AS every,
+ bool_or(rare_score IS NOT NULL) OVER (PARTITION BY query_id) AND rares = 1 AS rescued FROM m JOIN o USING (query_id, doc_id) JOIN a USING (query_id))
+SELECT query_id, doc_id, score, rescued, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN rescued THEN in_title ELSE 0 END DESC, score DESC, CASE WHEN rescued THEN coverage ELSE 0 END DESC, CASE WHEN rescued THEN matched ELSE 0 END DESC,
+ CASE WHEN rescued THEN every ELSE 0 END DESC, CASE WHEN rescued THEN doc_id ELSE -doc_id END DESC)::INT AS rank FROM r QUALIFY rank <= 8""")
+def title_rescue(spark: SparkSession, d: str) -> DataFrame:
+    """Every hundredth document asked by its first three words: a rare name in a title comes first."""
+    docs = as_notes(spark, d)
+    asked = table(spark, d, "documents").where("doc_id % 100 = 0")
+    first = F.array_join(F.slice(F.split(F.regexp_replace(F.trim("text"), r"\s+", " "), " "), 1, 3), " ")
+    tokens = asked.select(F.col("doc_id").alias("query_id"), F.explode(T.index_tokens(first)).alias("token"))
+    titles = docs.select("doc_id", F.explode(T.index_tokens(F.col("title"))).alias("token")).join(tokens.select("token").distinct(), "token")
+    return rescued_topk(asked_postings(docs, tokens), titles, tokens, docs.agg(F.count("*").alias("n")), 8)
+
+
+@query(r"""WITH c AS (SELECT conv_id AS entry, role AS heading, turn AS place, conv_id || '/' || turn AS ref, coalesce(text, '') AS text FROM conversations),
+a AS (SELECT *, lag(ref) OVER w AS r1, lag(text) OVER w AS t1, lead(ref) OVER w AS r2, lead(text) OVER w AS t2, left(text, 300) AS s0 FROM c WINDOW w AS (PARTITION BY entry, heading ORDER BY place)),
+b AS (SELECT *, chr(10) || chr(10) || '[context_of:' || r1 || ']' || chr(10) AS m1, chr(10) || chr(10) || '[context_of:' || r2 || ']' || chr(10) AS m2 FROM a),
+d AS (SELECT *, coalesce(300 - length(s0) - length(m1) > 0, false) AS f1 FROM b), e AS (SELECT *, CASE WHEN f1 THEN s0 || m1 || left(t1, 300 - length(s0) - length(m1)) ELSE s0 END AS s1,
+ r1 IS NOT NULL AND (NOT f1 OR length(t1) > 300 - length(s0) - length(m1)) AS full1 FROM d), g AS (SELECT *, coalesce(NOT full1 AND 300 - length(s1) - length(m2) > 0, false) AS f2 FROM e)
+SELECT entry, heading, place, ref, CASE WHEN f2 THEN s1 || m2 || left(t2, 300 - length(s1) - length(m2)) ELSE s1 END AS content, concat_ws('|', CASE WHEN f1 THEN r1 END, CASE WHEN f2 THEN r2 END) AS context_of FROM g""")
+def context_expansion(spark: SparkSession, d: str) -> DataFrame:
+    """Each turn with its neighbours of the same role in 300 characters, marked with where they stand."""
+    ref = F.concat(F.col("conv_id"), F.lit("/"), F.col("turn"))
+    chunks = table(spark, d, "conversations").select(F.col("conv_id").alias("entry"), F.col("role").alias("heading"), F.col("turn").alias("place"), ref.alias("ref"), F.coalesce("text", F.lit("")).alias("text"))
+    return expanded_context(chunks, 1, 300)
