@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import queries as Q
 from corpusmill.functions import text as T
 from corpusmill.operators import evaluation as E
-from corpusmill.operators import fusion, sessions
+from corpusmill.operators import sessions
 from corpusmill.operators.lexical import asked_postings, rescued_topk, top_k
 from corpusmill.operators.selection import expanded_context, packed_context
 from corpusmill.operators.similarity import coverage_pairs
@@ -364,33 +364,59 @@ def governance_pass_rates(spark: SparkSession, d: str) -> DataFrame:
     return records(spark, d).groupBy(F.col("project_id").alias("kind")).agg(F.count("*").alias("cases"), passed.alias("passed"), F.round(passed / F.count("*"), 4).alias("pass_rate"))
 
 
-GATE_SQL = f"""{JUDGED}, rr AS (SELECT query_id AS task_id, doc_id AS ref, row_number() OVER (PARTITION BY query_id ORDER BY round(sum(1.0::DOUBLE / (60 + rank)), 9) DESC, doc_id) AS rank FROM routes GROUP BY query_id, doc_id),
+GATE_SQL = f"""{JUDGED}, {CHANGED}, rr AS (SELECT query_id AS task_id, doc_id AS ref, row_number() OVER (PARTITION BY query_id ORDER BY round(sum(1.0::DOUBLE / (60 + rank)), 9) DESC, doc_id) AS rank FROM routes GROUP BY query_id, doc_id),
 g5 AS (SELECT q.task_id, count(rr.ref) / count(*) AS recall FROM qrels q LEFT JOIN rr ON rr.task_id = q.task_id AND rr.ref = q.ref AND rr.rank <= 5 GROUP BY 1),
+v5 AS (SELECT q.task_id, count(b.doc_id) / count(*) AS recall FROM qrels q LEFT JOIN b ON b.query_id = q.task_id AND b.doc_id = q.ref AND b.rank <= 5 GROUP BY 1),
+neg AS (SELECT avg((task_id NOT IN (SELECT query_id FROM a WHERE rank <= 5))::INT) AS lexical_clean, avg((task_id NOT IN (SELECT task_id FROM rr WHERE rank <= 5))::INT) AS rrf_clean FROM (SELECT item_id AS task_id FROM benchmark WHERE item_id NOT IN (SELECT task_id FROM qrels))),
+lat AS (SELECT v[floor(0.95 * (len(v) - 1))::INT + 1] AS p95 FROM (SELECT list_sort(list(value)) AS v FROM events WHERE event_type = 'view')),
+cov AS (SELECT round(count(*) FILTER (new.h = old.h) / count(*), 3) AS coverage FROM new LEFT JOIN old USING (doc_id)),
+fail AS (SELECT count(*) FILTER (last_type = 'error') AS failures FROM (SELECT arg_max(event_type, (ts, event_id)) AS last_type FROM events GROUP BY user_id)),
+top AS (SELECT count(*) FILTER (ref % 11 = 0) AS outside, count(*) FILTER (ref IN (SELECT doc_id FROM labels WHERE toxic = 1)) AS bad_answers FROM rr WHERE rank = 1),
 l5 AS (SELECT q.task_id, count(a.doc_id) / count(*) AS recall FROM qrels q LEFT JOIN a ON a.query_id = q.task_id AND a.doc_id = q.ref AND a.rank <= 5 GROUP BY 1),
 ans AS (SELECT count(*) AS cases, count(*) FILTER (o_orderkey % 3 <> 0 AND o_totalprice <= 150000) / count(*) FILTER (o_totalprice <= 150000) AS false_answer, count(*) FILTER (o_orderkey % 3 = 0 AND o_totalprice > 150000) / count(*) FILTER (o_totalprice > 150000) AS false_refusal FROM orders),
-fig AS (SELECT (SELECT round(avg(recall), 6) FROM l5) AS lexical_recall, (SELECT round(avg(recall), 6) FROM g5) AS rrf_recall, (SELECT count(*) FROM rr JOIN labels ON ref = doc_id WHERE rank <= 5 AND toxic = 1) AS forbidden, cases, round(false_answer, 6) AS false_answer, round(false_refusal, 6) AS false_refusal FROM ans)"""
+fig AS (SELECT (SELECT round(avg(recall), 6) FROM l5) AS lexical_recall, (SELECT round(avg(recall), 6) FROM g5) AS rrf_recall, (SELECT count(*) FROM rr JOIN labels ON ref = doc_id WHERE rank <= 5 AND toxic = 1) AS forbidden, cases, round(false_answer, 6) AS false_answer, round(false_refusal, 6) AS false_refusal,
+ (SELECT round(avg(recall), 6) FROM v5) AS vector_recall, round(lexical_clean, 6) AS lexical_clean, round(rrf_clean, 6) AS rrf_clean, p95, coverage, failures, outside, bad_answers FROM ans, neg, lat, cov, fail, top)"""
 GATE_CHECKS = [
     ("rrf_recall_at_5", "rrf_recall >= lexical_recall"), ("lexical_available", "lexical_recall IS NOT NULL"), ("rrf_available", "rrf_recall IS NOT NULL"),
     ("forbidden_zero", "forbidden = 0"), ("answer_gate_available", "cases > 0"), ("answer_gate_real_cases", "cases >= 20"), ("answer_false_rate", "false_answer <= 0.05"), ("answer_false_refusal_rate", "false_refusal <= 0.2"),
+    ("vector_available", "vector_recall IS NOT NULL"), ("rrf_p95", "p95 < 500"), ("negative_clean_at_5", "rrf_clean >= lexical_clean"), ("index_failures_zero", "failures = 0"), ("index_coverage", "coverage >= 1"),
+    ("answer_citation_out_of_scope_zero", "outside = 0"), ("answer_forbidden_zero", "bad_answers = 0"),
 ]
 
 
 @query(f"WITH {GATE_SQL} " + " UNION ALL ".join(f"SELECT '{n}' AS check_name, coalesce({c}, false) AS passed FROM fig" for n, c in GATE_CHECKS))
 def release_gate(spark: SparkSession, d: str) -> DataFrame:
-    """The checks of a release over retrieval, forbidden rows and answers."""
+    """The fifteen checks of a release over retrieval, the index, forbidden rows and answers."""
     found = routes(spark, d)
-    fused = fusion.reciprocal_rank_fusion(found.withColumnRenamed("doc_id", "key"), 5).select(F.col("query_id").alias("task_id"), F.col("key").alias("ref"))
-    lexical = found.where("route = 'content' AND rank <= 5").select(F.col("query_id").alias("task_id"), F.col("doc_id").alias("ref"))
+    score = F.round(F.sum(1.0 / (60 + F.col("rank"))), 9)
+    fused = top_k(found.groupBy("query_id", "doc_id").agg(score.alias("s")), 5, ["query_id"], F.desc("s"), "doc_id").select(F.col("query_id").alias("task_id"), F.col("doc_id").alias("ref"), "rank")
+    first5 = lambda route: found.where((F.col("route") == route) & (F.col("rank") <= 5)).select(F.col("query_id").alias("task_id"), F.col("doc_id").alias("ref"))
+    lexical = first5("content")
     good = qrels(spark, d).select("task_id", "ref")
 
     def recall(hits: DataFrame, name: str) -> DataFrame:
         share = good.join(hits.withColumn("hit", F.lit(1)), ["task_id", "ref"], "left").groupBy("task_id").agg((F.count("hit") / F.count("*")).alias("r"))
         return share.agg(F.round(F.avg("r"), 6).alias(name))
 
-    bad = fused.join(table(spark, d, "labels").where("toxic = 1"), F.col("ref") == F.col("doc_id"), "left_semi").agg(F.count("*").alias("forbidden"))
+    toxic = table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("ref"), F.lit(True).alias("toxic"))
+    shown = fused.join(toxic, "ref", "left")
+    is_first = F.col("rank") == 1
+    bad = shown.agg(F.count_if("toxic").alias("forbidden"), F.count_if(is_first & F.col("toxic")).alias("bad_answers"), F.count_if(is_first & (F.col("ref") % 11 == 0)).alias("outside"))
+    negatives = table(spark, d, "benchmark").select(F.col("item_id").alias("task_id")).join(good.select("task_id").distinct(), "task_id", "left_anti")
+
+    def clean(hits: DataFrame, name: str) -> DataFrame:
+        some = negatives.join(hits.select("task_id").distinct().withColumn("some", F.lit(1)), "task_id", "left")
+        return some.agg(F.round(F.avg(F.when(F.col("some").isNull(), 1.0).otherwise(0.0)), 6).alias(name))
+
+    events = table(spark, d, "events")
+    p95 = E.percentile_at(0.95, "value", ["event_type"], events.where("event_type = 'view'")).agg(F.max("value").alias("p95"))
+    failures = events.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("last")).agg(F.count_if(F.col("last") == "error").alias("failures"))
+    old, new = snapshots(spark, d)
+    held = new.join(old.withColumnRenamed("h", "old_h"), "doc_id", "left").agg(F.round(F.count_if(F.col("h") == F.col("old_h")) / F.count("*"), 3).alias("coverage"))
     answers = E.answer_figures(table(spark, d, "orders").select((F.col("o_totalprice") > 150000).alias("answerable"), (F.col("o_orderkey") % 3 != 0).alias("answered")))
     figures = answers
-    for one in (recall(lexical, "lexical_recall"), recall(fused, "rrf_recall"), bad):
+    shares = recall(lexical, "lexical_recall"), recall(fused, "rrf_recall"), recall(first5("fields"), "vector_recall"), clean(lexical, "lexical_clean"), clean(fused, "rrf_clean")
+    for one in (*shares, bad, p95, failures, held):
         figures = figures.join(F.broadcast(one))
     return E.gate(figures, dict(GATE_CHECKS))
 
