@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextvars
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,8 +20,26 @@ def row_key() -> Column:
     return F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), "text")
 
 
+#: The folder below the shared one that new tables go to.
+PLACE = contextvars.ContextVar("place", default="corpusmill")
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/corpusmill/{label}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{PLACE.get()}/{label}-{uuid.uuid4().hex}"
+
+
+def settled(spark: SparkSession, label: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` gives, stored; the tables that were stored on the way to it are deleted."""
+    path = scratch_path(spark, label)
+    token = PLACE.set(f"{PLACE.get()}/{label}-tables-{uuid.uuid4().hex}")
+    try:
+        df = make()
+        df.write.parquet(path)
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{PLACE.get()}")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    finally:
+        PLACE.reset(token)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:

@@ -29,7 +29,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import ascii_lower, row_key, stored
+from corpusmill.llm.common import ascii_lower, row_key, settled, stored
 
 #: Fixed value of the contract: what a word is, after lower-casing A-Z.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -161,5 +161,7 @@ def contaminated_documents(docs: DataFrame, items: DataFrame, window: int = 10,
 
 def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` without a hit, each judged by its own text."""
-    hits = contaminated_documents(docs, items).where("contaminated").select(F.col("row_key").alias("_key")).distinct()
+    hits = settled(
+        docs.sparkSession, "hits", lambda: contaminated_documents(docs, items).where("contaminated").select(F.col("row_key").alias("_key")).distinct()
+    )
     return docs.withColumn("_key", row_key()).join(hits, "_key", "left_anti").select(docs.columns)

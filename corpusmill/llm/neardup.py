@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import row_key, stored
+from corpusmill.llm.common import row_key, settled, stored
 from corpusmill.llm.shingles import WordHashes, permutations, set_key, shingle_set, signature, words_of
 from corpusmill.llm.simjoin import linked, parity_sketch, shared_lists, with_centres
 
@@ -137,10 +137,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordi
 def deduplicated(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """The columns of ``docs``, with one row of each group of near copies: that with the lowest
     id, and of repeated rows one. Rows without words are linked with nothing and all stay."""
-    judged = near_duplicates(docs, shingle, percent)
-    place = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
-    heads = judged.where("group_id IS NOT NULL").groupBy("group_id").agg(F.min_by("row_key", place).alias("row_key")).select("row_key")
-    stay = judged.where("group_id IS NULL").select("row_key").distinct().withColumn("every", F.lit(True)).unionByName(heads.withColumn("every", F.lit(False)))
+
+    def chosen() -> DataFrame:
+        judged = near_duplicates(docs, shingle, percent)
+        place = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
+        heads = judged.where("group_id IS NOT NULL").groupBy("group_id").agg(F.min_by("row_key", place).alias("row_key")).select("row_key")
+        return judged.where("group_id IS NULL").select("row_key").distinct().withColumn("every", F.lit(True)).unionByName(heads.withColumn("every", F.lit(False)))
+
+    stay = settled(docs.sparkSession, "stay", chosen)
     rows = docs.withColumn("_key", row_key()).join(stay.select(F.col("row_key").alias("_key"), F.col("every").alias("_every")), "_key")
     copies = rows.where("NOT _every").dropDuplicates(["_key"])
     return copies.select(docs.columns).unionByName(rows.where("_every").select(docs.columns))
