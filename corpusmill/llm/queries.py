@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusmill.llm.chatformat import format_conversations, read_back
+from corpusmill.llm.clustering import cluster_vectors, rounds_sql
 from corpusmill.llm.common import small_table
 from corpusmill.llm.decontaminate import contaminated_documents
 from corpusmill.llm.htmltext import extract_main_text
@@ -79,6 +80,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
 URL_SQL = r"""
 WITH parts AS (
   SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -108,8 +113,9 @@ def queries() -> dict[str, Query]:
         "op8_chat_formatting": op8_chat_formatting,
         "op9_quality_rules": op9_quality_rules,
         "op10_decontamination": op10_decontamination,
+        "op11_centroid_clustering": op11_centroid_clustering,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filters": URL_SQL}
+    return {"op6_url_filters": URL_SQL, "op11_centroid_clustering": rounds_sql()}
