@@ -11,6 +11,7 @@ from corpusmill.llm.clustering import cluster_vectors, rounds_sql
 from corpusmill.llm.common import small_table
 from corpusmill.llm.decontaminate import contaminated_documents
 from corpusmill.llm.htmltext import extract_main_text
+from corpusmill.llm.lexsearch import RANKED_SQL, build_index, search
 from corpusmill.llm.mixing import MixTarget, mix_sources
 from corpusmill.llm.neardup import near_duplicates
 from corpusmill.llm.quality import quality_rules
@@ -84,6 +85,10 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op12_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), 50)
+
+
 URL_SQL = r"""
 WITH parts AS (
   SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -114,8 +119,9 @@ def queries() -> dict[str, Query]:
         "op9_quality_rules": op9_quality_rules,
         "op10_decontamination": op10_decontamination,
         "op11_centroid_clustering": op11_centroid_clustering,
+        "op12_ranked_lexical_search": op12_ranked_lexical_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filters": URL_SQL, "op11_centroid_clustering": rounds_sql()}
+    return {"op6_url_filters": URL_SQL, "op11_centroid_clustering": rounds_sql(), "op12_ranked_lexical_search": RANKED_SQL}
