@@ -19,6 +19,7 @@ from corpusmill.llm.repeats import repeated_passages
 from corpusmill.llm.sharding import shard_documents
 from corpusmill.llm.tokenfiles import token_digests
 from corpusmill.llm.urlfilter import judge_urls
+from corpusmill.llm.vectordup import LINKS_SQL, vector_duplicates
 from corpusmill.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,6 +90,10 @@ def op12_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), 50)
 
 
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 URL_SQL = r"""
 WITH parts AS (
   SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -120,8 +125,14 @@ def queries() -> dict[str, Query]:
         "op10_decontamination": op10_decontamination,
         "op11_centroid_clustering": op11_centroid_clustering,
         "op12_ranked_lexical_search": op12_ranked_lexical_search,
+        "op13_embedding_near_dedup": op13_embedding_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filters": URL_SQL, "op11_centroid_clustering": rounds_sql(), "op12_ranked_lexical_search": RANKED_SQL}
+    return {
+        "op6_url_filters": URL_SQL,
+        "op11_centroid_clustering": rounds_sql(),
+        "op12_ranked_lexical_search": RANKED_SQL,
+        "op13_embedding_near_dedup": LINKS_SQL,
+    }
