@@ -102,11 +102,13 @@ def slug(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
 
 
-#: What secrets look like, and what replaces them.
+#: What secrets look like and what replaces them: header values, keys that start with sk-, bearer tokens, values of
+#: named fields in queries and in JSON, whose quotes may be escaped. Then mail addresses.
 SECRETS = (
-    (r"(?i)(api[_-]?key|token|password|secret)\s*[:=]\s*[^\s,;]+", "$1=[REDACTED]"),
-    (r"sk-[A-Za-z0-9]{16,}", "[REDACTED]"),
-    (r"Bearer [A-Za-z0-9._-]+", "Bearer [REDACTED]"),
+    (r"""(?i)(authorization|api-key|x-api-key)["':=]+\s*([^\s",}]+)""", "$1: [REDACTED]"),
+    (r"(?i)(sk-[a-z0-9_-]+)", "[REDACTED]"),
+    (r"(?i)(bearer|key)\s+([a-z0-9._-]{8,})", "$1 [REDACTED]"),
+    (r"""(?i)((?:api[_-]?key|access[_-]?token|token|cookie|password|secret)\s*[\\"':=\s]+)([A-Za-z0-9._+/=-]{8,})""", "$1[REDACTED]"),
     (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[EMAIL]"),
 )
 

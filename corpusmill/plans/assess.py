@@ -19,32 +19,46 @@ from corpusmill.plans.retrieval import FIELDS, ROUTES, TOKENS_SQL, as_notes, rou
 from corpusmill.plans.web import EDGE, edges
 from corpusmill.sources.tables import table
 
-ENTITIES = f"list_concat(list_concat(regexp_extract_all({{c}}, '{Q.DOTTED}'), regexp_extract_all({{c}}, '{Q.ACRONYM}')), regexp_extract_all({{c}}, '{Q.NUMBER}'))"
 SQUEEZED = r"trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))"
 
 
-def quoted(words: tuple[str, ...]) -> str:
-    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+#: Letters beyond ASCII of Latin, Greek, Cyrillic, Chinese, Japanese and Korean: DuckDB's \\b knows ASCII words only, so where such a
+#: letter meets a word of ASCII a mark stands, and a find that touches a mark is none.
+BEYOND = r"[\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{2FF}\x{370}-\x{3FF}\x{400}-\x{52F}\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{AC00}-\x{D7A3}]"
+MARKED = rf"regexp_replace(regexp_replace(@, '([A-Za-z0-9_])({BEYOND})', '\1' || chr(1) || '\2', 'g'), '({BEYOND})([A-Za-z0-9_])', '\1' || chr(1) || '\2', 'g')"
 
 
-def any_of(words: tuple[str, ...]) -> str:
-    return f"len(list_filter({quoted(words)}, lambda w: contains(lower(t), w))) > 0"
+def finds(c: str, pattern: str) -> str:
+    """A list of what ``pattern`` finds in ``c``, between word bounds by Unicode."""
+    quoted = pattern.replace("'", "''")
+    every = rf"regexp_extract_all({MARKED.replace("@", c)}, '\x01?{quoted}\x01?')".replace("\x01?(?i)", "(?i)\x01?")
+    return rf"list_transform(list_filter({every}, lambda w: NOT starts_with(w, chr(1)) AND NOT ends_with(w, chr(1))), lambda w: regexp_replace(replace(w, chr(1), ''), '^\s+|\s+$', '', 'g'))"
 
 
-KIND = rf"""CASE WHEN t = '' THEN 'empty' WHEN len({ENTITIES.format(c="t")}) > 0 AND (regexp_matches(t, '{Q.DOTTED}') OR (length(t) <= 80 AND regexp_matches(t, '{Q.NUMBER}'))) THEN 'identifier'
- WHEN {any_of(Q.FOLLOW_UP)} AND length(t) <= 24 THEN 'followup' WHEN {any_of(Q.ABSENCE)} THEN 'negative'
- WHEN {any_of(Q.JOINED)} OR regexp_matches(lower(t), '\band\b|how.*and|为什么.*如何') OR length(t) - length(translate(t, '?？', '')) > 1 THEN 'multi_hop' ELSE 'natural' END"""
+def entities(c: str) -> str:
+    return f"list_concat(list_concat({finds(c, '(?i)' + Q.IDENTIFIER)}, {finds(c, Q.ACRONYM)}), {finds(c, Q.NUMBER)})"
 
 
-@query(f"WITH s AS (SELECT conv_id, turn, {SQUEEZED} AS t FROM conversations WHERE role = 'user') SELECT conv_id, turn, {KIND} AS kind FROM s")
+def says(pattern: str) -> str:
+    return "regexp_matches(t, '(?i){}')".format(pattern.replace("'", "''"))
+
+
+KIND = rf"""CASE WHEN t = '' THEN 'empty' WHEN len({entities("t")}) > 0 AND (len({finds("t", "(?i)" + Q.STRONG)}) > 0 OR (length(t) <= {Q.EXACT_LENGTH} AND len({finds("t", Q.NUMBER)}) > 0)) THEN 'identifier'
+ WHEN {says(Q.FOLLOW_UP)} AND length(t) <= {Q.FOLLOW_UP_LENGTH} THEN 'followup' WHEN {says(Q.ABSENCE)} THEN 'negative'
+ WHEN {says(Q.JOINED.replace("|\\band\\b", ""))} OR len({finds("t", "(?i)(?:" + chr(92) + "band" + chr(92) + "b)")}) > 0 OR length(t) - length(translate(t, '?？', '')) > 1 THEN 'multi_hop' ELSE 'natural' END"""
+SURE = "CASE kind " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in Q.CONFIDENCE.items()) + " END"
+
+
+@query(f"WITH s AS (SELECT conv_id, turn, {SQUEEZED} AS t FROM conversations WHERE role = 'user'), k AS (SELECT conv_id, turn, {KIND} AS kind FROM s) SELECT conv_id, turn, kind, {SURE} AS confidence FROM k")
 def question_kinds(spark: SparkSession, d: str) -> DataFrame:
-    """What kind of question each turn of a user is."""
-    return table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", Q.question_kind(F.col("text")).alias("kind"))
+    """What kind of question each turn of a user is, and how sure that is."""
+    kinds = table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", Q.question_kind(F.col("text")).alias("kind"))
+    return kinds.withColumn("confidence", Q.kind_confidence(F.col("kind")))
 
 
-@query(f"""WITH e AS (SELECT conv_id, turn, {ENTITIES.format(c="coalesce(text, '')")} AS f FROM conversations),
-l AS (SELECT *, list_transform(f, lambda x: lower(x)) AS low FROM e)
-SELECT conv_id, turn, array_to_string(list_filter(f, lambda x, i: list_position(low, lower(x)) = i)[1:{Q.MOST_KEPT}], '|') AS entities FROM l""")
+@query(f"""WITH e AS (SELECT conv_id, turn, {entities("coalesce(text, '')")} AS f FROM conversations),
+l AS (SELECT conv_id, turn, list_filter(f, lambda x: x <> '') AS f FROM e), m AS (SELECT *, list_transform(f, lambda x: lower(x)) AS low FROM l)
+SELECT conv_id, turn, array_to_string(list_filter(f, lambda x, i: list_position(low, lower(x)) = i)[1:{Q.MOST_KEPT}], '|') AS entities FROM m""")
 def preserved_entities(spark: SparkSession, d: str) -> DataFrame:
     """Names, acronyms and numbers that a rewrite of a turn has to keep."""
     return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(Q.kept_entities(F.col("text")), "|").alias("entities"))

@@ -124,11 +124,10 @@ def memory_topics(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""WITH r AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'core' ELSE 'fact' END AS kind, doc_id % 5 = 0 AS guess, CASE doc_id % 3 WHEN 0 THEN 'web' WHEN 1 THEN 'user' ELSE 'model' END AS src,
- regexp_matches(lower(coalesce(text, '')), '\b(?:ignore|disregard|forget)\s+(?:(?:all|any|the|your|my)\s+)*(?:previous|prior|system|instructions?|rules?|prompts?|安全|规则)') OR regexp_matches(lower(coalesce(text, '')), '(?:忽略|无视).{0,6}?(?:指令|规则|提示)')
- OR regexp_matches(lower(coalesce(text, '')), '(?:remember|memori[sz]e|记住)\s*(?:(?:this|that|my|the|这个)\s*)?(?:密码|密钥|api[_ -]?key|access[_ -]?token|cookie|secret|token|password)') OR regexp_matches(lower(coalesce(text, '')), '(?:密码|密钥|api[_ -]?key|access[_ -]?token|cookie|secret)\s*[:=]') AS bad FROM documents)
+ regexp_matches(coalesce(text, ''), '(?i)@UNTRUSTED@') AS bad FROM documents)
 SELECT doc_id, CASE WHEN src = 'web' AND bad THEN 'quarantine' WHEN kind = 'core' AND src <> 'user' THEN 'candidate' WHEN guess THEN 'candidate' ELSE 'active' END AS status,
 concat_ws('|', CASE WHEN src = 'web' AND bad THEN 'external_instruction_or_secret' END, CASE WHEN kind = 'core' AND src <> 'user' AND NOT (src = 'web' AND bad) THEN 'core_requires_confirmation' END,
- CASE WHEN guess AND NOT (src = 'web' AND bad) AND NOT (kind = 'core' AND src <> 'user') THEN 'hypothesis_requires_confirmation' END) AS reasons FROM r""")
+ CASE WHEN guess AND NOT (src = 'web' AND bad) AND NOT (kind = 'core' AND src <> 'user') THEN 'hypothesis_requires_confirmation' END) AS reasons FROM r""".replace("@UNTRUSTED@", G.UNTRUSTED))
 def write_decision(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     kind = F.when(F.col("doc_id") % 4 == 0, "core").otherwise("fact")
@@ -137,8 +136,7 @@ def write_decision(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", status.alias("status"), F.array_join(reasons, "|").alias("reasons"))
 
 
-@query(r"""SELECT doc_id, regexp_matches(lower(coalesce(text, '')), '\b(?:ignore|disregard|forget)\s+(?:(?:all|any|the|your|my)\s+)*(?:previous|prior|system|instructions?|rules?|prompts?|安全|规则)') OR regexp_matches(lower(coalesce(text, '')), '(?:忽略|无视).{0,6}?(?:指令|规则|提示)')
- OR regexp_matches(lower(coalesce(text, '')), '(?:remember|memori[sz]e|记住)\s*(?:(?:this|that|my|the|这个)\s*)?(?:密码|密钥|api[_ -]?key|access[_ -]?token|cookie|secret|token|password)') OR regexp_matches(lower(coalesce(text, '')), '(?:密码|密钥|api[_ -]?key|access[_ -]?token|cookie|secret)\s*[:=]') AS suspicious FROM documents""")
+@query(r"""SELECT doc_id, regexp_matches(coalesce(text, ''), '(?i)@UNTRUSTED@') AS suspicious FROM documents""".replace("@UNTRUSTED@", G.UNTRUSTED))
 def injection_quarantine(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", G.suspicious(F.col("text")).alias("suspicious"))
 

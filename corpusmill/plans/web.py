@@ -148,7 +148,7 @@ def graph_two_hop_all(spark: SparkSession, d: str) -> DataFrame:
 
 SECRET_SQL = "text"
 for _p, _r in T.SECRETS:
-    SECRET_SQL = f"regexp_replace({SECRET_SQL}, '{_p}', '{_r.replace('$1', chr(92) + '1')}', 'g')"
+    SECRET_SQL = "regexp_replace({}, '{}', '{}', 'g')".format(SECRET_SQL, _p.replace("'", "''"), _r.replace("$1", chr(92) + "1"))
 
 
 @query(f"SELECT doc_id, {SECRET_SQL} AS text FROM documents")

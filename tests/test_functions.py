@@ -59,8 +59,16 @@ def test_fnv1a(spark):
 
 
 def test_redaction(spark):
-    got = one(spark, T.redact(F.col("s")), s="api_key=abc123 mail a.b@c.de Bearer x.y")
-    assert "abc123" not in got and "a.b@c.de" not in got and "x.y" not in got
+    secrets = {
+        '{"api_key": "skvABCDEF123456", "model": "m"}': "skvABCDEF123456", r'{\"password\": \"hunter2hunter2\"}': "hunter2hunter2", "cookie=abcdef1234567890; path=/": "abcdef1234567890",
+        '{"Authorization": "Bearer sk-secret_12-3"}': "sk-secret_12-3", "key sk-ab_c-d9 end": "sk-ab_c-d9", "Bearer abc.def.ghi": "abc.def.ghi", "x-api-key: 123": "123",
+        "ACCESS-TOKEN = AbCd1234+/=": "AbCd1234", "mail a.b@c.de": "a.b@c.de", 'SECRET:"0123456789"': "0123456789",
+    }
+    rows = spark.createDataFrame(list(secrets.items()), "s string, secret string")
+    for r in rows.select("secret", T.redact(F.col("s")).alias("x")).collect():
+        assert r.secret not in r.x and ("[REDACTED]" in r.x or "[EMAIL]" in r.x)
+    for plain in ("the secret garden", "a token of thanks", "password: short", "key notes"):
+        assert one(spark, T.redact(F.col("s")), s=plain) == plain
 
 
 def test_truncation(spark):
