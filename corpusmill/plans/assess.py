@@ -12,7 +12,9 @@ from corpusmill.operators import sessions
 from corpusmill.operators.lexical import asked_postings, rescued_topk, top_k
 from corpusmill.operators.selection import expanded_context, packed_context
 from corpusmill.operators.similarity import coverage_pairs
+from corpusmill.operators.vectors import cosine_topk
 from corpusmill.plans.evaluations import JUDGED, MTOK, QRELS, qrels
+from corpusmill.plans.hybrid import corpus_vectors, questions
 from corpusmill.plans.records import CHANGED, RECORDS, records, snapshots
 from corpusmill.plans.registry import query
 from corpusmill.plans.retrieval import FIELDS, ROUTES, TOKENS_SQL, as_notes, routes
@@ -380,7 +382,8 @@ def governance_pass_rates(spark: SparkSession, d: str) -> DataFrame:
 
 GATE_SQL = f"""{JUDGED}, {CHANGED}, rr AS (SELECT query_id AS task_id, doc_id AS ref, row_number() OVER (PARTITION BY query_id ORDER BY round(sum(1.0::DOUBLE / (60 + rank)), 9) DESC, doc_id) AS rank FROM routes GROUP BY query_id, doc_id),
 g5 AS (SELECT q.task_id, count(rr.ref) / count(*) AS recall FROM qrels q LEFT JOIN rr ON rr.task_id = q.task_id AND rr.ref = q.ref AND rr.rank <= 5 GROUP BY 1),
-v5 AS (SELECT q.task_id, count(b.doc_id) / count(*) AS recall FROM qrels q LEFT JOIN b ON b.query_id = q.task_id AND b.doc_id = q.ref AND b.rank <= 5 GROUP BY 1),
+v5 AS (SELECT x.vec_id, max((y.vec_id = x.vec_id)::INT) FILTER (place <= 5) AS recall FROM (SELECT x.vec_id, y.vec_id AS other, row_number() OVER (PARTITION BY x.vec_id ORDER BY round(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 6) DESC, y.vec_id) AS place
+ FROM embeddings x, embeddings y WHERE x.vec_id % 100 = 0 AND x.vec_id IN (SELECT doc_id FROM documents) AND y.vec_id IN (SELECT doc_id FROM documents)) x JOIN (SELECT vec_id FROM embeddings) y ON y.vec_id = other GROUP BY 1),
 neg AS (SELECT avg((task_id NOT IN (SELECT query_id FROM a WHERE rank <= 5))::INT) AS lexical_clean, avg((task_id NOT IN (SELECT task_id FROM rr WHERE rank <= 5))::INT) AS rrf_clean FROM (SELECT item_id AS task_id FROM benchmark WHERE item_id NOT IN (SELECT task_id FROM qrels))),
 lat AS (SELECT v[floor(0.95 * (len(v) - 1))::INT + 1] AS p95 FROM (SELECT list_sort(list(value)) AS v FROM events WHERE event_type = 'view')),
 cov AS (SELECT round(count(*) FILTER (new.h = old.h) / count(*), 3) AS coverage FROM new LEFT JOIN old USING (doc_id)),
@@ -429,12 +432,19 @@ def release_gate(spark: SparkSession, d: str) -> DataFrame:
     held = new.join(old.withColumnRenamed("h", "old_h"), "doc_id", "left").agg(F.round(F.count_if(F.col("h") == F.col("old_h")) / F.count("*"), 3).alias("coverage"))
     answers = E.answer_figures(table(spark, d, "orders").select((F.col("o_totalprice") > 150000).alias("answerable"), (F.col("o_orderkey") % 3 != 0).alias("answered")))
     figures = answers
-    shares = recall(lexical, "lexical_recall"), recall(fused, "rrf_recall"), recall(first5("fields"), "vector_recall"), clean(lexical, "lexical_clean"), clean(fused, "rrf_clean")
+    shares = recall(lexical, "lexical_recall"), recall(fused, "rrf_recall"), own_vector_recall(spark, d), clean(lexical, "lexical_clean"), clean(fused, "rrf_clean")
     for one in (*shares, bad, p95, failures, held):
         figures = figures.join(F.broadcast(one))
     return E.gate(figures, dict(GATE_CHECKS))
 
 
+def own_vector_recall(spark: SparkSession, d: str) -> DataFrame:
+    """The share of questions with a vector whose own document is among the five nearest; null without any vector."""
+    asked = questions(spark, d).where("unit IS NOT NULL").select("query_id", "unit")
+    near = cosine_topk(asked, corpus_vectors(spark, d), 5).where("query_id = vec_id").select("query_id", F.lit(1).alias("hit"))
+    return asked.join(near, "query_id", "left").agg(F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("vector_recall"))
+
+
 THREE = r"array_to_string(string_split(regexp_replace(trim(text), '\s+', ' ', 'g'), ' ')[1:3], ' ')"
 
 

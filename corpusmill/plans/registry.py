@@ -22,7 +22,3 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
     return add
 
-
-def also(name: str, of: str) -> None:
-    """Register a query under a second name."""
-    QUERIES[name], SQL[name] = QUERIES[of], SQL[of]

@@ -20,21 +20,21 @@ def test_all_orders_have_a_next_day(spark, tmp_path):
         days = [at.date() + timedelta(days=i) for i in range(1, 41)]
         fits = [lambda x: True, lambda x, k=k: x.weekday() == k % 7, lambda x, k=k: x.day == k % 28 + 1][k % 3]
         want[k] = min(filter(fits, days))
-    got = {r.o_orderkey: r.next_due for r in catalogue.queries()["recurrence_next_due_all"](spark, str(tmp_path)).collect()}
+    got = {r.o_orderkey: r.next_due for r in catalogue.queries()["recurrence_next_due"](spark, str(tmp_path)).collect()}
     assert got == want and isinstance(got[2000], date)
 
 
 def test_conflicts_of_unimportant_records(spark, tmp_path):
     rows = [(k, k // 10, s, 1.0, datetime(1996, 5, 1), t) for k, s, t in [(11, "O", "a"), (12, "O", "b"), (18, "O", "a"), (19, "F", "b"), (27, "O", "a"), (28, "O", "b")]]
     written(spark, tmp_path, "orders", rows, ORDERS)
-    got = catalogue.queries()["subject_conflicts_all"](spark, str(tmp_path)).collect()
+    got = catalogue.queries()["subject_conflicts"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == [(11, 12), (12, 18), (27, 28)]
 
 
 def test_user_turns_are_told_by_role(spark, tmp_path):
     rows = [(1, 0, "system", "that"), (1, 1, "user", "THAT"), (1, 2, "assistant", "that"), (1, 3, "user", "no"), (1, 4, "user", None)]
     written(spark, tmp_path, "conversations", rows, "conv_id long, turn long, role string, text string")
-    got = catalogue.queries()["trigger_capture_user"](spark, str(tmp_path)).collect()
+    got = catalogue.queries()["trigger_capture"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == [(1, 1, True), (1, 3, False), (1, 4, None)]
 
 
