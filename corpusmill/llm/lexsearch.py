@@ -4,12 +4,11 @@
 A shard holds, for every term, posting blocks of ``BLOCK`` documents: gaps and counts packed
 in the narrowest of one, two, four or eight bytes, with the block's first and last document and its
 greatest impact. ``search`` reads the blocks of the asked terms alone, brings each shard
-together and goes through it per query: lists ordered by where they stand give the pivot by
-their greatest impacts; a shallow move of the block pointers gives the stretch of documents
-on which the same blocks lie and the sum of their maxima; a stretch below the threshold is
-skipped without unpacking; another is unpacked and scored whole, and from then on pointers
-into its blocks move from document to document. The threshold is the
-``k``-th score so far in the task, over all its shards. Ties at the threshold are kept, so
+together and goes through it per query: lists ordered by where they stand give the pivot, the
+first document that their greatest impacts can lift to the threshold; shallow moves of the block
+pointers over the next ``STRETCH`` documents give for each the sum of the maxima of the blocks that
+lie on it; blocks on which no document reaches the threshold stay packed, the others
+are unpacked and scored. The threshold is the ``k``-th score so far in the task, over all its shards. Ties at the threshold are kept, so
 the result is that of scoring every document.
 
 Terms are runs of ASCII letters and digits and of characters beyond ASCII, A-Z lower-cased.
@@ -29,9 +28,9 @@ columns are ignored; empty tables give an empty result.
 from __future__ import annotations
 
 import math
-from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +43,8 @@ from corpusmill.llm.common import stored
 BLOCK = 128
 #: A shard is closed at so many documents or bytes of text.
 SHARD_DOCS, SHARD_BYTES = 32_768, 48_000_000
+#: Documents that one step of a search looks at.
+STRETCH = 2048
 QUERIES, QUERY_TERMS = 1000, 100_000
 #: Bytes that belong to terms: digits, letters (lower-cased) and all beyond ASCII; others part them.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -86,16 +87,23 @@ def impacts(counts: np.ndarray, m: np.ndarray) -> np.ndarray:
     return 1_000_000_000 * counts // (1000 * counts + 20 * m)
 
 
+class Vocabulary(dict):
+    """Numbers for words, in the order in which they are met."""
+
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = len(self)
+        return value
+
+
 class ShardWriter:
     """Postings of the documents of one shard, in memory until they are packed."""
 
     def __init__(self, shard: int):
-        self.shard, self.vocabulary, self.bytes = shard, {}, 0
+        self.shard, self.vocabulary, self.bytes = shard, Vocabulary(), 0
         self.ids, self.lengths, self.words = [], [], []
 
     def add(self, doc_id: int | None, words: list[bytes], size: int) -> None:
-        known = self.vocabulary
-        self.words.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words)))
+        self.words.append(np.fromiter(map(self.vocabulary.__getitem__, words), np.int64, len(words)))
         self.ids.append(NO_ID if doc_id is None else doc_id)
         self.lengths.append(len(words))
         self.bytes += size
@@ -117,18 +125,18 @@ class ShardWriter:
         names = [w.decode("utf-8", "surrogatepass") for w in self.vocabulary]
         own = [(self.shard, "", 0, len(self.ids), 0, 0, len(self.ids) - 1, np.array(self.ids, np.int64).tobytes(), m.tobytes())]
         tops = np.maximum.reduceat(impact, starts)
+        gap = np.diff(doc, prepend=0)
+        gap[starts] = 0
+        wide = np.maximum(np.maximum.reduceat(gap, starts), np.maximum.reduceat(counts, starts)) > 255
+        gaps, freqs = gap.astype(np.uint8).tobytes(), counts.astype(np.uint8).tobytes()
         rows = (
-            (self.shard, names[term[a]], int(place[a]) // BLOCK, int(b - a), int(top), int(doc[a]), int(doc[b - 1]), packed(np.diff(doc[a:b], prepend=doc[a])), packed(counts[a:b]))
-            for a, b, top in zip(starts.tolist(), ends.tolist(), tops, strict=True)
+            (self.shard, names[t], i, b - a, top, x, y, packed(gap[a:b]) if w else gaps[a:b], packed(counts[a:b]) if w else freqs[a:b])
+            for a, b, t, i, top, x, y, w in zip(
+                *(c.tolist() for c in (starts, ends, term[starts], place[starts] // BLOCK, tops, doc[starts], doc[ends - 1], wide)), strict=True
+            )
         )
         yield batch_of(own)
-        held = []
-        for row in rows:
-            held.append(row)
-            if len(held) == 20_000:
-                yield batch_of(held)
-                held = []
-        if held:
+        while held := list(islice(rows, 20_000)):
             yield batch_of(held)
 
 
@@ -179,29 +187,17 @@ def build_index(docs: DataFrame) -> Index:
 class PostingList:
     """One term of one shard. Blocks are unpacked when first scored."""
 
-    def __init__(self):
-        self.first, self.last, self.impact, self.raw, self.top, self.open = [], [], [], [], 0, {}
-
-    def add(self, n: int, impact: int, first: int, last: int, gaps: bytes, counts: bytes) -> None:
-        self.first.append(first)
-        self.last.append(last)
-        self.impact.append(impact)
-        self.raw.append((n, gaps, counts))
-        self.top = max(self.top, impact)
-
-    def at_least(self, doc: int, at: int) -> int:
-        """The least document from ``doc`` on that block ``at``, which ends no earlier, may hold: exact once it is unpacked."""
-        if doc <= self.first[at] or at not in self.open:
-            return max(doc, self.first[at])
-        docs = self.open[at][0]
-        return int(docs[docs.searchsorted(doc)])
+    def __init__(self, rows: list[tuple[int, int, int, int, bytes, bytes]]):
+        n, impact, first, last, self.gaps, self.counts = zip(*rows, strict=True)
+        self.n, self.impact, self.first, self.last = (np.array(c, np.int64) for c in (n, impact, first, last))
+        self.top, self.open = int(self.impact.max()), {}
 
     def block(self, at: int, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Documents and impacts."""
         if at not in self.open:
-            n, gaps, counts = self.raw[at]
-            docs = self.first[at] + np.cumsum(unpacked(gaps, n))
-            self.open[at] = docs, impacts(unpacked(counts, n), m[docs])
+            n = int(self.n[at])
+            docs = self.first[at] + np.cumsum(unpacked(self.gaps[at], n))
+            self.open[at] = docs, impacts(unpacked(self.counts[at], n), m[docs])
         return self.open[at]
 
 
@@ -221,51 +217,45 @@ class Best:
 
 
 def search_shard(lists: list[tuple[int, PostingList]], ids: np.ndarray, m: np.ndarray, best: Best) -> None:
-    """Block-Max WAND over the (weight, list) pairs of one query."""
-    state = [[0, w, p] for w, p in lists if w > 0]
+    """Block-Max WAND over the (weight, list) pairs of one query, a stretch of documents at a time."""
+    lists = sorted(((w, p) for w, p in lists if w > 0), key=lambda x: -x[0] * x[1].top)
     at = 0
-    while state:
-        standing = []
-        for s in state:
-            p = s[2]
-            s[0] = b = bisect_left(p.last, at, s[0])
-            if b < len(p.last):
-                standing.append((p.at_least(at, b), s))
-        state = [s for _, s in standing]
-        standing.sort(key=lambda x: x[0])
+    while at < len(ids):
+        ahead = [(w, p, b) for w, p in lists if (b := int(p.last.searchsorted(at))) < len(p.last)]
+        standing = sorted((max(at, int(p.first[b])), w * p.top) for w, p, b in ahead)
         bound, pivot = 0, None
-        for doc, s in standing:
-            bound += s[1] * s[2].top
+        for doc, most in standing:
+            bound += most
             if bound >= best.least:
                 pivot = doc
                 break
         if pivot is None:
             return
-        bound, end, inside = 0, len(ids) - 1, []
-        for doc, s in standing:
-            if doc > pivot:
-                end = min(end, doc - 1)
-                break
-            _, w, p = s
-            b = bisect_left(p.last, pivot, s[0])  # the shallow move
-            if b == len(p.last):
-                continue
-            if (doc := p.at_least(pivot, b)) > pivot:
-                end = min(end, doc - 1)
-            else:
-                end = min(end, p.last[b])
-                bound += w * p.impact[b]
-                inside.append((w, p, b))
-        if bound >= best.least:
-            scores = np.zeros(end - pivot + 1, np.int64)
-            for w, p, b in inside:
-                docs, impact = p.block(b, m)
-                i, j = np.searchsorted(docs, (pivot, end + 1))
-                scores[docs[i:j] - pivot] += w * impact[i:j]
+        end = min(len(ids), pivot + STRETCH)
+        # shallow moves: the blocks that lie on each document of the stretch, by their bounds alone
+        steps, near = np.zeros(end - pivot + 1, np.int64), []
+        for w, p, b in ahead:
+            e = int(p.first.searchsorted(end))
+            b += int(p.last[b:e].searchsorted(pivot))
+            if b < e:
+                lo, hi = np.maximum(p.first[b:e], pivot) - pivot, np.minimum(p.last[b:e] + 1, end) - pivot
+                steps[lo] += w * p.impact[b:e]
+                near.append((w, p, b, lo, hi))
+        for w, p, b, _, hi in near:
+            steps[hi] -= w * p.impact[b : b + len(hi)]
+        live = np.cumsum(np.cumsum(steps[:-1]) >= best.least)
+        if live[-1]:
+            live = np.append(0, live)
+            scores = np.zeros(end - pivot, np.int64)
+            for w, p, b, lo, hi in near:
+                for k in np.flatnonzero(live[hi] > live[lo]).tolist():
+                    docs, impact = p.block(b + k, m)
+                    i, j = docs.searchsorted((pivot, end)) if docs[0] < pivot or docs[-1] >= end else (0, len(docs))
+                    scores[docs[i:j] - pivot] += w * impact[i:j]
             good = np.flatnonzero(scores >= best.least)
             if len(good):
                 best.add(scores[good], ids[pivot + good])
-        at = end + 1
+        at = end
 
 
 def found_in(blocks: DataFrame, queries: list[tuple[int, list[tuple[str, int]]]], k: int) -> DataFrame:
@@ -273,10 +263,11 @@ def found_in(blocks: DataFrame, queries: list[tuple[int, list[tuple[str, int]]]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = [Best(k) for _ in queries]
-        now, lists, ids, m = None, {}, None, None
+        now, rows, ids, m = None, {}, None, None
 
         def close() -> None:
             if now is not None:
+                lists = {t: PostingList(r) for t, r in rows.items()}
                 for (_, terms), b in zip(queries, best, strict=True):
                     search_shard([(w, lists[t]) for t, w in terms if t in lists], ids, m, b)
 
@@ -284,11 +275,11 @@ def found_in(blocks: DataFrame, queries: list[tuple[int, list[tuple[str, int]]]]
             for shard, term, _, n, impact, first, last, gaps, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if shard != now:
                     close()
-                    now, lists = shard, {}
+                    now, rows = shard, {}
                 if term == "":
                     ids, m = np.frombuffer(gaps, np.int64), np.frombuffer(counts, np.int64)
                 else:
-                    lists.setdefault(term, PostingList()).add(n, impact, first, last, gaps, counts)
+                    rows.setdefault(term, []).append((n, impact, first, last, gaps, counts))
         close()
         for (q, _), b in zip(queries, best, strict=True):
             if len(b.ids):
