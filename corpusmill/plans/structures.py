@@ -37,7 +37,25 @@ def chunk_structure_merged(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def chunk_report(spark: SparkSession, d: str) -> DataFrame:
-    return C.validation(C.structure_chunks(notes(spark, d)))
+    every = notes(spark, d)
+    return C.validation(every, C.structure_chunks(every))
+
+
+@query()
+def chunk_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each note its merged chunks hold, by their places."""
+    every = notes(spark, d)
+    return C.coverage(every, C.merged_chunks(C.structure_chunks(every)))
+
+
+@query()
+def chunk_bucket_entries(spark: SparkSession, d: str) -> DataFrame:
+    """Each source's documents as the entries of one bucket note a hundred documents, and their chunks."""
+    docs = table(spark, d, "documents")
+    entry = F.concat(F.lit("## mem-"), F.lpad(F.lower(F.hex("doc_id")), 8, "0"), F.lit("\n> importance=3 | tags="), "lang", F.lit("\n\n"), "text", F.lit("\n"))
+    gathered = docs.groupBy("source", F.floor(F.col("doc_id") / 100).alias("part")).agg(F.array_sort(F.collect_list(F.struct("doc_id", entry.alias("entry")))).alias("all"))
+    text = F.concat(F.lit("---\nbucket: true\n---\n# "), "source", F.lit("\n"), F.array_join(F.transform("all", lambda x: x["entry"]), "\n"))
+    return C.bucket_chunks(gathered.select(F.concat_ws("/", "source", "part").alias("path"), text.alias("text")))
 
 
 @query()
