@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import text as T
 from corpusmill.operators import governance as G
 from corpusmill.operators.lexical import top_k
-from corpusmill.operators.similarity import jaccard_pairs
+from corpusmill.operators.similarity import greedy_merges, jaccard_pairs
 from corpusmill.plans.registry import query
 from corpusmill.sources.tables import table
 
@@ -152,6 +152,20 @@ def near_duplicate_records(spark: SparkSession, d: str) -> DataFrame:
     return jaccard_pairs(table(spark, d, "documents").select(F.col("doc_id").alias("id"), words.alias("tokens")), 0.7, copies="first")
 
 
+@query(f"""WITH RECURSIVE s AS (SELECT doc_id, {WORDS} AS t FROM documents), n AS (SELECT doc_id, t, len(t) AS n, doc_id % 10 + 1 AS importance FROM s WHERE len(t) > 0),
+p AS (SELECT a.doc_id AS i, b.doc_id AS j, round(k / (a.n + b.n - k), 6) AS similarity FROM n a JOIN n b ON a.doc_id < b.doc_id AND a.n >= 0.7 * b.n AND b.n >= 0.7 * a.n CROSS JOIN LATERAL (SELECT len(list_intersect(a.t, b.t)) AS k) WHERE k / (a.n + b.n - k) > 0.7),
+nb AS MATERIALIZED (SELECT i, row_number() OVER (ORDER BY i) AS k, list(j ORDER BY j) AS js FROM p GROUP BY i), top AS (SELECT count(*) AS m FROM nb),
+fold AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS gone, NULL::BIGINT AS kept, NULL::BIGINT AS discarded
+ UNION ALL SELECT k, CASE WHEN j IS NULL THEN gone WHEN wi >= wj THEN list_append(gone, j) ELSE list_append(gone, i) END, CASE WHEN j IS NULL THEN NULL WHEN wi >= wj THEN i ELSE j END, CASE WHEN j IS NULL THEN NULL WHEN wi >= wj THEN j ELSE i END
+ FROM (SELECT *, i % 10 AS wi, j % 10 AS wj FROM (SELECT f.k + 1 AS k, f.gone, nb.i, CASE WHEN list_contains(f.gone, nb.i) THEN NULL ELSE list_filter(nb.js, lambda x: NOT list_contains(f.gone, x))[1] END AS j FROM fold f JOIN nb ON nb.k = f.k + 1)))
+SELECT kept, discarded, similarity FROM fold JOIN p ON p.i = least(kept, discarded) AND p.j = greatest(kept, discarded) WHERE kept IS NOT NULL""")
+def merge_near_equal(spark: SparkSession, d: str) -> DataFrame:
+    """Records over 0.7 alike merged one after the other, the more important one kept."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), 0))
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), words.alias("tokens"), (F.col("doc_id") % 10 + 1).alias("importance"))
+    return greedy_merges(rows, 0.7)
+
+
 # --- snapshots -------------------------------------------------------------------------
 CHANGED = """old AS (SELECT doc_id, sha256(text) AS h FROM documents), new AS (SELECT doc_id, sha256(CASE WHEN doc_id % 7 = 0 THEN text || ' edited' ELSE text END) AS h FROM documents WHERE doc_id % 11 <> 0
  UNION ALL SELECT doc_id + 1000000, sha256(text) FROM documents WHERE doc_id % 50 = 0)"""
