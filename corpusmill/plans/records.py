@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import hashlib
 from collections.abc import Iterator
 
@@ -14,6 +16,8 @@ from corpusmill.operators import governance as G
 from corpusmill.operators.lexical import top_k
 from corpusmill.operators.similarity import greedy_merges, jaccard_pairs
 from corpusmill.plans.registry import query
+from corpusmill.session import shared_folder
+from corpusmill.sources.merging import KeyedTable
 from corpusmill.sources.tables import table
 
 NOW = "1996-06-01 00:00:00"
@@ -181,6 +185,19 @@ def snapshots(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return old, new.unionByName(more)
 
 
+@query(f"""WITH {CHANGED}, one AS (SELECT coalesce(old.doc_id, new.doc_id) AS doc_id, coalesce(old.h, new.h) AS h, 1 AS seen FROM old FULL JOIN (SELECT * FROM new WHERE doc_id >= 1000000) new USING (doc_id)),
+two AS (SELECT one.doc_id, CASE WHEN new.h <> one.h THEN new.h ELSE one.h END AS h, CASE WHEN new.h <> one.h THEN seen + 1 ELSE seen END AS seen FROM one LEFT JOIN new USING (doc_id)) SELECT doc_id, h, seen::INT AS seen FROM two""")
+def table_merges(spark: SparkSession, d: str) -> DataFrame:
+    """A stored table of hashes: new documents inserted or ignored, then changed ones updated and counted."""
+    old, new = snapshots(spark, d)
+    held = KeyedTable(spark, f"{shared_folder(spark)}/corpusmill/merged-{uuid.uuid4().hex}", ["doc_id"], 16)
+    held.replace_all(old.withColumn("seen", F.lit(1)))
+    held.merge(old.unionByName(new.where("doc_id >= 1000000")).withColumn("seen", F.lit(1)))
+    held.merge(new.withColumn("seen", F.lit(1)), {"h": "new.h", "seen": "old.seen + 1"}, condition="new.h <> old.h")
+    held.vacuum()
+    return held.read()
+
+
 def snapshot_changes(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """(key, change) of two snapshots (key, h): added, removed, changed or unchanged."""
     o, n = old.withColumnRenamed("h", "old_h"), new.withColumnRenamed("h", "new_h")
