@@ -22,6 +22,27 @@ def parquet_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -
     return reader.option("pathGlobFilter", name).parquet(folder) if name.endswith(".parquet") else reader.parquet(path)
 
 
+#: Files that a table is cut into at least, and rows of a file at most.
+SLICES, SLICE_ROWS = 6, 1_000_000
+
+
+def in_slices(spark: SparkSession, path: str, column: str = "ts") -> DataFrame:
+    """A table as a stream of several batches: files of equal stretches of time, written and read one after the other,
+    so that state is carried from batch to batch."""
+    rows = spark.read.parquet(path)
+    first, last, count = rows.agg(F.min(F.unix_micros(F.col(column).cast("timestamp"))), F.max(F.unix_micros(F.col(column).cast("timestamp"))), F.count("*")).first()
+    folder = scratch(spark, "slices")
+    parts = max(SLICES, -(-count // SLICE_ROWS))
+    if first is None:
+        rows.write.parquet(folder)
+        return parquet_stream(spark, folder)
+    micros = F.unix_micros(F.col(column).cast("timestamp"))
+    edges = [first + (last - first) * i // parts for i in range(parts)] + [last + 1]
+    for begin, end in zip(edges, edges[1:], strict=False):
+        rows.where((micros >= begin) & (micros < end)).coalesce(1).write.mode("append").parquet(folder)
+    return parquet_stream(spark, folder)
+
+
 def timed(events: DataFrame, delay: str = "60 days") -> DataFrame:
     """Events with a zoned ``at`` and a watermark: later rows than ``delay`` are dropped."""
     return events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", delay)

@@ -42,6 +42,30 @@ def test_queue_equals_a_loop(spark, tmp_path):
     assert {"claimed", "retry", "dead_letter", "lost", "not_due", "cancelled", "succeeded"} <= {w[0] for w in want.values()}
 
 
+def test_registered_cycles_equal_loops(spark):
+    from corpusmill import catalogue
+    from corpusmill.plans import streams as P
+
+    folder = "/root/testdata/sf0.001"
+    events = sorted(spark.read.parquet(f"{folder}/events.parquet").select("ts", "event_id", "user_id", "event_type").collect())
+    tasks, held, queue, requests = {}, {i: {} for i in range(4)}, {}, {}
+    for ts, event, user, kind in events:
+        now = (ts - START).total_seconds()
+        t = tasks.setdefault(user, cycles.Task(lease=P.LEASE_HOURS * 3600, unit=3600))
+        queue[event] = (t.take(P.QUEUE_OPS[kind], now), t.status, t.attempts)
+        requests[event] = cycles.answer(held[user % 4], user, P.REQUEST_OPS[kind], str(event), now, P.TTL_HOURS * 3600, cycles.SIZE)
+    assert {r.event_id: (r.outcome, r.status, r.attempts) for r in catalogue.queries()["stream_queue_cycle"](spark, folder).collect()} == queue
+    assert {r.event_id: (r.outcome, r.result) for r in catalogue.queries()["stream_request_cache"](spark, folder).collect()} == requests
+
+
+def test_streams_come_in_several_batches(spark):
+    stream = S.in_slices(spark, "/root/testdata/sf0.001/events.parquet")
+    seen = []
+    run = stream.writeStream.foreachBatch(lambda b, n: seen.append(b.agg(F.min("ts"), F.max("ts"), F.count("*")).first())).trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert len(seen) == S.SLICES and sum(r[2] for r in seen) == 1000 and all(a[1] < b[0] for a, b in zip(seen, seen[1:], strict=False))
+
+
 def test_a_lease_and_a_retry_by_hand():
     t = cycles.Task()
     assert [t.take("claim", 0), t.take("enqueue", 0), t.take("enqueue", 1), t.take("claim", 2), t.take("claim", 3)] == ["not_pending", "enqueued", "known", "claimed", "not_pending"]
