@@ -143,3 +143,34 @@ def entry_key(ref: Column) -> Column:
 
 def estimated_tokens(c: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.length(_text(c)) / 4)).cast("long")
+
+
+#: Fixed value: the marks of a fenced block at the ends of lines.
+FENCE_MARKS = r"(?m)^```(?:json)?\s*|\s*```$"
+
+
+def balanced_json(c: Column) -> Column:
+    """The first JSON object of a text, or without any its first array: from its opening bracket to the one that closes
+    it, brackets in strings left out. Null where none closes or what stands between isn't JSON; keys may not repeat.
+    One fold over the characters."""
+    clean = F.trim(F.regexp_replace(F.trim(_text(c)), FENCE_MARKS, ""))
+    brace, bracket = F.locate("{", clean), F.locate("[", clean)
+    start = F.when(brace > 0, brace).otherwise(bracket)
+    opening = F.substr(clean, start, F.lit(1))
+    closing = F.when(opening == "{", "}").otherwise("]")
+    tail = F.substr(clean, start)
+    begin = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"), F.lit(0).alias("end"))
+
+    def step(s: Column, ch: Column) -> Column:
+        at = s["at"] + 1
+        quoted = F.when(s["quoted"], s["escaped"] | (ch != '"')).otherwise(ch == '"')
+        escaped = s["quoted"] & ~s["escaped"] & (ch == "\\")
+        free = ~s["quoted"] & (ch != '"')
+        depth = s["depth"] + F.when(free & (ch == opening), 1).when(free & (ch == closing), -1).otherwise(0)
+        ends = (s["end"] == 0) & free & (ch == closing) & (depth == 0)
+        return F.struct(at.alias("at"), depth.alias("depth"), quoted.alias("quoted"), escaped.alias("escaped"), F.when(ends, at).otherwise(s["end"]).alias("end"))
+
+    chars = F.filter(F.split(tail, ""), lambda x: x != "")
+    end = F.aggregate(chars, begin, step)["end"]
+    found = F.substr(tail, F.lit(1), end)
+    return F.when((start > 0) & (end > 0) & F.try_parse_json(found).isNotNull(), found)

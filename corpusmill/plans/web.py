@@ -10,6 +10,7 @@ from corpusmill.functions import web as W
 from corpusmill.operators import graph
 from corpusmill.operators.lexical import top_k
 from corpusmill.plans.registry import query
+from corpusmill.sources.notes import feed_items
 from corpusmill.sources.tables import table
 
 PLAIN = "html"
@@ -170,6 +171,31 @@ def tolerant_json_array(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", parsed[0]["k"].alias("first_k"), F.size(parsed).alias("n"))
 
 
+@query("""SELECT event_id, CASE WHEN event_id % 5 = 4 THEN NULL ELSE (props::JSON->>'k')::INT END AS k, event_id % 5 <> 4 AS found FROM events""")
+def balanced_json_objects(spark: SparkSession, d: str) -> DataFrame:
+    """The object within an answer: fenced, among words, with brackets in its strings, before another, or never closed."""
+    n, props = F.col("event_id"), F.col("props")
+    nested = F.concat(F.lit('{"note": "a } and \\" b {", "in": ['), props, F.lit('], "k": '), F.get_json_object(props, "$.k"), F.lit("}"))
+    text = F.when(n % 5 == 0, F.concat(F.lit("```json\n"), props, F.lit("\n```"))).when(n % 5 == 1, F.concat(F.lit("it says "), props, F.lit(" as asked}")))
+    text = text.when(n % 5 == 2, F.concat(F.lit("see "), nested, F.lit(" [end"))).when(n % 5 == 3, F.concat(props, F.lit(' {"k": -1}'))).otherwise(F.concat(F.lit("cut {"), props))
+    found = T.balanced_json(text)
+    return table(spark, d, "events").select("event_id", F.get_json_object(found, "$.k").cast("int").alias("k"), found.isNotNull().alias("found"))
+
+
+@query("""SELECT 'feed' || (page_id // 20) AS url, 'Page ' || page_id || ' & more' AS title, url AS link, 'about ' || page_id AS text FROM pages WHERE trim(url) <> ''""")
+def feed_entries(spark: SparkSession, d: str) -> DataFrame:
+    """Twenty pages a feed, RSS and Atom by turns, parsed as XML."""
+    safe = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+    pages = table(spark, d, "pages").where("trim(url) <> ''")
+    n, link = F.col("page_id").cast("string"), safe(F.col("url"))
+    rss = F.concat(F.lit("<item><title><![CDATA[Page "), n, F.lit(" & more]]></title><link>"), link, F.lit("</link><description>&lt;p&gt;about "), n, F.lit("&lt;/p&gt;</description></item>"))
+    atom = F.concat(F.lit('<entry><title type="text">Page '), n, F.lit(' &amp; more</title><link href="'), link, F.lit('"/><summary>about '), n, F.lit("</summary></entry>"))
+    part = F.floor(F.col("page_id") / 20)
+    gathered = pages.groupBy(part.alias("part")).agg(F.array_join(F.collect_list(F.when(part % 2 == 0, rss).otherwise(atom)), "").alias("all"))
+    xml = F.when(F.col("part") % 2 == 0, F.concat(F.lit("<rss><channel>"), "all", F.lit("</channel></rss>"))).otherwise(F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom">'), "all", F.lit("</feed>")))
+    return feed_items(gathered.select(F.concat(F.lit("feed"), "part").alias("url"), xml.alias("xml"))).select("url", "title", "link", "text")
+
+
 @query("""WITH s AS (SELECT length(text)::BIGINT AS n FROM documents), a AS (SELECT list_sort(list(n)) AS v, count(*) AS c, sum(n)::BIGINT AS chars, max(n) AS longest FROM s)
 SELECT c AS notes, chars, longest, v[round_even(0.5 * (c - 1), 0)::INT + 1] AS p50, v[round_even(0.9 * (c - 1), 0)::INT + 1] AS p90, v[round_even(0.99 * (c - 1), 0)::INT + 1] AS p99 FROM a""")
 def corpus_inventory(spark: SparkSession, d: str) -> DataFrame:

@@ -43,12 +43,12 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> Data
 
 
 def read_jsonl_until_bad(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines of each file up to its first malformed one."""
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("n", "line"))
-    parsed = lines.where("trim(line) <> ''").withColumn("r", F.from_json("line", schema, {"mode": "PERMISSIVE"}))
-    bad = F.get_json_object("line", "$").isNull()
-    w = Window.partitionBy("file").orderBy("n")
-    return parsed.withColumn("bad", F.max(bad.cast("int")).over(w)).where("bad = 0").select("file", "n", "r.*")
+    """JSON lines of each file (file, at, ...) up to its first malformed one. Lines are read in splits, and ``at`` is a line's place: the start of
+    its split, then its order there. One row a file tells where it first breaks, so no task holds a file."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("at"), F.col("value").alias("line"))
+    rows = lines.where("trim(line) <> ''").withColumn("bad", F.get_json_object("line", "$").isNull())
+    first = rows.where("bad").groupBy("file").agg(F.min("at").alias("broken"))
+    return rows.join(first, "file", "left").where("broken IS NULL OR at < broken").withColumn("r", F.from_json("line", schema, {"mode": "PERMISSIVE"})).select("file", "at", "r.*")
 
 
 def read_list(spark: SparkSession, path: str) -> DataFrame:
@@ -56,14 +56,44 @@ def read_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("value")).where("value <> '' AND value NOT LIKE '#%'")
 
 
-def feed_items(pages: DataFrame) -> DataFrame:
-    """(url, title, link, text) of the RSS or Atom items in documents (url, xml)."""
-    parts = F.regexp_extract_all("xml", F.lit(r"(?is)<(?:item|entry)\b[^>]*>(.*?)</(?:item|entry)>"), 1)
-    item = pages.select("url", F.explode(parts).alias("i"))
-    field = lambda name: F.trim(F.regexp_replace(F.regexp_extract("i", rf"(?is)<{name}\b[^>]*>(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?</{name}>", 1), r"<[^>]+>", " "))
-    link = F.coalesce(F.nullif(field("link"), F.lit("")), F.regexp_extract("i", r'(?i)<link[^>]*href="([^"]*)"', 1))
-    text = F.coalesce(F.nullif(field("description"), F.lit("")), field("summary"))
-    return item.select("url", field("title").alias("title"), link.alias("link"), F.substring(text, 1, 500).alias("text"))
+#: What is read of a feed: RSS has items in a channel or beside it, Atom has entries; links are text or an attribute.
+FEED_ITEM = "struct<title: string, link: array<struct<_VALUE: string, _href: string, _rel: string>>, description: string, summary: string, pubDate: string, updated: string>"
+FEED = f"channel struct<item: array<{FEED_ITEM}>>, item array<{FEED_ITEM}>, entry array<{FEED_ITEM}>, broken string"
+
+
+def parsed_feeds(feeds: DataFrame) -> DataFrame:
+    """``feeds`` (url, xml) with ``items``, ``entries`` and ``broken``: what of a text isn't XML."""
+    options = {"ignoreNamespace": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken", "attributePrefix": "_", "valueTag": "_VALUE"}
+    none = F.array().cast(f"array<{FEED_ITEM}>")
+    read = feeds.withColumn("feed", F.from_xml("xml", FEED, options))
+    items = F.concat(F.coalesce("feed.channel.item", none), F.coalesce("feed.item", none))
+    return read.select(*feeds.columns, items.alias("items"), F.coalesce("feed.entry", none).alias("entries"), F.coalesce("feed.broken", F.lit("")).alias("broken"))
+
+
+def feed_items(feeds: DataFrame) -> DataFrame:
+    """(url, place, title, link, text, published) of the feeds (url, xml): RSS items, and where there are none Atom entries, with
+    a title and a link. Text is without markup, at most 500 characters. What isn't XML gives nothing (``broken_feeds``)."""
+    items = parsed_feeds(feeds)
+    rss = F.transform("items", lambda i: F.struct(i["title"].alias("title"), F.get(F.filter(F.transform(i["link"], lambda x: F.trim(x["_VALUE"])), lambda x: x != ""), F.lit(0)).alias("link"), F.regexp_replace(i["description"], "<[^>]+>", "").alias("text"), F.trim(i["pubDate"]).alias("published")))
+    atom = F.transform("entries", lambda i: F.struct(i["title"].alias("title"), F.get(i["link"], F.lit(0))["_href"].alias("link"), i["summary"].alias("text"), F.trim(i["updated"]).alias("published")))
+    usable = lambda rows: F.filter(F.transform(rows, lambda r: F.struct(F.trim(F.regexp_replace(r["title"], r"^\s+|\s+$", "")).alias("title"), F.trim(r["link"]).alias("link"), F.substring(F.trim(F.coalesce(r["text"], F.lit(""))), 1, 500).alias("text"), r["published"].alias("published"))), lambda r: (F.coalesce(r["title"], F.lit("")) != "") & (F.coalesce(r["link"], F.lit("")) != ""))
+    chosen = items.select("url", usable(rss).alias("rss"), usable(atom).alias("atom"))
+    return chosen.select("url", F.posexplode(F.when(F.size("rss") > 0, F.col("rss")).otherwise(F.col("atom"))).alias("place", "i")).select("url", "place", "i.*")
+
+
+def broken_feeds(feeds: DataFrame) -> DataFrame:
+    """(url, broken) of the feeds that aren't XML."""
+    return parsed_feeds(feeds).where("xml IS NOT NULL AND broken <> ''").select("url", "broken")
+
+
+def page_item(pages: DataFrame) -> DataFrame:
+    """(url, place, title, link, text) of single pages (url, name, html) that are followed like a feed: the page's own title, else its name; its
+    description, else its text, at most 600 characters."""
+    meta = lambda key: F.regexp_extract("html", rf"(?is)<meta[^>]*{key}[^>]*content=[\"']([^\"']*)", 1)
+    bare = F.regexp_replace(F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)<script.*?</script>|<style.*?</style>", ""), "<[^>]+>", " ")
+    text = F.coalesce(F.nullif(F.trim(meta("name=[\"']description[\"']")), F.lit("")), F.nullif(F.trim(meta("property=[\"']og:description[\"']")), F.lit("")), F.trim(F.regexp_replace(bare, r"\s+", " ")))
+    title = F.coalesce(F.nullif(F.trim(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)), F.lit("")), F.nullif(F.trim("name"), F.lit("")), F.lit("link"))
+    return pages.where("url IS NOT NULL").select("url", F.lit(0).alias("place"), title.alias("title"), F.col("url").alias("link"), F.substring(text, 1, 600).alias("text"))
 
 
 def append_new(new: DataFrame, known: DataFrame, key: list[str]) -> DataFrame:

@@ -138,7 +138,7 @@ def test_note_scan_and_frontmatter(spark, tmp_path):
 
 def test_torn_logs(spark, tmp_path):
     (tmp_path / "l.jsonl").write_text('{"a": 1}\n{"a": 2}\n{"a": \n{"a": 4}\n')
-    assert [r.a for r in N.read_jsonl_until_bad(spark, str(tmp_path / "l.jsonl"), "a int").orderBy("n").collect()] == [1, 2]
+    assert [r.a for r in N.read_jsonl_until_bad(spark, str(tmp_path / "l.jsonl"), "a int").orderBy("at").collect()] == [1, 2]
     assert sorted(r.a for r in N.read_jsonl(spark, str(tmp_path / "l.jsonl"), "a int").collect()) == [1, 2, 4]
 
 
@@ -153,9 +153,44 @@ def test_compare_and_set(spark):
 
 
 def test_feed_items(spark):
-    xml = "<rss><item><title>T</title><link>http://a/b</link><description><![CDATA[x <b>y</b>]]></description></item></rss>"
-    row = N.feed_items(spark.createDataFrame([("u", xml)], "url string, xml string")).first()
-    assert (row.title, row.link, row.text.split()) == ("T", "http://a/b", ["x", "y"])
+    item = "<item><title>{t}</title><link>{l}</link><description><![CDATA[x <b>y</b>]]></description></item>"
+    feeds = {
+        "rss": '<?xml version="1.0"?><rss xmlns:dc="http://x"><channel><title>c</title>' + item.format(t="<![CDATA[A & B]]>", l=" http://a/b ") + item.format(t="", l="http://no") + item.format(t="no link", l="") + '<item><title type="x">T &amp; 2</title><link>http://b</link><pubDate> now </pubDate><dc:creator>z</dc:creator></item></channel></rss>',
+        "bare": "<rss>" + item.format(t="T", l="http://one") + "</rss>",
+        "rdf": '<rdf:RDF xmlns:rdf="http://r"><channel><title>c</title></channel>' + item.format(t="R", l="http://r") + "</rdf:RDF>",
+        "atom": '<feed xmlns="http://www.w3.org/2005/Atom"><title>f</title><entry><title type="html">E1</title><link rel="alternate" href="http://c"/><link rel="self" href="http://s"/><summary>s1</summary><updated>2024</updated></entry><entry><title>E2</title></entry></feed>',
+        "torn": "<rss><channel><item><title>x</title>", "none": None, "blank": "", "long": "<rss>" + item.format(t="L", l="http://l").replace("x <b>y</b>", "w" * 900) + "</rss>",
+    }
+    frame = spark.createDataFrame(list(feeds.items()), "url string, xml string")
+    got = {}
+    for r in N.feed_items(frame).orderBy("url", "place").collect():
+        got.setdefault(r.url, []).append((r.title, r.link, r.text))
+    assert got == {
+        "rss": [("A & B", "http://a/b", "x y"), ("T & 2", "http://b", "")], "bare": [("T", "http://one", "x y")], "rdf": [("R", "http://r", "x y")],
+        "atom": [("E1", "http://c", "s1")], "long": [("L", "http://l", "w" * 500)],
+    }
+    assert [r.url for r in N.broken_feeds(frame).collect()] == ["torn"]
+
+
+def test_single_pages_as_feeds(spark):
+    pages = spark.createDataFrame([
+        ("u1", "n", "<html><head><title> Own </title><meta name='description' content='told'></head><body>text</body></html>"),
+        ("u2", "name", "<script>no</script><p>some <b>words</b></p><style>no</style>"), ("u3", "", None), (None, "n", "x"),
+    ], "url string, name string, html string")
+    assert sorted((r.url, r.title, r.text) for r in N.page_item(pages).collect()) == [("u1", "Own", "told"), ("u2", "name", "some words"), ("u3", "link", "")]
+
+
+def test_balanced_json(spark):
+    import json
+
+    from corpusmill.functions.text import balanced_json
+
+    cases = {
+        '{"a": 1}': {"a": 1}, '```json\n{"a": {"b": [1, 2]}}\n```': {"a": {"b": [1, 2]}}, 'said: {"a": "}{\\" ]"} and more }': {"a": '}{" ]'}, "[1, [2]] tail ]": [1, [2]],
+        'first [1] then {"k": 2}': {"k": 2}, '{"a": 1': None, "no brackets": None, "": None, None: None, "{not json}": None, '{"a": 1}{"b": 2}': {"a": 1}, '{"a": "\\\\"} x': {"a": "\\"},
+    }
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "i int, t string").select("i", balanced_json(F.col("t")).alias("x")).orderBy("i").collect()
+    assert [None if r.x is None else json.loads(r.x) for r in rows] == list(cases.values())
 
 
 def test_queue_stream_equals_a_fold(spark, tmp_path):
