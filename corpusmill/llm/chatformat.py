@@ -33,6 +33,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from corpusmill.llm.common import stored
+
 Message = dict[str, str]
 Renderer = Callable[[list[Message]], str]
 
@@ -112,18 +114,31 @@ def format_conversations(
     place in the conversation's text, the span of the turn's own text in the piece,
     whether that span is under the loss mask, and whether the template rewrote history.
     ``context`` is how many turns the renderer remembers: by default what it declares,
-    all where it declares nothing."""
+    all where it declares nothing. The declaration is checked: at the end of each conversation the whole
+    of it is rendered once, and output that differs from the pieces is an error."""
     context = getattr(renderer, "remembers", None) if context is None else context
     spark = conversations.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conv, before, number, place, first, old = None, [], 0, 0, True, None
+        every: list[Message] = []
+        told = hashlib.sha256()
+        rewritten = False
+
+        def check() -> None:
+            """A renderer that sees a few turns alone has to write the whole conversation as it wrote the pieces."""
+            if context is not None and len(every) > context and not rewritten:
+                if hashlib.sha256(renderer(every).encode("utf-8", "surrogatepass")).digest() != told.digest():
+                    raise ValueError(f"the renderer remembers more than the {context} turns that it declares: conversation {conv}")
+
         for batch in batches:
             rows = []
             for own, role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if first or own != conv:
+                    check()
                     conv, before, number, place, first, old = own, [], 0, 0, False, None
+                    every, told, rewritten = [], hashlib.sha256(), False
                 turn = {"role": role or "", "text": text or ""}
                 piece, start, stop, rewrites, new = locate(before, turn, renderer, old)
                 if not number:
@@ -131,6 +146,10 @@ def format_conversations(
                     if not rewrites:
                         piece, start, stop = opening + piece, start + len(opening), stop + len(opening)
                 rows.append((own, number, turn["role"], piece, place, start, stop, turn["role"] == loss_role, rewrites))
+                if context is not None:
+                    every.append(turn)
+                    told.update(piece.encode("utf-8", "surrogatepass"))
+                    rewritten |= rewrites
                 before.append(turn)
                 if context is None or len(before) <= context:
                     old = new
@@ -139,6 +158,7 @@ def format_conversations(
                     before = before[len(before) - context :]
                 number, place = number + 1, place + len(piece)
             yield pa.RecordBatch.from_pylist([dict(zip(PIECE_NAMES, r, strict=True)) for r in rows], schema=PIECE_SCHEMA)
+        check()
 
     return (
         conversations.selectExpr("cast(conv_id as long) conv_id", "turn", "role", "text")
@@ -187,7 +207,8 @@ DIGESTS = (
 def read_back(pieces: DataFrame) -> DataFrame:
     """Counts and digests of each conversation, from what ``format_conversations``
     wrote alone: turns by parsing the pieces, the loss text by the mask's spans.
-    ``pieces`` keeps its partitions and order."""
+    The pieces are stored first, and each conversation's are brought together again."""
+    pieces = stored(pieces, "pieces").repartition("conv_id").sortWithinPartitions("conv_id", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conv, state = None, None

@@ -5,7 +5,7 @@ negative; the weights are log odds from labelled pages, and so is the factor bet
 scan finds the contiguous run with the highest sum, and its words are the main text.
 
 What lies inside that run and isn't the article is told word by word: by the kind of an element (nav,
-footer, form and such; a header outside an article), by the words of its class,
+footer and such; a header or a menu outside an article; a form with few words for its fields, which isn't one around a page), by the words of its class,
 id and role, which are weighed by a logistic fit on the same pages and count only
 where one is a known name (html, body, main, article and headings never are), and by menus, blocks in a row
 that are links and nothing else. Such words score next to nothing and are left out.
@@ -38,7 +38,11 @@ BLOCKS = frozenset(
     "thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BOILERPLATE = frozenset("nav header footer aside form menu dialog button select option label".split())
+BOILERPLATE = frozenset("nav header footer aside menu dialog button select option label".split())
+#: The fields of a form. A form is boilerplate with so few words for each of its fields; others wrap a page.
+FIELDS, WORDS_A_FIELD = frozenset("input select textarea button".split()), 25
+#: An anchor around more words was never closed.
+MOST_LINK_WORDS = 40
 #: Elements that hold a whole page or text, or its headings, whatever they are called.
 WHOLE = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -46,7 +50,7 @@ BOILERPLATE_NAMES = frozenset(
     "ad ads advert advertisement advertising sponsor sponsored sponsors promo promotion banner sidebar menu nav navbar "
     "navigation breadcrumb breadcrumbs footer header masthead cookie cookies consent notice notices popup modal overlay "
     "newsletter subscribe subscription signup login search comment comments respond replies disqus share sharing social "
-    "related recommended".split()
+    "related recommended reviews discussion guestbook disclaimer legal imprint".split()
 )
 #: A quote opens a value only after an equals sign; an unclosed script ends with the page, an unclosed title at the next tag.
 TOKEN = re.compile(
@@ -119,21 +123,60 @@ def fitted_names() -> dict[str, float]:
     return weights
 
 
+HREF = re.compile(r"(?:^|\s)href\s*=", re.I)
+HIDDEN = re.compile(r"""(?:^|\s)type\s*=\s*["']?hidden""", re.I)
+
+
+def contents(found: list[re.Match]) -> dict[int, tuple[int, int, bool]]:
+    """For each form and anchor, by the place of its start: its words, its visible fields, and whether an article or
+    a main heading lies in it. An anchor ends where the next one starts."""
+    out: dict[int, tuple[int, int, bool]] = {}
+    open_: dict[str, list[list[int]]] = {"form": [], "a": []}
+    words = fields = heads = 0
+
+    def close(name: str) -> None:
+        if open_[name]:
+            at, w, f, h = open_[name].pop()
+            out[at] = words - w, fields - f, heads > h
+
+    for at, token in enumerate(found):
+        name = (token["name"] or "").lower()
+        if name in open_:
+            if token["close"]:
+                close(name)
+            else:
+                if name == "a":
+                    close("a")
+                open_[name].append([at, words, fields, heads])
+        elif name and not token["close"]:
+            heads += name in ("article", "main", "h1")
+            fields += name in FIELDS and not HIDDEN.search(token["attrs"])
+        elif not name and token[0][0] != "<":
+            words += len(token[0].split())
+    for name, rest in open_.items():
+        for _ in list(rest):
+            close(name)
+    return out
+
+
 def tokens(page: str) -> Iterator[tuple[str, str]]:
-    """(kind, value): ``word``, ``link`` (within an anchor) and ``side`` (in boilerplate) with the decoded
+    """(kind, value): ``word``, ``link`` (within an anchor that leads somewhere) and ``side`` (in boilerplate) with the decoded
     text between two tags, ``tag`` with a name (a closing one after a slash), ``mark`` with a comment."""
-    depth: list[tuple[str, bool]] = []
+    every = list(TOKEN.finditer(page))
+    held = contents(every)
+    depth: list[tuple[str, bool, bool]] = []
     open_names: Counter[str] = Counter()
-    side = 0
+    side = links = 0
 
     def leave() -> str:
-        nonlocal side
-        own, bad = depth.pop()
+        nonlocal side, links
+        own, bad, link = depth.pop()
         open_names[own] -= 1
         side -= bad
+        links -= link
         return own
 
-    for found in TOKEN.finditer(page):
+    for at, found in enumerate(every):
         whole = found[0]
         if whole.startswith("<!--"):
             yield "mark", whole
@@ -148,16 +191,22 @@ def tokens(page: str) -> Iterator[tuple[str, str]]:
                     while leave() != name:
                         pass
             elif name not in VOID and not found["attrs"].rstrip().endswith("/"):
-                if name == "p" and depth and depth[-1][0] == "p":
+                if name in ("p", "a") and depth and depth[-1][0] == name:
                     leave()
                 bad = is_boilerplate(name, found["attrs"])
-                if name == "header" and (open_names["article"] > 0 or open_names["main"] > 0):
+                inside = open_names["article"] > 0
+                if name == "header" and (inside or open_names["main"] > 0) or name == "menu" and inside:
                     bad = False
+                words, fields, whole_page = held.get(at, (0, 0, False))
+                if name == "form" and fields and not whole_page and words <= WORDS_A_FIELD * (fields + 1):
+                    bad = True
+                link = name == "a" and bool(HREF.search(found["attrs"])) and words <= MOST_LINK_WORDS and not inside
                 side += bad
+                links += link
                 open_names[name] += 1
-                depth.append((name, bad))
+                depth.append((name, bad, link))
         elif whole[0] != "<" or whole == "<":
-            yield ("side" if side else "link" if open_names["a"] > 0 else "word"), html.unescape(whole)
+            yield ("side" if side else "link" if links > 0 else "word"), html.unescape(whole)
 
 
 def without_menus(line: list[tuple[str, str]]) -> list[tuple[str, str]]:

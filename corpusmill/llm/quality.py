@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 
 #: Fixed values of the contract: what counts as a symbol.
 SYMBOLS = "#*$%&|<>"
+#: Fixed values of the contract: white space between words.
+BLANKS = " \t\n\x0b\x0c\r"
 #: Marks that end a sentence, separators of menus, boilerplate phrases (English, German, French, Spanish).
 TERMINAL = tuple(".!?…:;\"'”’»)]")
 SEPARATORS = frozenset(["|", "»", "›", "•", "·", ">", "/"])
@@ -78,7 +80,7 @@ def clean_lines(text: str, rules: LineRules) -> tuple[str, int]:
     kept, lost = [], 0
     for line in text.split("\n"):
         if line_failure(line, rules):
-            lost += sum(map(len, line.split()))
+            lost += len(line) - sum(map(line.count, BLANKS))
         else:
             kept.append(line)
     return "\n".join(kept), lost
@@ -107,7 +109,7 @@ def measure(text: str, rules: LineRules) -> tuple:
     raw = text.encode("utf-8", "surrogatepass")
     words = raw.split()
     n = len(words)
-    blanks = sum(text.count(c) for c in " \t\n\x0b\x0c\r")
+    blanks = sum(map(text.count, BLANKS))
     symbols = sum(text.count(s) for s in SYMBOLS)
     lines, dup = set(), 0
     for line in raw.split(b"\n"):
@@ -128,8 +130,9 @@ SCHEMA = (
 )
 
 
-def quality_rules(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
-    """One row a document: the counts, the verdict, the cleaned text. No shuffle."""
+def quality_rules(docs: DataFrame, rules: LineRules = LineRules(), with_text: bool = True) -> DataFrame:
+    """One row a document: the counts, the verdict and, if wanted, the cleaned text. No shuffle."""
+    schema = SCHEMA if with_text else SCHEMA.removesuffix(", cleaned string")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,11 +141,11 @@ def quality_rules(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
             longs = [pa.array(x, pa.int64()) for x in (n, chars, symbols, dup, repeat)]
             flags = [pa.array(x, pa.bool_()) for x in (failed, kept)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *longs, *flags, pa.array(lost, pa.int64()), pa.array(cleaned, pa.string())],
-                names=[c.split()[0] for c in SCHEMA.split(", ")],
+                [batch.column(0), *longs, *flags, pa.array(lost, pa.int64()), *([pa.array(cleaned, pa.string())] if with_text else [])],
+                names=[c.split()[0] for c in schema.split(", ")],
             )
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(judge, SCHEMA)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(judge, schema)
 
 
 def clean_documents(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:

@@ -75,7 +75,7 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents")).drop("cleaned")
+    return quality_rules(table(spark, sf_dir, "documents"), with_text=False)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

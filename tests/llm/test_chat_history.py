@@ -1,6 +1,8 @@
 """Templates that look back further than a few turns."""
 
-from corpusmill.llm.chatformat import format_conversations
+import pytest
+
+from corpusmill.llm.chatformat import format_conversations, read_back
 
 TURNS = "conv_id long, turn long, role string, text string"
 
@@ -37,3 +39,24 @@ def test_a_declared_memory_gives_the_same(spark):
     for n in (0, 1, 4):
         plain.remembers = n
         assert format_conversations(frame, plain).orderBy("n").collect() == whole
+
+
+def test_a_false_declaration_is_an_error(spark):
+    """A template that says it remembers four turns and rewrites the first one at the eighth."""
+
+    def forgetful(messages):
+        return ("[late]" if len(messages) > 8 else "") + "".join(f"<{m['role']}>{m['text']}</>" for m in messages)
+
+    forgetful.remembers = 4
+    rows = [(1, i, "user", f"t{i}") for i in range(10)] + [(2, i, "user", "x") for i in range(3)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    with pytest.raises(Exception, match="remembers more than the 4 turns"):
+        format_conversations(frame, forgetful).collect()
+    assert format_conversations(frame.where("conv_id = 2"), forgetful).count() == 3
+
+
+def test_pieces_are_stored_before_they_are_read(spark):
+    rows = [(c, i, ["user", "assistant"][i % 2], f"say {c} {i} </s>") for c in range(20) for i in range(9)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(6)
+    digests = read_back(format_conversations(frame))
+    assert digests.inputFiles() and {r.conv_id: r.n_turns for r in digests.collect()} == dict.fromkeys(range(20), 9)

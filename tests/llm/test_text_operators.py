@@ -143,6 +143,19 @@ def token_rows(path, rows):
     return out
 
 
+def test_token_files_lie_in_the_order_of_ids(spark, documents, tmp_path):
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from corpusmill.llm.tokenfiles import write_token_files
+
+    write_token_files(documents.repartition(5), f"file://{tmp_path}/files", path, 1)
+    ids = [i for name in sorted(glob.glob(f"{tmp_path}/files/blocks/part-*.parquet")) for row in pq.read_table(name).column("doc_ids").to_pylist() for i in row]
+    assert ids == sorted(r.doc_id for r in documents.collect())
+
+
 def test_token_files(spark, documents, edge_docs, no_docs):
     path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
     got = [tuple(r) for r in token_digests(documents, path).orderBy("start").collect()]
