@@ -64,17 +64,49 @@ def word_changes(pairs: DataFrame) -> DataFrame:
     return split.select("id", kept.alias("kept"), (F.size("a") - kept).alias("removed"), (F.size("b") - kept).alias("added"))
 
 
+#: How questions begin, what parts them, words that mean nothing alone, words too common to be asked alone, characters that make no
+#: term, phrases with other names in the corpus, what is stripped off a variant.
+QUESTION_PREFIX = r"^(?:什么是|什么|如何|怎么|怎样|为什么|为何|哪个|哪些|谁|何时|何地|请问|请告诉我|帮我|我想知道|我想了解)"
+PARTS = r"[,，;；、。！？!?\s]+"
+STOPWORDS = (
+    "的", "是", "在", "了", "和", "与", "或", "及", "要", "为", "对", "这", "那", "什么", "如何", "怎么", "怎样", "为什么", "为何", "哪些",
+    "哪个", "哪里", "请问", "请告诉我", "帮我", "我想知道", "我想了解", "what", "how", "why", "when", "where", "which", "who",
+)
+GENERIC = ("ai", "agent", "知识", "知识库", "笔记", "主题", "内容", "项目", "系统", "方法", "经验", "规模", "vault", "obsidian", "memory")
+FUNCTION_CHARS = "的是在了和与或及要为对这那什么如何怎么怎样为什么为何哪些哪个哪里"
+BRIDGES = ((r"(?i)(?:处理|执行).{0,8}(?:视频|B站).{0,8}(?:前|之前).*(?:注意|核对|准备)", ("B站视频处理前核对 bili_meta", "收件箱 B站处理前先核对", "视频任务处理前核对元信息")),)
+STRIPPED = r"^[ ,，;；、。！？!?]+|[ ,，;；、。！？!?]+$"
+ASCII_WORD = r"^[a-zA-Z0-9_.]+$"
+HAN_RUN = r"[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}]{2,}"
+
+
 def query_variants(queries: DataFrame, most: int = 5) -> DataFrame:
-    """(query_id, place, variant): the query, its keywords, its identifiers, its longest word
-    and its words in lower case, repeats dropped, ``most`` at most."""
+    """(query_id, place, variant): other ways to ask ``queries`` (query_id, text), ``most`` at most, the question itself not among them.
+
+    Questions that are empty, name one thing or ask for something absent get none, so that no name is widened into an answer. Then in order: other
+    names of known phrases, the question without its opening, its parts from the longest on, its words that mean something, its
+    distinctive identifiers, pairs of Chinese characters from both ends. Each once whatever its case."""
+    from corpusmill.functions.queries import question_kind, squeezed
     from corpusmill.functions.text import split_keywords
 
-    words = split_keywords(F.col("text"))
-    ids = F.filter(words, lambda w: w.rlike(r"[0-9_.]"))
-    longest = F.array_sort(words, lambda a, b: F.length(b) - F.length(a))
-    variants = F.array(F.trim("text"), F.array_join(words, " "), F.array_join(ids, " "), F.get(longest, F.lit(0)), F.lower(F.array_join(words, " ")))
-    clean = F.slice(F.array_distinct(F.filter(F.array_compact(variants), lambda v: v != "")), 1, most)
-    return queries.select("query_id", F.posexplode(clean).alias("place", "variant"))
+    none = F.array().cast("array<string>")
+    rows = queries.select("query_id", squeezed(F.col("text")).alias("asked")).where(~question_kind(F.col("asked")).isin("empty", "identifier", "negative"))
+    rows = rows.withColumn("cleaned", F.trim(F.regexp_replace("asked", QUESTION_PREFIX, "")))
+    rows = rows.withColumn("base", F.when(F.col("cleaned") == "", F.col("asked")).otherwise(F.col("cleaned")))
+    bridges = F.concat(*[F.when(F.col("asked").rlike(p), F.array(*map(F.lit, names))).otherwise(none) for p, names in BRIDGES], none)
+    cleaned = F.when(F.col("cleaned") != F.col("asked"), F.array("cleaned")).otherwise(none)
+    segments = F.array_distinct(F.filter(F.split("base", "(?U)" + PARTS), lambda x: F.length(x) >= 3))
+    longest = F.transform(F.array_sort(F.transform(segments, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x")))), lambda s: s["x"])
+    tokens = F.filter(split_keywords(F.col("base")), lambda t: ~F.lower(t).isin(*STOPWORDS) & ((F.length(t) >= 2) | t.rlike(ASCII_WORD)))
+    phrase = F.when(F.size(tokens) >= 2, F.array(F.array_join(tokens, " "))).otherwise(none)
+    names = F.filter(tokens, lambda t: t.rlike(ASCII_WORD) & (F.length(t) >= 3) & ~F.lower(t).isin(*GENERIC))
+    pairs = lambda run: F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substr(run, i, F.lit(2)))
+    han = F.array_distinct(F.filter(F.flatten(F.transform(F.regexp_extract_all("base", F.lit(HAN_RUN), 0), pairs)), lambda t: ~t.rlike(f"[{FUNCTION_CHARS}]") & ~F.lower(t).isin(*GENERIC)))
+    ends = F.array_distinct(F.concat(F.slice(han, 1, 2), F.slice(F.reverse(F.slice(F.reverse(han), 1, 2)), 1, 2), han))
+    every = F.transform(F.concat(bridges, cleaned, longest, phrase, names, ends), lambda v: F.regexp_replace(F.trim(F.regexp_replace(v, r"(?U)\s+", " ")), STRIPPED, ""))
+    low = F.transform(every, F.lower)
+    fresh = F.filter(every, lambda v, i: (F.length(v) >= 2) & (F.lower(v) != F.lower("asked")) & (F.array_position(low, F.lower(v)) == i + 1))
+    return rows.select("query_id", F.posexplode(F.slice(fresh, 1, most)).alias("place", "variant"))
 
 
 #: Fixed value: a citation is ``[n]`` or ``[[ref]]`` outside code.

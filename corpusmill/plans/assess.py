@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import queries as Q
 from corpusmill.functions import text as T
 from corpusmill.operators import evaluation as E
+from corpusmill.operators import selection as S
 from corpusmill.operators import sessions
 from corpusmill.operators.lexical import asked_postings, rescued_topk, top_k
 from corpusmill.operators.selection import expanded_context, packed_context
@@ -73,6 +74,23 @@ def task_kinds(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("task_id"), Q.question_kind(F.col("text")).alias("kind"))
 
 
+STOP_SQL, GENERIC_SQL = ("(" + ", ".join(f"'{w}'" for w in words) + ")" for words in (S.STOPWORDS, S.GENERIC))
+
+
+@query(rf"""WITH k AS (SELECT query_id, t, {KIND} AS kind FROM (SELECT item_id AS query_id, {SQUEEZED} AS t FROM benchmark)),
+b AS (SELECT query_id, t AS asked, trim(regexp_replace(t, '{S.QUESTION_PREFIX}', '')) AS cleaned FROM k WHERE kind NOT IN ('empty', 'identifier', 'negative')),
+c AS (SELECT *, CASE WHEN cleaned = '' THEN asked ELSE cleaned END AS base FROM b), w AS (SELECT *, regexp_extract_all(base, '{T.KEYWORD}') AS ws FROM c),
+x AS (SELECT *, list_filter(list_filter(ws, lambda w, i: list_position(list_transform(ws, lambda y: lower(y)), lower(w)) = i), lambda w: lower(w) NOT IN {STOP_SQL} AND (length(w) >= 2 OR regexp_matches(w, '{S.ASCII_WORD}'))) AS toks,
+ list_transform(list_sort(list_transform(list_distinct(list_filter(string_split_regex(base, '{S.PARTS}'), lambda s: length(s) >= 3)), lambda s: struct_pack(n := -length(s), v := s))), lambda s: s.v) AS segs FROM w),
+e AS (SELECT query_id, asked, list_transform(list_concat(list_concat(CASE WHEN cleaned <> asked THEN [cleaned] ELSE [] END, segs), list_concat(CASE WHEN len(toks) >= 2 THEN [array_to_string(toks, ' ')] ELSE [] END, list_filter(toks, lambda w: regexp_matches(w, '{S.ASCII_WORD}') AND length(w) >= 3 AND lower(w) NOT IN {GENERIC_SQL}))),
+ lambda v: regexp_replace(trim(regexp_replace(v, '\s+', ' ', 'g')), '{S.STRIPPED}', '', 'g')) AS vs FROM x),
+f AS (SELECT query_id, list_filter(vs, lambda v, i: length(v) >= 2 AND lower(v) <> lower(asked) AND list_position(list_transform(vs, lambda y: lower(y)), lower(v)) = i)[1:5] AS vs FROM e)
+SELECT query_id, (generate_subscripts(vs, 1) - 1)::INT AS place, unnest(vs) AS variant FROM f""")
+def query_variants(spark: SparkSession, d: str) -> DataFrame:
+    """Other ways to ask each benchmark item."""
+    return S.query_variants(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
+
+
 VARIANT = "unnest(['ref', 'entry', 'file']) AS variant"
 REPLAY = f"""{ROUTES}, {QRELS}, {TASK_KIND}, v AS (SELECT query_id AS task_id, a.doc_id, rank, lang, source, {VARIANT} FROM a JOIN documents USING (doc_id)),
 c AS (SELECT variant, task_id, doc_id, rank, CASE variant WHEN 'ref' THEN doc_id::VARCHAR WHEN 'entry' THEN source || '#' || lang ELSE source END AS key FROM v),

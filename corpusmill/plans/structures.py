@@ -82,11 +82,6 @@ def required_group_coverage(spark: SparkSession, d: str) -> DataFrame:
     return S.covered_groups(rows.where("rank <= 40"), groups, 8)
 
 
-@query()
-def query_variants(spark: SparkSession, d: str) -> DataFrame:
-    return S.query_variants(items(spark, d))
-
-
 @query()
 def word_diff(spark: SparkSession, d: str) -> DataFrame:
     pair = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("old"), F.regexp_replace("text", r"\bthe\b|\bde\b", "a").alias("new"))

@@ -113,3 +113,21 @@ def test_kinds_of_lines(spark):
 def test_links_between_brackets(spark):
     notes = spark.createDataFrame([("n", "[[a#h|x]] [[b|y]] [[c]] [[#h]] [[d [[e]] f]] [g]] [[open")], "path string, text string")
     assert [r.link for r in graph.wikilinks(notes).collect()] == ["a", "b", "c", "e"]
+
+
+def test_variants_of_questions(spark):
+    from corpusmill.operators import selection as S
+
+    cases = {
+        "什么是向量索引，如何更新它的内容": None, "BV1xx411c7mD": [], "哪些没有标签": [], "": [], None: [], "north lake": ["north", "lake"], "North north": ["North"],
+        "how does the agent keep Memory notes": ["Memory", "agent", "notes", "does", "keep"], "处理视频之前要注意核对什么": None,
+    }
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "query_id int, text string")
+    got = {i: [] for i in range(len(cases))}
+    for r in S.query_variants(rows).orderBy("query_id", "place").collect():
+        got[r.query_id].append(r.variant)
+    for i, want in enumerate(cases.values()):
+        if want is not None:
+            assert got[i] == want, (i, got[i])
+    assert got[0][0] == "向量索引，如何更新它的内容" and got[0][1:3] == ["如何更新它的内容", "向量索引"] and len(got[0]) == 5 and not any("的" in v for v in got[0][4:] if len(v) == 2)
+    assert got[8][:3] == ["B站视频处理前核对 bili_meta", "收件箱 B站处理前先核对", "视频任务处理前核对元信息"] and len(got[8]) <= 5
