@@ -29,12 +29,13 @@ def title_consistency(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", F.exists(words, lambda w: F.contains(body, F.lower(w))).alias("consistent"))
 
 
-@query("""WITH c AS (SELECT event_id, (event_id * 7) % 1200 AS ref FROM events)
+@query("""WITH n AS (SELECT max(doc_id) + 1 AS ids FROM documents), c AS (SELECT event_id, (event_id * 7919) % (ids + ids // 5) AS ref FROM events, n)
 SELECT event_id, CASE WHEN doc_id IS NULL THEN 'unknown' WHEN toxic = 1 THEN 'forbidden' WHEN lang <> 'en' THEN 'scope' ELSE 'valid' END AS verdict
 FROM c LEFT JOIN documents ON ref = doc_id LEFT JOIN labels USING (doc_id)""")
 def citation_validity(spark: SparkSession, d: str) -> DataFrame:
-    """Each cited reference: known, allowed, in scope."""
-    cited = table(spark, d, "events").select("event_id", ((F.col("event_id") * 7) % 1200).alias("doc_id"))
+    """Each cited reference, over all documents and a fifth more ids: known, allowed, in scope."""
+    ids = table(spark, d, "documents").agg((F.max("doc_id") + 1).alias("ids"))
+    cited = table(spark, d, "events").join(F.broadcast(ids)).select("event_id", ((F.col("event_id") * 7919) % (F.col("ids") + F.floor(F.col("ids") / 5))).alias("doc_id"))
     known = table(spark, d, "documents").select("doc_id", "lang").withColumn("known", F.lit(True))
     joined = cited.join(known, "doc_id", "left").join(table(spark, d, "labels"), "doc_id", "left")
     verdict = F.when(F.col("known").isNull(), "unknown").when(F.col("toxic") == 1, "forbidden").when(F.col("lang") != "en", "scope").otherwise("valid")

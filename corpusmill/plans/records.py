@@ -119,6 +119,17 @@ def subject_conflicts(spark: SparkSession, d: str) -> DataFrame:
 
 
 
+@query(f"""WITH {RECORDS}, t AS (SELECT subject, project_id, tags, count(*) AS n, min(id) AS first FROM rec WHERE status = 'active' AND tags IS NOT NULL AND subject IS NOT NULL AND project_id IS NOT NULL GROUP BY ALL)
+SELECT a.first AS left_id, b.first AS right_id, a.n AS left_n, b.n AS right_n, a.n * b.n AS pairs FROM t a JOIN t b ON a.subject = b.subject AND a.project_id = b.project_id AND a.tags < b.tags""")
+def subject_conflict_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The first records of every two values that a subject of a project has, and how many have each: all conflicts without all pairs."""
+    live = records(spark, d).where("status = 'active' AND tags IS NOT NULL AND subject IS NOT NULL AND project_id IS NOT NULL")
+    own = live.groupBy("subject", "project_id", "tags").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    a, b = own.alias("a"), own.alias("b")
+    same = (F.col("a.subject") == F.col("b.subject")) & (F.col("a.project_id") == F.col("b.project_id")) & (F.col("a.tags") < F.col("b.tags"))
+    return a.join(b, same).select(F.col("a.first").alias("left_id"), F.col("b.first").alias("right_id"), F.col("a.n").alias("left_n"), F.col("b.n").alias("right_n"), (F.col("a.n") * F.col("b.n")).alias("pairs"))
+
+
 @query(f"""WITH {RECORDS} SELECT project_id, tags, id, row_number() OVER (PARTITION BY project_id, tags ORDER BY importance DESC, valid_from, id)::INT AS rank FROM rec WHERE status = 'active' QUALIFY rank <= 5""")
 def memory_topics(spark: SparkSession, d: str) -> DataFrame:
     live = records(spark, d).where("status = 'active'")

@@ -131,7 +131,7 @@ def graph_two_hop(spark: SparkSession, d: str) -> DataFrame:
     return graph.two_hops(links, nodes)
 
 
-NUMBERED = """e AS (SELECT page_id AS src, CASE WHEN page_id % 3 = 0 THEN (page_id * 7 + k) % 400 ELSE (page_id + k * k) % 90 END AS dst FROM pages, (VALUES (1), (2), (5)) v(k) WHERE page_id % 4 <> 1),
+NUMBERED = """e AS (SELECT page_id AS src, CASE WHEN page_id % 3 = 0 THEN (page_id * 7 + k) % n ELSE (page_id + k * k) % n END AS dst FROM pages, (VALUES (1), (2), (5)) v(k), (SELECT greatest(max(page_id) + 1, 1) AS n FROM pages) WHERE page_id % 4 <> 1),
 s AS (SELECT DISTINCT src, dst FROM e WHERE dst IN (SELECT page_id FROM pages))"""
 
 
@@ -142,11 +142,22 @@ def graph_two_hop_all(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "pages").select("page_id")
     src = F.col("src")
     out = pages.where("page_id % 4 <> 1").select(F.col("page_id").alias("src"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(5))).alias("k"))
-    raw = out.select("src", F.when(src % 3 == 0, (src * 7 + F.col("k")) % 400).otherwise((src + F.col("k") * F.col("k")) % 90).alias("dst"))
+    out = out.join(F.broadcast(pages.agg(F.greatest(F.max("page_id") + 1, F.lit(1)).alias("n"))))
+    raw = out.select("src", F.when(src % 3 == 0, (src * 7 + F.col("k")) % F.col("n")).otherwise((src + F.col("k") * F.col("k")) % F.col("n")).alias("dst"))
     links = raw.join(pages.select(F.col("page_id").alias("dst")), "dst", "left_semi")
     return graph.two_hops(links, pages.select(F.col("page_id").alias("node")))
 
 
+@query(f"""WITH {EDGE}, s AS (SELECT DISTINCT src, dst FROM r WHERE ok AND src <> dst), nn AS (SELECT DISTINCT src AS node FROM r UNION SELECT DISTINCT dst FROM r WHERE ok),
+i AS (SELECT dst AS node, 'in' AS way, src AS other, 1 AS hops, row_number() OVER (PARTITION BY dst ORDER BY src)::INT AS rank FROM s QUALIFY rank <= 30),
+t AS (SELECT node, other, min(hops) AS hops FROM (SELECT src AS node, dst AS other, 1 AS hops FROM s UNION ALL SELECT a.src, b.dst, 2 FROM s a JOIN s b ON a.dst = b.src) WHERE node <> other GROUP BY ALL),
+o AS (SELECT node, 'out' AS way, other, hops, row_number() OVER (PARTITION BY node ORDER BY hops, other)::INT AS rank FROM t QUALIFY rank <= 50) SELECT * FROM i UNION ALL SELECT * FROM o""")
+def graph_neighbourhood(spark: SparkSession, d: str) -> DataFrame:
+    """Around every page: the first thirty that link to it, the first fifty that it reaches in two links."""
+    nodes, links = edges(spark, d)
+    return graph.neighbourhood(links, nodes)
+
+
 SECRET_SQL = "text"
 for _p, _r in T.SECRETS:
     SECRET_SQL = "regexp_replace({}, '{}', '{}', 'g')".format(SECRET_SQL, _p.replace("'", "''"), _r.replace("$1", chr(92) + "1"))

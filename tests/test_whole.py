@@ -41,7 +41,7 @@ def test_user_turns_are_told_by_role(spark, tmp_path):
 def test_two_hops_start_at_every_page(spark, tmp_path):
     pages = set(range(0, 130, 2))
     written(spark, tmp_path, "pages", [(p,) for p in pages], "page_id long")
-    step = {p: {(p * 7 + k) % 400 if p % 3 == 0 else (p + k * k) % 90 for k in (1, 2, 5)} & pages if p % 4 != 1 else set() for p in pages}
+    step = {p: {(p * 7 + k) % 129 if p % 3 == 0 else (p + k * k) % 129 for k in (1, 2, 5)} & pages if p % 4 != 1 else set() for p in pages}
     want = {}
     for p in pages:
         for q in step[p]:
