@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import row_key, stored
+from corpusmill.llm.common import discard, row_key, stored
 from corpusmill.llm.shingles import MIX, WordHashes, mixed, permutations, shingle_set
 from corpusmill.llm.simjoin import linked, parity_sketch, shared_lists, with_centres
 
@@ -175,30 +175,36 @@ def order_of(*place: str) -> Column:
 
 def repeated_runs(segments: DataFrame, min_run: int) -> DataFrame:
     """Runs of neighbouring segments (row, row_key, doc_id, start, n_words, id) that all occur elsewhere."""
-    again = segments.groupBy("id").agg(F.count("*").alias("copies")).where("copies > 1").select("id")
-    shared = stored(segments.join(again, "id", "left_semi"), "shared-segments")
-    shared = shared.join(shared.groupBy("id").agg(F.min(order_of("start", "row_key")).alias("first")), "id")
+    # What is counted by id is stored before it is joined: then both sides of the joins are dealt anew, and Spark splits the
+    # tasks of a segment that stands in a large share of the documents.
+    again = stored(segments.groupBy("id").agg(F.count("*").alias("copies")).where("copies > 1").select("id"), "again")
+    held = stored(segments.join(again, "id", "left_semi"), "shared-segments")
+    first = stored(held.groupBy("id").agg(F.min(order_of("start", "row_key")).alias("first")), "first")
+    shared = held.join(first, "id")
     w = Window.partitionBy("row").orderBy("start")
     follows = F.lag(F.col("start") + F.col("n_words")).over(w) == F.col("start")
     runs = shared.withColumn("run", F.sum((~F.coalesce(follows, F.lit(False))).cast("int")).over(w))
     other = (F.col("row_key") != F.col("first.row_key")) | (F.col("start") != F.col("first.start"))
     elsewhere = F.sum(F.when(other, F.col("n_words")).otherwise(0))
-    return (
+    found = stored(
         runs.groupBy("row", "doc_id", "run")
         .agg(F.min("start").alias("start"), F.sum("n_words").cast("int").alias("n_words"), F.min(F.struct("first", "id")).alias("m"), elsewhere.alias("elsewhere"))
         .where(F.col("n_words") >= min_run)
         .select(
             "doc_id", F.lit(None).cast("int").alias("paragraph"), "start", "n_words", F.col("m.id").alias("cluster_id"),
             F.col("m.first.doc_id").alias("first_doc_id"), F.col("m.first.start").alias("first_start"), (F.col("elsewhere") >= min_run).alias("removed"), "row",
-        )
+        ),
+        "runs",
     )
+    discard(again, held, first)
+    return found
 
 
 def found_passages(docs: DataFrame, shingle: int, percent: int, min_words: int, recall: float, min_run: int) -> DataFrame:
     """The repeats of ``docs`` (row_key, doc_id, text), with the ``row`` they stand in."""
     bands, rows = tuned_bands(percent / 100, recall)
     cut = stored(units(docs, shingle, max(min_words, shingle), bands, rows), "units")
-    runs = stored(repeated_runs(cut.where("paragraph IS NULL").select("row", "row_key", "doc_id", "start", "n_words", "id"), min_run), "runs")
+    runs = repeated_runs(cut.where("paragraph IS NULL").select("row", "row_key", "doc_id", "start", "n_words", "id"), min_run)
     found = cut.where("paragraph IS NOT NULL")
     classes = stored(
         found.groupBy("id").agg(F.count("*").alias("copies"), F.min(order_of("paragraph", "start", "row_key")).alias("first"), F.first("bands").alias("bands")),
