@@ -313,7 +313,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
 
     blocks = (
         tokens.mapInArrow(code, "part int, doc_id long, n long, control binary, data binary")
-        .repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "part")
+        .repartitionById(n_parts // 4, F.expr("part div 4").cast("int"))
         .sortWithinPartitions("part", "doc_id", "n", "data")
         .mapInArrow(assemble, BLOCK)
     )
