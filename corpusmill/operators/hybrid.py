@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.operators.lexical import idf, lexical_topk, top_k
+from corpusmill.operators.lexical import idf, top_k
+from corpusmill.operators.ranking import best_documents, by_document, ranked_terms, term_frequency
 from corpusmill.operators.vectors import cosine_topk
 from corpusmill.session import stored
 
@@ -44,25 +45,26 @@ class Gates:
     cosine: float = 0.0
 
 
-def coverage(first: DataFrame, posting: DataFrame, tokens: DataFrame) -> DataFrame:
+def coverage(first: DataFrame, terms: DataFrame, tokens: DataFrame) -> DataFrame:
     """(query_id, coverage): the share of tokens that the rows ``first`` (query_id, doc_id) hold; 0 where a
-    token of three or more characters is in none of them."""
-    found = first.join(posting.select("token", "doc_id"), "doc_id").join(tokens, ["query_id", "token"], "left_semi").select("query_id", "token").distinct()
+    token of three or more characters is in none of them. ``terms``: doc_id, terms."""
     long = F.length("token") >= 3
-    held = found.groupBy("query_id").agg(F.count("*").alias("held"), F.count_if(long).alias("held_long"))
+    wanted = tokens.groupBy("query_id").agg(F.collect_set(F.struct(F.xxhash64("token").alias("term"), long.alias("long"))).alias("wanted"))
+    held = F.filter("wanted", lambda w: F.array_contains("terms", w["term"]))
+    found = first.join(wanted, "query_id").join(terms.select("doc_id", "terms"), "doc_id").select("query_id", F.inline(held)).distinct()
+    found = found.groupBy("query_id").agg(F.count("*").alias("held"), F.count_if("long").alias("held_long"))
     asked = tokens.groupBy("query_id").agg(F.count("*").alias("n"), F.count_if(long).alias("n_long"))
     share = F.round(F.coalesce("held", F.lit(0)) / F.col("n"), 6)
-    return asked.join(held, "query_id", "left").select("query_id", F.when(F.coalesce("held_long", F.lit(0)) < F.col("n_long"), 0.0).otherwise(share).alias("coverage"))
+    return asked.join(found, "query_id", "left").select("query_id", F.when(F.coalesce("held_long", F.lit(0)) < F.col("n_long"), 0.0).otherwise(share).alias("coverage"))
 
 
-def parents(posting: DataFrame, tokens: DataFrame, n_docs: DataFrame, k: int) -> DataFrame:
+def parents(terms: DataFrame, tokens: DataFrame, n_docs: DataFrame, k: int) -> DataFrame:
     """(query_id, doc_id, rank): entries by the summed weight times idf of the tokens that they hold, the idf among the
     entries that hold one; here an entry is a document."""
-    hits = posting.select("token", "doc_id", "weight").join(tokens.select("query_id", "token"), "token")
-    df = hits.groupBy("query_id", "token").agg(F.count("*").alias("df"))
-    weighed = hits.join(df, ["query_id", "token"]).join(F.broadcast(n_docs))
-    total = weighed.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("weight") * idf(F.col("df"), F.col("n"))), 4).alias("score"), F.count("*").alias("matched"))
-    return top_k(total, k, ["query_id"], F.desc("score"), F.desc("matched"), "doc_id").select("query_id", "doc_id", "rank")
+    own = tokens.groupBy("query_id", F.xxhash64("token").alias("term")).agg(F.count("*").alias("times"))
+    weighed = own.join(term_frequency(terms), "term").join(F.broadcast(n_docs)).withColumn("weight", idf(F.col("df") * F.col("times"), F.col("n")))
+    asked = weighed.select("query_id", "term", F.explode(F.array_repeat("weight", F.col("times").cast("int"))).alias("weight"))
+    return ranked_terms(terms, asked, k, decimals=4, counted=True).select("query_id", "doc_id", "rank")
 
 
 def collect_routes(questions: DataFrame, posting: DataFrame, tokens: DataFrame, n_docs: DataFrame, vectors: DataFrame, gates: Gates = Gates(), k: int = CANDIDATES) -> tuple[DataFrame, DataFrame]:
@@ -71,15 +73,16 @@ def collect_routes(questions: DataFrame, posting: DataFrame, tokens: DataFrame,
 
     Questions about a topic have the best entries before their lexical rows. Lexical rows that cover too little of the
     question are dropped. A question that is an opaque name and finds nothing by words gets no vector rows, nor does one without a vector.
-    Repeats of a document within a route keep their first place."""
+    Repeats of a document within a route keep their first place. ``posting``: token, doc_id, weight, or ``ranking.document_terms``."""
+    terms = posting if "terms" in posting.columns else stored(by_document(posting), "posting-terms")
     kinds = questions.select("query_id", opaque_name(F.col("text")).alias("opaque"), asks(F.col("text"), TOPIC).alias("topic"), F.col("unit").isNotNull().alias("vectored"))
-    own = lexical_topk(posting, tokens, k).select("query_id", "doc_id", F.lit(1).alias("part"), "rank")
+    own = best_documents(terms, tokens, k).select("query_id", "doc_id", F.lit(1).alias("part"), "rank")
     topics = kinds.where("topic").select("query_id")
     most = max(1, min(MOST_PARENTS, PARENTS * k))
-    above = parents(posting, tokens.join(topics, "query_id", "left_semi"), n_docs, most).select("query_id", "doc_id", F.lit(0).alias("part"), "rank")
+    above = parents(terms, tokens.join(topics, "query_id", "left_semi"), n_docs, most).select("query_id", "doc_id", F.lit(0).alias("part"), "rank")
     first = own.unionByName(above).groupBy("query_id", "doc_id").agg(F.min(F.struct("part", "rank")).alias("place"))
     placed = stored(top_k(first, most + k, ["query_id"], "place").select("query_id", "doc_id", "rank"), "lexical-route")
-    covered = coverage(placed.where(F.col("rank") <= COVERED_ROWS), posting, tokens)
+    covered = coverage(placed.where(F.col("rank") <= COVERED_ROWS), terms, tokens)
     judged = kinds.join(covered, "query_id", "left").join(placed.groupBy("query_id").agg(F.count("*").alias("found")), "query_id", "left")
     judged = judged.withColumn("found", F.coalesce("found", F.lit(0))).withColumn("thin", (F.col("found") > 0) & (F.coalesce("coverage", F.lit(0.0)) < gates.coverage))
     judged = stored(judged.withColumn("skip", F.col("opaque") & ((F.col("found") == 0) | F.col("thin"))), "routes-judged")
