@@ -112,3 +112,17 @@ def test_write_decisions(spark):
         ("quarantine", ["external_instruction_or_secret"]), ("candidate", ["core_requires_confirmation"]),
         ("candidate", ["hypothesis_requires_confirmation"]), ("active", []),
     ]
+
+
+def test_entities_of_a_long_text_are_searched_once(spark):
+    """A turn with thousands of names takes no search of the whole turn for each of them."""
+    import time
+
+    from corpusmill.functions import queries
+
+    text = " ".join(f"name_{i % 1500}" for i in range(3000))
+    rows = spark.createDataFrame([(text,)] * 4, "t string").select(queries.kept_entities(F.col("t")).alias("e"))
+    rows.where("size(e) < 0").count()
+    began = time.monotonic()
+    assert [len(r.e) for r in rows.collect()] == [24] * 4
+    assert time.monotonic() - began < 10
