@@ -1,7 +1,9 @@
 """Best documents of many questions: what leaves a task, ties, ids with several rows, null ids, blocks."""
 
 from collections import defaultdict
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,10 +32,9 @@ def expected() -> dict:
     return {q: sorted(found.items(), key=order)[:K] for q, found in score.items()}
 
 
-@pytest.mark.parametrize(("terms", "sums"), [(500_000, 2_000_000), (7, 50)])
-def test_as_one_loop_over_all(spark, monkeypatch, terms, sums):
+@pytest.mark.parametrize("terms", [500_000, 7])
+def test_as_one_loop_over_all(spark, monkeypatch, terms):
     monkeypatch.setattr(ranking, "BLOCK_TERMS", terms)
-    monkeypatch.setattr(ranking, "SUMS", sums)
     docs = spark.createDataFrame(ROWS, "doc_id long, content string, title string").repartition(3)
     asked = spark.createDataFrame(ASKED, "query_id long, text string")
     found = ranking.best_documents(ranking.document_terms(docs, {"content": 1.0, "title": 3.0}), query_tokens(asked), K)
@@ -50,3 +51,19 @@ def test_only_the_best_rows_are_shuffled(spark):
     assert [r.doc_id for r in found.where("query_id = 9").orderBy("rank").collect()] == list(range(K))
     python = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "MapInArrow" in line]
     assert python and "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_small_steps_give_the_same(monkeypatch):
+    asked = [SimpleNamespace(query_id=q, terms=[q % 5, 7 + q % 3], weights=[1.0, 2.0], times=[1, 1]) for q in range(30)]
+    lists = [[t for t in range(10) if (d * t) % 4 < 3] for d in range(200)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(200)), "terms": lists, "weights": [[1.0 + t % 2 for t in own] for own in lists]})
+
+    def held(sums):
+        monkeypatch.setattr(ranking, "SUMS", sums)
+        block = ranking.Block(asked)
+        best = ranking.Best(30, K, False)
+        ranking.score_batch(batch, block, best, None)
+        best.judge()
+        return [c.tolist() for c in best.held]
+
+    assert held(50) == held(2_000_000) and len(held(50)[0]) == 30 * K
