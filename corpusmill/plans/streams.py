@@ -58,6 +58,8 @@ def stream_queue(spark: SparkSession, d: str) -> DataFrame:
 QUEUE_OPS = {"signup": "enqueue", "view": "claim", "purchase": "succeed", "error": "fail", "click": "claim"}
 REQUEST_OPS = {"signup": "begin", "view": "begin", "click": "begin", "purchase": "commit", "error": "abandon"}
 LEASE_HOURS, TTL_HOURS = 12, 48
+#: Caches of requests, and the tasks that they are dealt to.
+CACHES, CACHE_TASKS = 4, 16
 
 
 def op_of(ops: dict[str, str]) -> Column:
@@ -80,8 +82,8 @@ def stream_queue_cycle(spark: SparkSession, d: str) -> DataFrame:
 def stream_request_cache(spark: SparkSession, d: str) -> DataFrame:
     """A request a user, in four caches: who has to do it, who waits, who gets the known result."""
     n = F.col("user_id")
-    events = source(spark, d).select((n % 4).alias("cache"), "event_id", n.alias("request_id"), "at", op_of(REQUEST_OPS), F.col("event_id").cast("string").alias("result"))
-    with cycles.rocks_state(spark):
+    events = source(spark, d).select((n % CACHES).alias("cache"), "event_id", n.alias("request_id"), "at", op_of(REQUEST_OPS), F.col("event_id").cast("string").alias("result"))
+    with cycles.rocks_state(spark, CACHE_TASKS):
         out = S.drained(cycles.request_cache(events, ttl=TTL_HOURS * 3600), name("requests"), "update")
     return out.select("event_id", "request_id", "outcome", "result")
 

@@ -163,3 +163,29 @@ def test_repairs_are_bounded_and_none_is_lost(spark, tmp_path):
     for path, mtime, _ in rows[:30]:
         newest[path] = mtime
     assert first == {p for p, _ in sorted(newest.items(), key=lambda x: -x[1])[:6]}
+
+
+def test_the_oldest_request_is_found_without_a_look_at_all(spark):
+    """Commits of unknown requests make a cache hold far more than its size; each new request asks for the oldest."""
+    rng, plain, held, looked = random.Random(4), {}, cycles.Held(), []
+
+    class Counted(cycles.Held):
+        def __getitem__(self, request):
+            looked.append(request)
+            return super().__getitem__(request)
+
+    counted = Counted()
+    for i in range(4000):
+        event = (rng.randrange(1500), rng.choice(["begin", "begin", "begin", "commit", "abandon"]), f"r{i}", float(i // 3), 900.0, 8)
+        want = cycles.answer(plain, *event)
+        assert cycles.answer(held, *event) == want == cycles.answer(counted, *event) and held == plain == counted
+    assert len(plain) > 200 and len(looked) < 10 * 4000
+    again = cycles.Held(dict(held))
+    assert again.oldest() == min(held, key=lambda r: (held[r][0], r))
+
+
+def test_state_lies_in_as_many_parts_as_asked(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    with cycles.rocks_state(spark, 3):
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "3"
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before and spark.conf.get(cycles.PROVIDER) != cycles.ROCKS
