@@ -59,3 +59,13 @@ def test_kinds_of_asking(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", hybrid.opaque_name(F.col("t")).alias("o"), hybrid.asks(F.col("t"), hybrid.TOPIC).alias("a")).orderBy("i").collect()
     assert [r.o for r in rows] == [True, False, False, True, False, False, False, False]
     assert [r.a for r in rows] == [False, False, False, False, False, True, False, False]
+
+
+def test_questions_are_cut_once_and_not_from_every_document(spark):
+    """Tokens of questions were taken from all documents, once a reader, before the filter by id."""
+    from corpusmill.operators.lexical import query_tokens
+    from corpusmill.plans.hybrid import hybrid_routes
+
+    asked = hybrid_routes(spark, "/root/testdata/sf0.001")[0]
+    files = query_tokens(asked.select("query_id", "text")).inputFiles()
+    assert asked.count() == 2 and files and not [f for f in files if "documents.parquet" in f]
