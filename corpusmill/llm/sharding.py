@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import small_table, stored
+from corpusmill.llm.common import discard, small_table, stored
 
 OVERHEAD = 8
 SLOT_ROWS = 50_000
@@ -48,7 +48,8 @@ def document_dimensions() -> dict[str, Column]:
 
 def kd_splits(rows: DataFrame, dims: list[str], weight: str, n_leaves: int) -> list[dict[int, dict]]:
     """The splits of each level, by node. ``rows`` (dims, weight, tie) is read several
-    times, so it should be stored and narrow."""
+    times, so it should be stored and narrow. Rows with their nodes are stored after each level, so that
+    a plan looks up one level's splits and not those of all before; the table of the level before is deleted."""
     span = rows.agg(*[f(d).alias(f"{k}_{d}") for d in dims for k, f in (("min", F.min), ("max", F.max))]).first()
     width = {d: (span[f"max_{d}"] or 0.0) - (span[f"min_{d}"] or 0.0) for d in dims}
     nodes, levels = {0: n_leaves}, []
@@ -81,20 +82,26 @@ def kd_splits(rows: DataFrame, dims: list[str], weight: str, n_leaves: int) -> l
             else:
                 nodes[shard] = 1
         levels.append(splits)
-        placed = with_shards(rows, dims, levels)
+        if any(m > 1 for m in nodes.values()):
+            before, placed = placed, stored(descended(placed, dims, splits), "shard-level")
+            if len(levels) > 1:
+                discard(before)
+    if len(levels) > 1:
+        discard(placed)
     return levels
 
 
+def descended(placed: DataFrame, dims: list[str], splits: dict[int, dict]) -> DataFrame:
+    """``placed`` with each row's ``shard`` one level further down."""
+    side = F.when(key_of(dims) >= F.col("split.prefix"), F.col("split.left")).otherwise(0)
+    return with_split(placed, splits, "left").withColumn("shard", F.col("shard") + side).drop("split")
+
+
 def with_shards(rows: DataFrame, dims: list[str], levels: list[dict[int, dict]]) -> DataFrame:
     """``rows`` (any columns beside dims and tie) with the ``shard`` that the splits give."""
     placed = rows.withColumn("shard", F.lit(0))
     for splits in levels:
-        side = F.when(key_of(dims) >= F.col("split.prefix"), F.col("split.left")).otherwise(0)
-        placed = (
-            with_split(placed, splits, "left")
-            .withColumn("shard", F.col("shard") + side)
-            .drop("split")
-        )
+        placed = descended(placed, dims, splits)
     return placed
 
 
@@ -129,15 +136,15 @@ def select_digit(placed: DataFrame, splits: dict[int, dict], weight: str, shift:
     dims = sorted({s["dim"] for s in splits.values()})
     counted = (
         with_split(placed, splits)
-        .select("shard", "split.prefix", F.col(weight).alias("weight"), F.shiftright(key_of(dims), shift).alias("digit"))
+        .select("shard", "split.prefix", "split.below", "split.goal", F.col(weight).alias("weight"), F.shiftright(key_of(dims), shift).alias("digit"))
         .where(F.shiftright("digit", DIGIT) == F.col("prefix"))
-        .groupBy("shard", "digit")
+        .groupBy("shard", "below", "goal", "digit")
         .agg(F.sum("weight").cast("double").alias("weight"))
     )
     upto = Window.partitionBy("shard").orderBy("digit")
     found = (
-        with_split(counted.withColumn("upto", F.sum("weight").over(upto)), splits)
-        .where(F.col("split.below") + F.col("upto") >= F.col("split.goal") - 1e-6)
+        counted.withColumn("upto", F.sum("weight").over(upto))
+        .where(F.col("below") + F.col("upto") >= F.col("goal") - 1e-6)
         .groupBy("shard")
         .agg(F.min(F.struct("digit", "upto", "weight")).alias("first"))
         .collect()

@@ -74,3 +74,14 @@ def test_columns_of_any_name_are_kept(spark, edge_docs):
     assert out.columns == [*[c for c in docs.columns if c not in ("shard", "slot")], "shard", "slot"]
     some = ["doc_id", "row", "tie", "size", "text_crc32", "n"]
     assert by_key(map(tuple, out.select(some).collect())) == by_key(map(tuple, docs.select(some).collect()))
+
+
+def test_a_level_looks_up_its_own_splits_alone(spark, monkeypatch):
+    """What is broadcast for a level doesn't grow with the levels before it."""
+    from corpusmill.llm import sharding
+
+    tables, build = [], sharding.small_table
+    monkeypatch.setattr(sharding, "small_table", lambda *a: tables.append(a) or build(*a))
+    frame = spark.range(4_000).selectExpr("cast(id as double) a", "cast(id % 7 as double) b", "1 weight", f"pmod(xxhash64(id), {1 << HASH_BITS}) tie")
+    levels = kd_splits(frame, ["a", "b"], "weight", 16)
+    assert len(levels) == 4 and len(tables) == 3 * 3 + 2
