@@ -40,6 +40,8 @@ from corpusmill.llm.simjoin import linked, parity_sketch, shared_lists, with_cen
 
 MIN_WORDS, MIN_RUN = 20, 20
 REACH = 7
+#: Documents are hashed together up to so many words.
+GROUP_WORDS = 1 << 16
 WIDE = 1 << 14
 
 
@@ -49,9 +51,13 @@ def segment_starts(words: np.ndarray, reach: int = REACH) -> np.ndarray:
     width = 2 * reach - 1
     if len(words) < width + 1:
         return np.zeros(0, np.int64)
-    h = mixed(words[:-1] * MIX[3] + words[1:])[::-1]
-    lowest = np.lib.stride_tricks.sliding_window_view(h, width).argmin(axis=1)
-    return np.unique(len(h) - 1 - lowest - np.arange(len(lowest)))
+    least = mixed(words[:-1] * MIX[3] + words[1:])
+    at, reach = np.arange(len(least)), 1
+    while reach < width:  # windows of twice the size from two neighbours, at last overlapping ones
+        step = min(reach, width - reach)
+        left, right = least[:-step], least[step:]
+        at, least, reach = np.where(right <= left, at[step:], at[:-step]), np.minimum(left, right), reach + step
+    return at[np.flatnonzero(np.diff(at, prepend=-1))]
 
 
 def run_hashes(words: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -109,32 +115,45 @@ def units(docs: DataFrame, shingle: int, min_words: int, bands: int, rows: int)
     """One row for each paragraph (with its line number and band keys) and each segment
     (without) of each document (row_key, doc_id, text); ``row`` tells repeated rows apart."""
 
+    a, b = permutations(bands * rows)
+
+    def of_group(part: pa.RecordBatch, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        words = np.concatenate([own for _, own, _ in held])
+        whole: list[tuple] = []
+        cut: list[tuple] = []
+        first = 0
+        for at, own, size in held:
+            number = np.flatnonzero(size >= min_words)
+            if len(number):
+                ends = np.cumsum(size)[number]
+                whole.append((np.full(len(number), at), number, ends - size[number], size[number], np.full(len(number), first)))
+            cuts = segment_starts(own)
+            if len(cuts) > 1:
+                cut.append((np.full(len(cuts) - 1, at), cuts[:-1], np.diff(cuts), np.full(len(cuts) - 1, first)))
+            first += len(own)
+        if whole:
+            at, number, begins, size, first = map(np.concatenate, zip(*whole, strict=True))
+            ids, keys = paragraph_hashes(words, begins + first, begins + first + size, shingle, a, b, rows)
+            lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, bands, dtype=np.int32), pa.array(keys.ravel()))
+            yield batch_of(part, at, pa.array(number, pa.int32()), begins, size, ids, lists)
+        if cut:
+            at, begins, size, first = map(np.concatenate, zip(*cut, strict=True))
+            ids = run_hashes(words, begins + first, begins + first + size)
+            yield batch_of(part, at, pa.nulls(len(ids), pa.int32()), begins, size, ids, pa.nulls(len(ids), pa.list_(pa.int64())))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        a, b = permutations(bands * rows)
         for batch in batches:
             for part in (batch.slice(at, 256) for at in range(0, batch.num_rows, 256)):
-                whole: list[tuple] = []
-                cut: list[tuple] = []
+                held, total = [], 0
                 for at, text in enumerate(part.column(3).to_pylist()):
-                    words, size = document_words(text or "", hashes)
-                    number = np.flatnonzero(size >= min_words)
-                    if len(number):
-                        ends = np.cumsum(size)[number]
-                        begins = ends - size[number]
-                        ids, keys = paragraph_hashes(words, begins, ends, shingle, a, b, rows)
-                        whole.append((np.full(len(number), at), number, begins, size[number], ids, keys.ravel()))
-                    cuts = segment_starts(words)
-                    if len(cuts) > 1:
-                        ids = run_hashes(words, cuts[:-1], cuts[1:])
-                        cut.append((np.full(len(ids), at), cuts[:-1], np.diff(cuts), ids))
-                if whole:
-                    at, number, begins, size, ids, keys = map(np.concatenate, zip(*whole, strict=True))
-                    lists = pa.ListArray.from_arrays(np.arange(0, len(keys) + 1, bands, dtype=np.int32), pa.array(keys))
-                    yield batch_of(part, at, pa.array(number, pa.int32()), begins, size, ids, lists)
-                if cut:
-                    at, begins, size, ids = map(np.concatenate, zip(*cut, strict=True))
-                    yield batch_of(part, at, pa.nulls(len(ids), pa.int32()), begins, size, ids, pa.nulls(len(ids), pa.list_(pa.int64())))
+                    held.append((at, *document_words(text or "", hashes)))
+                    total += len(held[-1][1])
+                    if total >= GROUP_WORDS:
+                        yield from of_group(part, held)
+                        held, total = [], 0
+                if held:
+                    yield from of_group(part, held)
 
     def batch_of(part: pa.RecordBatch, at: np.ndarray, number: pa.Array, begins: np.ndarray, size: np.ndarray, ids: np.ndarray, lists: pa.Array) -> pa.RecordBatch:
         own = [part.column(i).take(pa.array(at)) for i in range(3)]
