@@ -9,6 +9,7 @@ from corpusmill.operators import references as R
 from corpusmill.plans.evaluations import QRELS, qrels
 from corpusmill.plans.registry import query
 from corpusmill.plans.retrieval import ROUTES, routes
+from corpusmill.session import stored
 from corpusmill.sources.tables import table
 
 #: A document's chunk: its file, one of three entries, and a content hash.
@@ -46,8 +47,8 @@ FROM t LEFT JOIN fst USING (task_id, route) LEFT JOIN rea USING (task_id, route)
 def reference_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Recall by groups, reciprocal rank, graded gain and precision of each item and route over chunk references."""
     docs = table(spark, d, "documents").select("doc_id", "source", chunk().alias("chunk"))
-    runs = routes(spark, d).join(docs, "doc_id").select(F.col("query_id").alias("task_id"), "route", "rank", F.col("chunk").alias("ref"))
-    good = qrels(spark, d).withColumnRenamed("ref", "doc_id").join(docs, "doc_id")
+    runs = stored(routes(spark, d).join(docs, "doc_id").select(F.col("query_id").alias("task_id"), "route", "rank", F.col("chunk").alias("ref")), "chunk-runs")
+    good = stored(qrels(spark, d).withColumnRenamed("ref", "doc_id").join(docs, "doc_id"), "chunk-qrels")
     n, file = F.col("doc_id"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
     form = F.when(n % 4 == 0, file).when(n % 4 == 1, F.substring_index("chunk", ":ch", 1)).otherwise(F.col("chunk"))
     own = good.select("task_id", form.alias("ref"), "grade", (n * 2).alias("place"))
