@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,25 +24,48 @@ def parquet_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -
     return reader.option("pathGlobFilter", name).parquet(folder) if name.endswith(".parquet") else reader.parquet(path)
 
 
-#: Files that a table is cut into at least, and rows of a file at most.
-SLICES, SLICE_ROWS = 6, 1_000_000
+#: Batches that a table is cut into at least, rows of a file and files of a batch at most (where rows lie evenly in time).
+SLICES, SLICE_ROWS, FILES = 6, 1_000_000, 8
+#: Tasks that read a slice at most; with so many rows for each file and task, no file of a slice is empty.
+READERS = 64
 
 
 def in_slices(spark: SparkSession, path: str, column: str = "ts") -> DataFrame:
-    """A table as a stream of several batches: files of equal stretches of time, written and read one after the other,
-    so that state is carried from batch to batch."""
+    """A table as a stream of several batches: equal stretches of time, written and read one after the other,
+    so that state is carried from batch to batch.
+
+    The table is read once and laid out by stretch; then each stretch is written from its own part alone, into as many files as a
+    batch takes. A stretch with too few rows for that goes with the next one."""
     rows = spark.read.parquet(path)
-    first, last, count = rows.agg(F.min(F.unix_micros(F.col(column).cast("timestamp"))), F.max(F.unix_micros(F.col(column).cast("timestamp"))), F.count("*")).first()
+    micros = F.unix_micros(F.col(column).cast("timestamp"))
+    first, last, count = rows.agg(F.min(micros), F.max(micros), F.count("*")).first()
     folder = scratch(spark, "slices")
-    parts = max(SLICES, -(-count // SLICE_ROWS))
     if first is None:
         rows.write.parquet(folder)
         return parquet_stream(spark, folder)
-    micros = F.unix_micros(F.col(column).cast("timestamp"))
-    edges = [first + (last - first) * i // parts for i in range(parts)] + [last + 1]
-    for begin, end in zip(edges, edges[1:], strict=False):
-        rows.where((micros >= begin) & (micros < end)).coalesce(1).write.mode("append").parquet(folder)
-    return parquet_stream(spark, folder)
+    parts = max(SLICES, -(-count // (SLICE_ROWS * FILES)))
+    number = F.least(F.floor((micros - first) / (last - first + 1) * parts), F.lit(parts - 1)).cast("int")
+    laid = scratch(spark, "stretches")
+    numbered = rows.where(F.col(column).isNotNull()).withColumn("stretch", number)
+    numbered.write.partitionBy("stretch").parquet(laid)
+    held = spark.read.schema(numbered.schema).parquet(laid)
+    counts = {r["stretch"]: r["count"] for r in held.groupBy("stretch").count().collect()}
+    files = max(FILES, -(-max(counts.values()) // SLICE_ROWS)) if max(counts.values()) > SLICE_ROWS // FILES else 1
+    for begin, end in stretches([counts.get(i, 0) for i in range(parts)], READERS * files if files > 1 else 0):
+        part = held.where(F.col("stretch").between(begin, end)).select(*rows.columns)
+        (part.coalesce(READERS).repartition(files) if files > 1 else part.coalesce(1)).write.mode("append").parquet(folder)
+    return parquet_stream(spark, folder, files)
+
+
+def stretches(counts: list[int], least: int) -> list[tuple[int, int]]:
+    """(first, last) of neighbours that have at least so many rows together, in order; all are in one of them."""
+    out, begin, held, left = [], 0, 0, sum(counts)
+    for i, n in enumerate(counts):
+        held, left = held + n, left - n
+        if i == len(counts) - 1 or (held >= least and left >= least):
+            out.append((begin, i))
+            begin, held = i + 1, 0
+    return out
 
 
 def timed(events: DataFrame, delay: str = "60 days") -> DataFrame:
@@ -75,27 +100,39 @@ MOVES = {
 }
 
 
+#: Keys' states lie together in so many groups: a call of Python for each key and batch costs far more than its events.
+GROUPS = 1024
+
+
 def task_states(events: DataFrame, lease: int = 300) -> DataFrame:
     """(user_id, status, moves, ignored) after each batch: a state machine for each key, with
     events in time order; the state's lease ends in event time."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            status, moves, ignored = state.get
-            state.update(("pending" if status == "running" else status, moves, ignored))
-            yield pd.DataFrame({"user_id": [key[0]], "status": [state.get[0]], "moves": [moves], "ignored": [ignored]})
-            return
-        status, moves, ignored = state.get if state.exists else ("", 0, 0)
-        rows = pd.concat([part[["at", "event_id", "event_type"]] for part in batches]).sort_values(["at", "event_id"])
-        for kind in rows["event_type"]:
-            new = MOVES.get((status, kind))
-            status, moves, ignored = (new, moves + 1, ignored) if new else (status, moves, ignored + 1)
-        state.update((status, moves, ignored))
-        state.setTimeoutTimestamp(max(int(rows["at"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + lease * 1000)
-        yield pd.DataFrame({"user_id": [key[0]], "status": [status], "moves": [moves], "ignored": [ignored]})
-
-    return events.groupBy("user_id").applyInPandasWithState(
-        step, "user_id long, status string, moves long, ignored long", "status string, moves long, ignored long", "update", GroupStateTimeout.EventTimeTimeout
+        held = {who: (status, moves, ignored, due) for who, status, moves, ignored, due in json.loads(state.get[0])} if state.exists else {}
+        now, met = state.getCurrentWatermarkMs(), {}
+        parts = [] if state.hasTimedOut else list(batches)
+        if parts:
+            at, event, kinds, keys = (np.concatenate([part[c].to_numpy() for part in parts]) for c in ("at", "event_id", "event_type", "who"))
+            order = np.lexsort((event, at))
+            for who, kind, ms in zip(keys[order].tolist(), kinds[order].tolist(), (at[order].astype("datetime64[us]").astype(np.int64) // 1000).tolist(), strict=True):
+                status, moves, ignored, _ = held.get(who, ("", 0, 0, None))
+                new = MOVES.get((status, kind))
+                held[who] = met[who] = (new, moves + 1, ignored, max(ms, now) + lease * 1000) if new else (status, moves, ignored + 1, max(ms, now) + lease * 1000)
+        for who, (status, moves, ignored, due) in held.items():
+            if who not in met and due is not None and due < now:
+                met[who] = ("pending" if status == "running" else status, moves, ignored, None)
+        held |= met
+        state.update((json.dumps([(who, *value) for who, value in held.items()]),))
+        ends = [value[3] for value in held.values() if value[3] is not None]
+        if ends:
+            state.setTimeoutTimestamp(min(ends))
+        users = pd.Series([None if who is None else int(who) for who in met], dtype="Int64" if None in met else "int64")
+        yield pd.DataFrame({"user_id": users} | {c: [value[i] for value in met.values()] for i, c in enumerate(("status", "moves", "ignored"))})
+
+    dealt = events.select(F.pmod(F.xxhash64("user_id"), F.lit(GROUPS)).alias("at_once"), F.col("user_id").cast("string").alias("who"), "at", "event_id", "event_type")
+    return dealt.groupBy("at_once").applyInPandasWithState(
+        step, "user_id long, status string, moves long, ignored long", "held string", "update", GroupStateTimeout.EventTimeTimeout
     )
 
 
