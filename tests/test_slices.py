@@ -46,3 +46,20 @@ def test_keys_share_calls_and_leases_end_for_each(spark, tmp_path, monkeypatch):
     assert len(last) == 22 and last[99][-1] == ("running", 2, 1) and last[None][-1] == ("pending", 1, 0)
     assert all(set(last[u]) == {("running", 2, 0), ("pending", 2, 0)} for u in range(20) if u != 3)
     assert ("running", 2, 0) in last[3] and last[3][-1][1:] in {(2, 1), (3, 0)}
+
+
+def test_tasks_of_a_queue_share_calls(spark, tmp_path, monkeypatch):
+    """Two groups hold 40 tasks: their states are loaded twice a batch, each lease that ends is told once."""
+    from corpusmill.streaming import cycles
+
+    monkeypatch.setattr(cycles, "GROUPS", 2)
+    at = lambda s: START + timedelta(seconds=s)
+    rows = [(u, 10 * u + i, at(u + i), op) for u in range(40) for i, op in enumerate(("enqueue", "claim"))]
+    for part in (rows, [(99, 1000, at(5000), "enqueue")], [(99, 1001, at(6000), "claim")]):
+        spark.createDataFrame(part, "task_id long, event_id long, ts timestamp, op string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = S.parquet_stream(spark, f"{tmp_path}/in").withColumnRenamed("ts", "at").withWatermark("at", "60 seconds")
+    grouped = cycles.queue(stream)
+    assert "at_once" in grouped._jdf.queryExecution().logical().toString()
+    with cycles.rocks_state(spark):
+        got = S.drained(grouped, "shared_queue", "update").collect()
+    assert sorted(r.task_id for r in got if r.outcome == "recovered") == list(range(40)) and sum(r.outcome == "claimed" for r in got) == 41
